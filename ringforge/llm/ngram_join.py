@@ -182,7 +182,7 @@ def _set_rows(docs: DataFrame, wanted_b, n: int) -> DataFrame:
     """(doc_id, n, ranges, toks) of the documents that may be wanted."""
 
     def run(batches):
-        for b in words.chunks(batches):
+        for b in words.chunks(b.filter(pa.array(common.bloom_has(wanted_b.value, b.column("doc_id").to_numpy(zero_copy_only=False)))) for b in batches):
             ids, ns, sig, tok = [], [], [], []
             for d, s in zip(b.column("doc_id").to_pylist(), _sets(b, n), strict=True):
                 if len(s):
@@ -191,7 +191,7 @@ def _set_rows(docs: DataFrame, wanted_b, n: int) -> DataFrame:
                     tok.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(tok, pa.binary())], names=["doc_id", "n", "ranges", "toks"])
 
-    return docs.where(common.in_bloom(wanted_b, F.col("doc_id"))).mapInArrow(run, "doc_id long, n long, ranges array<int>, toks binary")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, n long, ranges array<int>, toks binary")
 
 
 def verify(ws: common.Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
