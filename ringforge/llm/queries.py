@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import exact_dedup, html_text, mixing, ngram_join, sharding
 from .common import read_table
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
-SQL: dict[str, str] = {}
+def op3_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op9_mix_sources(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark, sf_dir):
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_exact_dedup, op9_mix_sources, op10_sharding)}
+
+SQL = {
+    "op3_exact_dedup": """
+        with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
+             g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
+        select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, d.text_sha256
+        from d join g using (text_sha256)""",
+}
