@@ -30,6 +30,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/ringforge-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -53,6 +54,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python by their bytes: whole texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle has: the cluster sets it to the size of its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

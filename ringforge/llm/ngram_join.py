@@ -89,10 +89,10 @@ def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int
                 m = len(s)
                 if not m or d is None:
                     continue
-                key = (m, *_fingerprints(s))
+                key = hash((m, *_fingerprints(s)))
                 if key in sent:
                     continue
-                if len(sent) >= 200_000:
+                if len(sent) >= 50_000:
                     sent.clear()
                 sent.add(key)
                 k = m - -(-percent * m // 100) + 1
@@ -146,10 +146,10 @@ def _shared(postings: DataFrame, percent: int, parts: int) -> DataFrame:
                 ids.append(np.frombuffer(d, np.int64)[w])
                 sizes.append(np.frombuffer(s, np.int64)[w])
                 poss.append(np.frombuffer(p, np.uint32))
+        words.release()
         if not toks:
             return
         t = np.concatenate(toks)
-        del toks
         order = np.argsort(t, kind="stable")
         t = t[order]
         same = t[1:] == t[:-1]
@@ -157,7 +157,9 @@ def _shared(postings: DataFrame, percent: int, parts: int) -> DataFrame:
         shared[1:] |= same
         shared[:-1] |= same
         order, t = order[shared], t[shared]
+        del toks
         d, s, p = (np.concatenate(x)[order] for x in (ids, sizes, poss))
+        del ids, sizes, poss
         p = p.astype(np.int64)
         order = np.lexsort((d, s, t))
         t, d, s, p = t[order], d[order], s[order], p[order]
@@ -267,3 +269,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = ws.table(common.components(ws, step))
     ws.drop(found, lists)
     return size.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows, with all their columns, of one document of each component (the smallest id); rows without id stay.
+
+    Only rows that may go are dealt by id: a fixed-size filter lets all others through as they are read."""
+    spark = docs.sparkSession
+    ws = common.Workspace(spark, "one-of-each")
+    got = ws.table(near_duplicates(docs, id_col, text_col, n, percent))
+    ids = got.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("k"))
+    odd = ws.table(ids.where("c <> doc_id or k > 1").select("doc_id", (F.col("c") != F.col("doc_id")).alias("goes")))
+    maybe_b = common.bloom(spark, odd.select("doc_id"))
+    key = F.col(id_col).cast("long")
+    maybe = common.in_bloom(maybe_b, F.coalesce(key, F.lit(0))) & key.isNotNull()
+    certain = docs.where(~maybe)
+    stay = docs.where(maybe).join(odd.where("goes").select(F.col("doc_id").alias("_gone")), key == F.col("_gone"), "left_anti")
+    return certain.union(stay.dropDuplicates([id_col]))

@@ -5,6 +5,8 @@ A word is a run of bytes other than space, \\t, \\n, \\v, \\f, \\r; ASCII letter
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,9 @@ U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
+#: The same and all ASCII punctuation.
+PUNCTUATION = _SEP.copy()
+PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _VAL = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _VAL[65:91] = _VAL[97:123]
 _MUL = 0xD1342543DE82EF95
@@ -57,26 +62,46 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 22, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Slices of at most max_bytes of the column named text (one row at least), so that memory is bounded."""
+def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows anew, in batches of about max_bytes of one column (one row at least), so that memory is bounded."""
+    held, size = [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        _, off = text_buffers(b.column("text"))
+        _, off = text_buffers(b.column(column))
         i, n = 0, b.num_rows
         while i < n:
-            j = int(np.searchsorted(off, off[i] + max_bytes, "right")) - 1
-            j = min(max(j, i + 1), i + max_rows, n)
-            yield b.slice(i, j - i)
-            i = j
+            j = int(np.searchsorted(off, off[i] + max(0, max_bytes - size), "right")) - 1
+            j = min(max(j, i + 1 if not held else i), i + 4096, n)
+            if j > i:
+                held.append(b.slice(i, j - i))
+                size += int(off[j] - off[i])
+                i = j
+            if i < n or size >= max_bytes:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+    release()
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers stay with their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, offsets of each text's words)."""
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    inside = ~_SEP[data]
+    inside = ~separators[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
