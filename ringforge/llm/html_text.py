@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import common, words
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?--!?>|.*\Z)"  # comments; one without an end goes to the end of the page
@@ -288,5 +288,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             got = [main_text(x) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    common.bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

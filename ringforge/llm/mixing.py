@@ -55,13 +55,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, keep: list[str] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and the columns named in ``keep``."""
+    """One row per document: doc_id, size, source_size, target, taken, copies, and the columns named in ``keep`` as kept_<name>."""
     spark = docs.sparkSession
     ws = common.Workspace(spark, "mixing")
     text = F.col(text_col).cast("string")
     hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), text, F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long").alias("h"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    light = ws.table(rows.select("doc_id", "source", "size", "h")) if not keep else ws.table(rows)
+    light = ws.table(rows.select("doc_id", "source", "size", "h"))
 
     sources = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sources, weights, share, most)
@@ -89,5 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = small.join(edge, "key").where("h = prefix").groupBy("key", "budget", "prefix", "below").agg(F.sum("size").alias("at"))
     bound = last.select("key", F.when(F.col("below") + F.col("at") - F.col("budget") < F.col("budget") - F.col("below"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("limit"))
     rule = ws.table(plan.join(bound, "key", "left").select("key", "source_size", "target", "times", F.coalesce("limit", F.when(F.col("budget") > 0, F.lit(1 << 60)).otherwise(F.lit(0))).alias("limit")))
-    light = light.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    return light.join(rule, "key").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + (F.col("h") < F.col("limit")).cast("long"))).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+    # with further columns the documents are read again, so that texts are never written or dealt anew here
+    rows = (rows if keep else light).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    rows = rows.join(rule, "key").withColumn("copies", F.col("times") + (F.col("h") < F.col("limit")).cast("long"))
+    return rows.select(F.col("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *[f"kept_{c}" for c in keep])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, ngram_join, sharding
+from . import decontaminate, exact_dedup, html_text, langid, lm_score, mixing, ngram_join, pii, quality, sharding
 from .common import read_table
 
 
@@ -18,6 +18,26 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm_score.score(read_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark, sf_dir):
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark, sf_dir):
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -26,7 +46,7 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_exact_dedup, op9_mix_sources, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_exact_dedup, op4_lm_scoring, op5_quality, op6_language_id, op7_decontaminate, op8_pii, op9_mix_sources, op10_sharding)}
 
 SQL = {
     "op3_exact_dedup": """

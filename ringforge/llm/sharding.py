@@ -101,12 +101,12 @@ def pack(sizes: list[int], shards: int) -> list[int]:
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, items: int = 1 << 14, keep: list[str] = ()) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the columns in ``keep``."""
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the columns in ``keep`` as kept_<name>."""
     spark = docs.sparkSession
     ws = common.Workspace(spark, "sharding")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"kept_{c}") for c in keep], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("text_key"))
-    rows = ws.table(rows) if not keep else rows
+    rows = ws.table(rows)
     groups = ws.table(rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.min("text_crc32").alias("crc")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     deal = F.pmod(F.xxhash64("text_key"), F.lit(items)).cast("int")
@@ -126,5 +126,5 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     return (
         placed.join(starts, ["shard", "bucket"])
         .withColumn("slot", (F.col("start") + number - 1).cast("long"))
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *[f"kept_{c}" for c in keep])
     )
