@@ -8,13 +8,14 @@ Method (prefix filtering as in AllPairs / PPJoin+):
    table of fixed size.  Equal sets form classes, by an aggregate with map-side combine.
 2. Shingles are ordered rare first (by that count, then by hash; any total order gives the same result).  Of each
    set only the first |A| - ceil(t|A|) + 1 are sent out, packed in binary and dealt by hash.
-3. Per shingle, shared by at least two documents: neighbours in the order of set size become candidate pairs if the
-   length and positional filters let them pass: as many as there are postings, not their square.
-4. Candidates are verified once each against the whole sets, after the suffix filter (a lower bound of the
-   Hamming distance from the counts of both sets' hash ranges).
-5. Links give components.  What is left are pairs of documents that share a prefix shingle and aren't yet
-   connected: all of them pass through the same filters and are verified, and components are taken again.
-   Pairs inside a component need no further look: they can't change it.
+3. Per shingle, shared by at least two sets: all pairs of a list of up to SMALL sets become candidates if the
+   length and positional filters let them pass; of longer lists at first only neighbours in the order of set size and HUBS sets with all others.
+   So candidates grow with the number of postings, not with its square.
+4. Suffix filter: parities of the counts of hash ranges bound the Hamming distance of two sets from below; candidates
+   beyond what the threshold allows go.  The others are verified once each against the whole sets.
+5. Links give components.  What is left are pairs of documents of a long list that aren't yet connected: all of
+   them pass through the same filters (as conditions of one join, so that what fails is never a row), are verified, and
+   components are taken again.  Pairs inside a component need no further look: they can't change it.
 
 So a large group of near copies costs in proportion to its size, and no link between components is lost.
 
@@ -33,8 +34,12 @@ from .words import U
 
 #: Counters of the table that orders shingles: 4 MB on the driver and each executor for any input.
 COUNTERS_LOG2 = 20
-#: Hash ranges whose counts the suffix filter compares.
-RANGES = 16
+#: Hash ranges whose parities the suffix filter compares.
+SKETCH = 1024
+#: Lists of up to so many sets give all their pairs at once; longer ones first give neighbours.
+SMALL = 32
+#: How many sets of a longer list meet all others at first.
+HUBS = 4
 
 
 def _fingerprints(s: np.ndarray) -> tuple[int, int]:
@@ -75,21 +80,23 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int) -> DataFrame:
-    """Packed prefixes: (part, docs, sizes, tok, who, pos).  A task sends each set once."""
+    """Packed prefixes: (part, docs, sizes, prints, tok, who, pos), and the sketch of each set in one row of its chunk
+    (sk_docs, sketches).  A task sends each set once."""
 
     def run(batches):
         counts = np.frombuffer(counts_b.value, np.uint32)
         shift = U(64 - COUNTERS_LOG2)
         sent: set = set()
+        chunk = 0
         for b in words.chunks(batches):
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False) if not b.column("doc_id").null_count else None
-            raw = b.column("doc_id").to_pylist() if ids is None else ids
-            docs_, sizes, toks, who, pos = [], [], [], [], []
-            for d, s in zip(raw, _sets(b, n), strict=True):
+            ids = b.column("doc_id").to_pylist()
+            docs_, sizes, prints, toks, who, pos, sketches = [], [], [], [], [], [], []
+            for d, s in zip(ids, _sets(b, n), strict=True):
                 m = len(s)
                 if not m or d is None:
                     continue
-                key = hash((m, *_fingerprints(s)))
+                f1, f2 = _fingerprints(s)
+                key = hash((m, f1, f2))
                 if key in sent:
                     continue
                 if len(sent) >= 50_000:
@@ -98,8 +105,7 @@ def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int
                 k = m - -(-percent * m // 100) + 1
                 freq = counts[(s >> shift).astype(np.int64)]
                 if k < m:
-                    take = np.argpartition(freq, k - 1)
-                    lim = freq[take[k - 1]]
+                    lim = np.partition(freq, k - 1)[k - 1]
                     keep = np.flatnonzero(freq <= lim)  # the k least are among these; s is sorted, so ties go by hash
                     order = keep[np.argsort(freq[keep], kind="stable")][:k]
                 else:
@@ -107,7 +113,8 @@ def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int
                 toks.append(s[order])
                 who.append(np.full(k, len(docs_), np.uint16))
                 pos.append(np.arange(k, dtype=np.uint32))
-                docs_.append(d), sizes.append(m)
+                docs_.append(d), sizes.append(m), prints.append(f1 ^ (f2 << 1 & 0x7FFFFFFFFFFFFFFF))
+                sketches.append(_sketch(s))
             if not docs_:
                 continue
             t, w, p = np.concatenate(toks), np.concatenate(who), np.concatenate(pos)
@@ -115,16 +122,25 @@ def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int
             order = np.argsort(part, kind="stable")
             t, w, p = t[order], w[order], p[order]
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            da, sa = np.array(docs_, np.int64), np.array(sizes, np.int64)
+            da, sa, fa = np.array(docs_, np.int64), np.array(sizes, np.uint32), np.array(prints, np.int64)
+            mine = chunk * 7919 % parts
+            chunk += 1
             out = []
             for j in range(parts):
                 lo, hi = cuts[j], cuts[j + 1]
-                if lo < hi:
+                if lo < hi or j == mine:
                     used, local = np.unique(w[lo:hi], return_inverse=True)
-                    out.append((j, da[used].tobytes(), sa[used].tobytes(), t[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), p[lo:hi].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[c] for o in out], pa.binary()) for c in range(1, 6)]], names=["part", "docs", "sizes", "tok", "who", "pos"])
+                    own = (da.tobytes(), b"".join(sketches)) if j == mine else (b"", b"")
+                    out.append((j, da[used].tobytes(), sa[used].tobytes(), fa[used].tobytes(), t[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), p[lo:hi].tobytes(), *own))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[c] for o in out], pa.binary()) for c in range(1, 9)]], names=NAMES)
 
-    return docs.mapInArrow(run, "part int, docs binary, sizes binary, tok binary, who binary, pos binary")
+    NAMES = ["part", "docs", "sizes", "prints", "tok", "who", "pos", "sk_docs", "sketches"]
+    return docs.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in NAMES[1:]))
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of the counts of SKETCH hash ranges.  Ranges whose parities differ are at most as many as elements that only one of two sets has."""
+    return np.packbits((np.bincount((s >> U(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
 def passes(na, nb, pa_, pb, percent: int):
@@ -135,83 +151,122 @@ def passes(na, nb, pa_, pb, percent: int):
 
 
 def _shared(postings: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Postings of shingles that at least two documents share (kind 0), and neighbour pairs (kind 1: doc, other)."""
+    """kind 0: postings (tok, doc, n, pos) of shingles that more than SMALL sets share; kind 1: pairs (doc, other) that pass the
+    filters, all of shorter lists, neighbours and hubs of the longer; kind 2: (doc, n, sketch)."""
 
     def run(batches):
-        toks, ids, sizes, poss = [], [], [], []
+        toks, ids, sizes, prints, poss, sk_docs, sks = [], [], [], [], [], [], []
         for b in batches:
-            for d, s, t, w, p in zip(*[b.column(i).to_pylist() for i in range(1, 6)], strict=True):
+            for d, s, f, t, w, p, sd, sk in zip(*[b.column(i).to_pylist() for i in range(1, 9)], strict=True):
                 w = np.frombuffer(w, np.uint16)
                 toks.append(np.frombuffer(t, U))
                 ids.append(np.frombuffer(d, np.int64)[w])
-                sizes.append(np.frombuffer(s, np.int64)[w])
+                sizes.append(np.frombuffer(s, np.uint32)[w])
+                prints.append(np.frombuffer(f, np.int64)[w])
                 poss.append(np.frombuffer(p, np.uint32))
+                if sd:
+                    x = np.frombuffer(sd, np.int64)
+                    sk_docs.append(x), sks.append(np.frombuffer(sk, np.uint8).reshape(len(x), -1))
         words.release()
         if not toks:
             return
+        for x, k in zip(sk_docs, sks, strict=True):
+            v = np.ascontiguousarray(k).view(np.int64)
+            m = len(x)
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), none, pa.array(x), none, none, none, pa.array(list(v), pa.list_(pa.int64()))], names=NAMES)
         t = np.concatenate(toks)
         order = np.argsort(t, kind="stable")
         t = t[order]
-        same = t[1:] == t[:-1]
-        shared = np.zeros(len(t), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        order, t = order[shared], t[shared]
+        keep = _in_lists(t, 2)
+        order, t = order[keep], t[keep]
         del toks
-        d, s, p = (np.concatenate(x)[order] for x in (ids, sizes, poss))
-        del ids, sizes, poss
-        p = p.astype(np.int64)
-        order = np.lexsort((d, s, t))
-        t, d, s, p = t[order], d[order], s[order], p[order]
-        none = None
-        for k in range(0, len(t), 100_000):
-            e = slice(k, k + 100_000)
-            m = len(t[e])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(t[e].astype(np.int64)), pa.array(d[e]), pa.nulls(m, pa.int64()), pa.array(s[e]), pa.array(p[e])], names=NAMES)
-        if len(t) > 1:
-            ok = (t[1:] == t[:-1]) & (d[1:] != d[:-1]) & passes(s[1:], s[:-1], p[1:], p[:-1], percent)
-            a, b = np.minimum(d[1:], d[:-1])[ok], np.maximum(d[1:], d[:-1])[ok]
-            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            m = len(pairs)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none, none], names=NAMES)
+        d, s, f, p = (np.concatenate(x)[order] for x in (ids, sizes, prints, poss))
+        del ids, sizes, prints, poss
+        s, p = s.astype(np.int64), p.astype(np.int64)
+        # equal sets are one class already: the least id stands for the copies that other tasks sent
+        order = np.lexsort((d, f, s, t))
+        t, d, s, f, p = t[order], d[order], s[order], f[order], p[order]
+        first = np.ones(len(t), bool)
+        first[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (f[1:] != f[:-1])
+        t, d, s, p = t[first], d[first], s[first], p[first]
+        long_ = _in_lists(t, SMALL + 1)
+        for k in range(0, int(long_.sum()), 100_000):
+            e = np.flatnonzero(long_)[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(e), np.int32)), pa.array(t[e].astype(np.int64)), pa.array(d[e]), pa.nulls(len(e), pa.int64()), pa.array(s[e]), pa.array(p[e]), pa.nulls(len(e), LONGS)], names=NAMES)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for step in range(1, SMALL):
+            if len(t) <= step:
+                break
+            ok = (t[step:] == t[:-step]) & passes(s[step:], s[:-step], p[step:], p[:-step], percent)
+            if step > 1:
+                ok &= ~long_[step:]
+            at = np.flatnonzero(ok)
+            x, y = d[at], d[at + step]
+            pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        # of long lists, the sets with the rarest shingles least in number meet all others: where a list is a group of near copies,
+        # they are the ones nearest to its middle
+        if long_.any():
+            cuts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(t)), strict=True):
+                if not long_[lo]:
+                    continue
+                for h in lo + np.lexsort((d[lo:hi], p[lo:hi]))[:HUBS]:
+                    at = lo + np.flatnonzero(passes(s[lo:hi], s[h], p[lo:hi], p[h], percent))
+                    pairs.append(np.stack([np.minimum(d[at], d[h]), np.maximum(d[at], d[h])], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        for k in range(0, len(pairs), 100_000):
+            e = pairs[k : k + 100_000]
+            none = pa.nulls(len(e), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(e), np.int32)), none, pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy()), none, none, pa.nulls(len(e), LONGS)], names=NAMES)
+        del t, d, s, f, p, pairs
+        words.release()
+
+    LONGS = pa.list_(pa.int64())
+    NAMES = ["kind", "tok", "doc", "other", "n", "pos", "sketch"]
+    return postings.repartition(parts, "part").mapInArrow(run, "kind int, tok long, doc long, other long, n long, pos long, sketch array<long>")
 
-    NAMES = ["kind", "tok", "doc", "other", "n", "pos"]
-    return postings.repartition(parts, "part").mapInArrow(run, "kind int, tok long, doc long, other long, n long, pos long")
+
+def _in_lists(t: np.ndarray, least: int) -> np.ndarray:
+    """Which of the sorted values occur at least ``least`` times."""
+    if len(t) < least:
+        return np.zeros(len(t), bool)
+    cuts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    size = np.diff(np.append(cuts, len(t)))
+    return np.repeat(size >= least, size)
 
 
 def _set_rows(docs: DataFrame, wanted_b, n: int) -> DataFrame:
-    """(doc_id, n, ranges, toks) of the documents that may be wanted."""
+    """(doc_id, toks) of the documents that may be wanted."""
 
     def run(batches):
         for b in words.chunks(b.filter(pa.array(common.bloom_has(wanted_b.value, b.column("doc_id").to_numpy(zero_copy_only=False)))) for b in batches):
-            ids, ns, sig, tok = [], [], [], []
+            ids, tok = [], []
             for d, s in zip(b.column("doc_id").to_pylist(), _sets(b, n), strict=True):
                 if len(s):
-                    ids.append(d), ns.append(len(s))
-                    sig.append(np.bincount((s >> U(60)).astype(np.int64), minlength=RANGES).tolist())
-                    tok.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(tok, pa.binary())], names=["doc_id", "n", "ranges", "toks"])
+                    ids.append(d), tok.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tok, pa.binary())], names=["doc_id", "toks"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, toks binary")
+
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, n long, ranges array<int>, toks binary")
+def _need(a: str, b: str, percent: int):
+    return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
+
+
+def _close(percent: int):
+    """Suffix filter on columns n_a, n_b, k0_a .. k0_b ..: the sketches' Hamming distance leaves room for the threshold."""
+    apart = sum((F.bit_count(F.col(f"k{i}_a").bitwiseXOR(F.col(f"k{i}_b"))) for i in range(SKETCH // 64)), F.lit(0))
+    return F.col("n_a") + F.col("n_b") - 2 * _need("n_a", "n_b", percent) >= apart
 
 
 def verify(ws: common.Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose whole sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = common.bloom(ws.spark, ids)
-    sets = ws.table(_set_rows(docs, wanted, n).join(ids, "doc_id", "left_semi"))
-    small = sets.select("doc_id", "n", "ranges")
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    left = (
-        pairs.join(small.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra")), "a")
-        .join(small.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb")), "b")
-        .where((F.col("na") + F.col("nb") - 2 * need >= apart))
-        .select("a", "b")
-    )
-    toks = sets.select("doc_id", "toks")
-    both = left.join(toks.select(F.col("doc_id").alias("a"), F.col("toks").alias("x")), "a").join(toks.select(F.col("doc_id").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
+    toks = ws.table(_set_rows(docs, wanted, n).join(ids, "doc_id", "left_semi"))
+    both = pairs.join(toks.select(F.col("doc_id").alias("a"), F.col("toks").alias("x")), "a").join(toks.select(F.col("doc_id").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches):
         for b in batches:
@@ -221,6 +276,7 @@ def verify(ws: common.Workspace, docs: DataFrame, pairs: DataFrame, n: int, perc
                 common_ = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common_ >= percent * (len(x) + len(y) - common_))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        words.release()
 
     return both.mapInArrow(check, "a long, b long").distinct()
 
@@ -241,33 +297,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = known.join(classes.select("n", "f1", "f2", "b"), ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
 
     found = ws.table(_shared(_prefix_postings(docs.where("doc_id is not null"), counts_b, n, percent, parts * 4), percent, parts))
+    sketch = found.where("kind = 2").select("doc", *[F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH // 64)])
+    sized = sketch.join(known.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n")), "doc")
+    side = {x: sized.select(*[F.col(c).alias({"doc": x}.get(c, f"{c}_{x}")) for c in sized.columns]) for x in "ab"}
     near = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
+    near = ws.table(near.join(side["a"], "a").join(side["b"], "b").where(_close(percent)).select("a", "b"))
     links = ws.table(verify(ws, docs, near, n, percent).union(copies))
     labels = ws.table(common.components(ws, links))
 
-    # candidates between different components
-    lists = found.where("kind = 0").select("tok", "doc", "n", "pos").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
-    several = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    lists = ws.table(lists.join(several, "tok", "left_semi"))
-    main = lists.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    mixed = lists.join(main, "tok")
-    x = mixed.where("comp <> main").select("tok", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "pos", "comp")])
-    y = mixed.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "pos", "comp")], (F.col("comp") == F.col("main")).alias("in_main"))
-    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    rest = (
-        x.join(y, "tok")
-        .where("comp_a <> comp_b and (in_main or doc_a < doc_b)")
-        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= need))
-        .select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
-        .distinct()
-    )
-    rest = ws.table(rest.join(near, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = ws.table(verify(ws, docs, rest, n, percent))
-        if more.limit(1).count():
-            step = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-            labels = ws.table(common.components(ws, step))
-    ws.drop(found, lists)
+    # of the long lists: candidates between different components.  One side is what stands outside the list's main component
+    lists = found.where("kind = 0").select("tok", "doc", "n", "pos")
+    if lists.limit(1).count():
+        lists = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
+        several = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
+        lists = ws.table(lists.join(several, "tok", "left_semi").join(sketch, "doc"))
+        main = lists.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        mixed = lists.join(main, "tok").withColumn("in_main", F.col("comp") == F.col("main"))
+        side = {x: mixed.select(*[F.col(c).alias({"tok": "tok"}.get(c, f"{c}_{x}")) for c in mixed.columns]) for x in "ab"}
+        length = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        place = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= _need("n_a", "n_b", percent)
+        order = (F.col("comp_a") != F.col("comp_b")) & (F.col("in_main_b") | (F.col("doc_a") < F.col("doc_b")))
+        x, y = side["a"].where("not in_main_a"), side["b"].withColumnRenamed("tok", "tok_b")
+        met = x.join(y, (F.col("tok") == F.col("tok_b")) & order & length & place & _close(percent))
+        rest = ws.table(met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
+        if rest.limit(1).count():
+            more = ws.table(verify(ws, docs, rest, n, percent))
+            if more.limit(1).count():
+                step = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+                labels = ws.table(common.components(ws, step))
+    ws.drop(found)
     return size.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
