@@ -30,7 +30,9 @@ from .words import U
 COUNTERS_LOG2 = 20
 BACKOFF = 0.4
 MIN_COUNT = 2
-HEAVY = 20_000
+HEAVY = 100_000
+#: Hash buckets of each task of the second step: it holds one of them unpacked at a time.
+BUCKETS = 4
 #: Stands for "no word before" and for a null id.
 START = U(0)
 NO_ID = -(2**63)
@@ -113,16 +115,18 @@ def _look(keys: np.ndarray, counts: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, heavy_b, parts: int) -> DataFrame:
-    """Packed rows: (part, docs, second, runs, first32, first16, who, times), and settled sums (ids, sums, sizes) in one row of each chunk."""
+    """Packed rows (part, blob): documents, second words and their runs, first words, who has them and how often, and, in one
+    row of each chunk, the documents' settled sums and sizes."""
 
     def run(batches):
         words_k, words_c, pairs_k, pairs_c, total = heavy_b.value
         chunk = 0
-        for b in words.chunks(batches):
+        for b in words.chunks(batches, 1 << 22):
             w, v, wo = _tokens(b)
             n = b.num_rows
             ids = np.array(b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False), np.int64)
-            owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(wo))
+            sizes = np.diff(wo).astype(np.int64)
+            owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
             c2 = _look(words_k, words_c, w)
             c12 = np.where(v == START, 0, _look(pairs_k, pairs_c, _pair(v, w)))
             local = np.zeros(n)
@@ -134,37 +138,52 @@ def _postings(docs: DataFrame, heavy_b, parts: int) -> DataFrame:
             rest = np.flatnonzero(~(done | known))
             x, y, o = v[rest], w[rest], owner[rest]
             by = np.where(c2[rest] > 0, words.mix(_pair(x, y)), words.mix(y))
-            part = ((by >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+            del w, v, c2, c12, c1, known, done, rest, owner
+            part = ((by >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+            del by
             order = np.lexsort((o, x, y, part))
             x, y, o, part = x[order], y[order], o[order], part[order]
-            if len(x):
-                new = np.empty(len(x), bool)
-                new[0] = True
-                new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (o[1:] != o[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(x)))
-                x, y, o, part = x[first], y[first], o[first], part[first]
-            else:
-                times = np.zeros(0, np.int64)
+            first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (o[1:] != o[:-1]))) if len(x) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(x)))
+            x, y, o, part = x[first], y[first], o[first], part[first]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             mine = chunk * 7919 % parts
             chunk += 1
-            out = []
+            out_p, out_b = [], []
             for p in range(parts):
                 lo, hi = cuts[p], cuts[p + 1]
                 if lo == hi and p != mine:
                     continue
                 used, who = np.unique(o[lo:hi], return_inverse=True)
-                yy = y[lo:hi]
+                yy, xx = y[lo:hi], x[lo:hi]
                 starts = np.flatnonzero(np.append(True, yy[1:] != yy[:-1])) if hi > lo else np.zeros(0, np.int64)
                 runs = np.diff(np.append(starts, hi - lo)).astype(np.uint32)
-                xx = x[lo:hi]
-                own = (ids.tobytes(), local.tobytes(), np.diff(wo).astype(np.int64).tobytes()) if p == mine else (b"", b"", b"")
-                out.append((p, ids[used].tobytes(), yy[starts].tobytes(), runs.tobytes(), (xx & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (xx >> U(32)).astype(np.uint16).tobytes(), who.astype(np.uint16).tobytes(), times[lo:hi].astype(np.uint32).tobytes(), *own))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[c] for r in out], pa.binary()) for c in range(1, 11)]], names=NAMES)
+                own = (ids, local, sizes) if p == mine else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+                out_p.append(p)
+                out_b.append(_pack([ids[used], yy[starts], runs, (xx & U(0xFFFFFFFF)).astype(np.uint32), (xx >> U(32)).astype(np.uint16), who.astype(np.uint16), times[lo:hi].astype(np.uint32), *own]))
+            del x, y, o, part, order, times
+            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], names=["part", "blob"])
+
+    return docs.mapInArrow(run, "part int, blob binary")
+
+
+_KINDS = (np.int64, U, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.int64, np.float64, np.int64)
+
 
-    NAMES = ["part", "docs", "second", "runs", "first32", "first16", "who", "times", "ids", "sums", "sizes"]
-    return docs.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in NAMES[1:]))
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    head = np.array([len(a) for a in arrays], np.int64)
+    raw = head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    sizes = np.frombuffer(raw, np.int64, len(_KINDS))
+    out, at = [], 8 * len(_KINDS)
+    for n, kind in zip(sizes.tolist(), _KINDS, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
 def _settle(postings: DataFrame, heavy_b, parts: int, min_count: int, backoff: float) -> DataFrame:
@@ -172,65 +191,72 @@ def _settle(postings: DataFrame, heavy_b, parts: int, min_count: int, backoff: f
 
     def run(batches):
         words_k, words_c, _, _, total = heavy_b.value
-        cols: list = [[], [], [], []]
-        ids, sums, sizes = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        held: dict[int, list[bytes]] = {}
         for b in batches:
-            for _, docs_, second, runs, f32, f16, who, times, i, s, z in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if i:
-                    ids.append(np.frombuffer(i, np.int64)), sums.append(np.frombuffer(s)), sizes.append(np.frombuffer(z, np.int64))
-                cols[0].append(np.repeat(np.frombuffer(second, U), np.frombuffer(runs, np.uint32)))
-                cols[1].append(np.frombuffer(f32, np.uint32).astype(U) | (np.frombuffer(f16, np.uint16).astype(U) << U(32)))
-                cols[2].append(np.frombuffer(docs_, np.int64)[np.frombuffer(who, np.uint16)])
-                cols[3].append(np.frombuffer(times, np.uint32))
+            for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(p, []).append(blob)
         words.release()
-        if not cols[0]:
-            return
-        y, x = np.concatenate(cols[0]), np.concatenate(cols[1])
-        order = np.lexsort((x, y))
-        y, x = y[order], x[order]
-        d, t = np.concatenate(cols[2])[order], np.concatenate(cols[3])[order].astype(np.int64)
-        del cols, order
-        if len(y):
-            new_y = np.append(True, y[1:] != y[:-1])
-            new = new_y | np.append(True, x[1:] != x[:-1])
-            group, word = np.cumsum(new) - 1, np.cumsum(new_y) - 1
-            c12 = np.bincount(group, weights=t).astype(np.int64)[group]
-            first = np.flatnonzero(new_y)
-            uniq = y[first]
-            heavy = _look(words_k, words_c, uniq)
-            c2u = np.where(heavy > 0, heavy, np.bincount(word, weights=t).astype(np.int64))
-            c2 = c2u[word]
-            del group, word
-            table = (x != START) & (c12 >= min_count)
-            term = np.where(table, np.log(c12), np.log(c2 / total) + np.where(x == START, 0.0, np.log(backoff)))
-            c1 = np.where(table, _look(words_k, words_c, x), 0)
-            term = (term - np.where(c1 > 0, np.log(np.maximum(c1, 1)), 0.0)) * t
-            out = (uniq[(heavy == 0) & (c2u >= min_count)], c2u[(heavy == 0) & (c2u >= min_count)])
-            for k in range(0, len(out[0]), 200_000):
-                u, c = (a[k : k + 200_000] for a in out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), 2, np.int32)), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.nulls(len(u), pa.float64()), pa.array(c)], names=NAMES)
-            due = np.flatnonzero(table & (c1 == 0))
-            order = np.lexsort((d[due], x[due]))
-            due = due[order]
-            if len(due):
-                xx, dd = x[due], d[due]
-                at = np.flatnonzero(np.append(True, (xx[1:] != xx[:-1]) | (dd[1:] != dd[:-1])))
-                k_ = np.add.reduceat(t[due], at)
-                for k in range(0, len(at), 200_000):
-                    e = at[k : k + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), 1, np.int32)), pa.array(dd[e]), pa.array(xx[e].view(np.int64)), pa.nulls(len(e), pa.float64()), pa.array(k_[k : k + 200_000])], names=NAMES)
-            ids.append(d), sums.append(term), sizes.append(np.zeros(len(d), np.int64))
-        u, inv = np.unique(np.concatenate(ids), return_inverse=True)
-        s = np.bincount(inv, weights=np.concatenate(sums), minlength=len(u))
-        z = np.bincount(inv, weights=np.concatenate(sizes), minlength=len(u)).astype(np.int64)
-        for k in range(0, len(u), 200_000):
-            m = len(u[k : k + 200_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(u[k : k + 200_000]), pa.nulls(m, pa.int64()), pa.array(s[k : k + 200_000]), pa.array(z[k : k + 200_000])], names=NAMES)
-        del u, inv, s, z, ids, sums, sizes, d, t, x, y
+        sums: list[tuple] = []
+        for p in sorted(held):
+            parts_ = [_unpack(x) for x in held.pop(p)]
+            y = np.concatenate([np.repeat(x[1], x[2]) for x in parts_])
+            x_ = np.concatenate([x[3].astype(U) | (x[4].astype(U) << U(32)) for x in parts_])
+            d = np.concatenate([x[0][x[5]] for x in parts_])
+            t = np.concatenate([x[6] for x in parts_])
+            own = [np.concatenate([x[k] for x in parts_]) for k in (7, 8, 9)]
+            del parts_
+            sums.append(own)
+            if len(y):
+                order = np.lexsort((x_, y))
+                y, x_, d, t = y[order], x_[order], d[order], t[order].astype(np.int64)
+                del order
+                new_y = np.append(True, y[1:] != y[:-1])
+                new = new_y | np.append(True, x_[1:] != x_[:-1])
+                at = np.flatnonzero(new)
+                c12 = np.repeat(np.add.reduceat(t, at), np.diff(np.append(at, len(y))))
+                first = np.flatnonzero(new_y)
+                uniq = y[first]
+                heavy = _look(words_k, words_c, uniq)
+                c2u = np.where(heavy > 0, heavy, np.add.reduceat(t, first))
+                c2 = np.repeat(c2u, np.diff(np.append(first, len(y))))
+                del new_y, new, y
+                table = (x_ != START) & (c12 >= min_count)
+                term = np.where(table, np.log(c12), np.log(c2 / total) + np.where(x_ == START, 0.0, np.log(backoff)))
+                del c2, c12
+                c1 = np.where(table, _look(words_k, words_c, x_), 0)
+                term = (term - np.where(c1 > 0, np.log(np.maximum(c1, 1)), 0.0)) * t
+                u, inv = np.unique(d, return_inverse=True)
+                sums.append([u, np.bincount(inv, weights=term, minlength=len(u)), np.zeros(len(u), np.int64)])
+                del u, inv, term
+                light = (heavy == 0) & (c2u >= min_count)
+                yield _rows(2, None, uniq[light].view(np.int64), None, c2u[light])
+                due = np.flatnonzero(table & (c1 == 0))
+                del table, c1
+                due = due[np.lexsort((d[due], x_[due]))]
+                if len(due):
+                    xx, dd = x_[due], d[due]
+                    at = np.flatnonzero(np.append(True, (xx[1:] != xx[:-1]) | (dd[1:] != dd[:-1])))
+                    yield _rows(1, dd[at], xx[at].view(np.int64), None, np.add.reduceat(t[due], at))
+                del x_, d, t, due
+            if len(sums) > 8:
+                sums = [_added(sums)]
+        if sums:
+            u, s, z = _added(sums)
+            yield _rows(0, u, None, s, z)
+        del sums
         words.release()
 
-    NAMES = ["kind", "doc", "word", "x", "n"]
-    return postings.repartition(parts, "part").mapInArrow(run, "kind int, doc long, word long, x double, n long")
+    def _rows(kind, doc, word, x, n):
+        cols = [pa.array(c) if c is not None else pa.nulls(len(n), k) for c, k in ((doc, pa.int64()), (word, pa.int64()), (x, pa.float64()), (n, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), *cols], names=["kind", "doc", "word", "x", "n"])
+
+    return postings.repartitionById(parts, F.floor(F.col("part") / BUCKETS).cast("int")).mapInArrow(run, "kind int, doc long, word long, x double, n long")
+
+
+def _added(sums: list) -> list[np.ndarray]:
+    u, inv = np.unique(np.concatenate([a[0] for a in sums]), return_inverse=True)
+    s = np.bincount(inv, weights=np.concatenate([a[1] for a in sums]), minlength=len(u))
+    return [u, s, np.bincount(inv, weights=np.concatenate([a[2] for a in sums]), minlength=len(u)).astype(np.int64)]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, min_count: int = MIN_COUNT, heavy: int = HEAVY) -> DataFrame:
@@ -250,7 +276,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backo
         got = sorted((r["h"] % 2**64, r["c"]) for r in rows if r["k"] == k)
         tables += [np.array([g[0] for g in got], U), np.array([g[1] for g in got], np.int64)]
     heavy_b = spark.sparkContext.broadcast((*tables, max(1, total)))
-    found = ws.table(_settle(_postings(docs, heavy_b, parts * 2), heavy_b, parts, min_count, backoff))
+    found = ws.table(_settle(_postings(docs, heavy_b, parts * BUCKETS), heavy_b, parts, min_count, backoff))
     due = found.where("kind = 1").select("doc", "word", F.col("n").alias("times"))
     table = found.where("kind = 2").select("word", F.col("n").alias("c"))
     logs = due.join(table, "word").select("doc", (-F.log("c") * F.col("times")).alias("x"), F.lit(0).cast("long").alias("n"))
