@@ -78,46 +78,70 @@ def _bloom_slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x & m).astype(np.int64), ((x >> np.uint64(32)) & m).astype(np.int64)
 
 
-def sum_vectors(rows: DataFrame, width: int, dtype: str = "int64") -> np.ndarray:
-    """The sum of vectors that tasks have given as rows (part int, vec binary).
+VECTOR_PART = 1 << 14
+
+
+def vector_rows(vec: np.ndarray) -> list[tuple[int, bytes]]:
+    """A vector as compressed rows for sum_vectors; parts that are all zero are left out."""
+    codec, out = pa.Codec("zstd", 1), []
+    for k in range(0, len(vec), VECTOR_PART):
+        v = vec[k : k + VECTOR_PART]
+        if v.any():
+            out.append((k // VECTOR_PART, codec.compress(v.tobytes(), asbytes=True)))
+    return out
+
+
+def vector_batch(vec: np.ndarray) -> pa.RecordBatch:
+    rows = vector_rows(vec)
+    return pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "vec": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one compressed blob."""
+    raw = np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    sizes = np.frombuffer(raw, np.int64, len(kinds))
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _vector(blob: bytes, dtype, width: int, part: int) -> np.ndarray:
+    n = min(VECTOR_PART, width - part * VECTOR_PART)
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, n * np.dtype(dtype).itemsize, asbytes=True), dtype)
 
-    ``width`` is fixed, so what comes to the driver is as large for any input.  Each part is
-    summed as its rows stream in."""
-    n = rows.select("part", "vec").repartition(16, "part")
+
+def _merged(rows: DataFrame, width: int, dtype: str, add, finish, out_dtype: str) -> np.ndarray:
+    """Vectors that tasks have given as rows (part int, vec binary), joined part by part as rows stream in.  ``width`` is fixed,
+    so what comes to the driver is as large for any input."""
 
     def merge(batches):
         got: dict[int, np.ndarray] = {}
         for b in batches:
             for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(v, dtype)
-                if p in got:
-                    got[p] += v
-                else:
-                    got[p] = v.copy()
-        if got:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(got), pa.int32()), "vec": pa.array([v.tobytes() for v in got.values()], pa.binary())})
-
-    out = None
-    parts = n.mapInArrow(merge, "part int, vec binary").collect()  # fixed size: width values
+                v = _vector(v, dtype, width, p)
+                got[p] = add(got[p], v) if p in got else add(np.zeros(len(v), out_dtype if finish is None else np.int64), v)
+        codec = pa.Codec("zstd", 1)
+        done = [codec.compress((v if finish is None else finish(v)).astype(out_dtype).tobytes(), asbytes=True) for v in got.values()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(got), pa.int32()), "vec": pa.array(done, pa.binary())})
+
+    parts = rows.select("part", "vec").repartition(16, "part").mapInArrow(merge, "part int, vec binary").collect()
+    out = np.zeros(width, out_dtype)
     for r in parts:
-        v = np.frombuffer(r["vec"], dtype)
-        if out is None:
-            out = np.zeros(width, dtype)
-        out[r["part"] * VECTOR_PART : r["part"] * VECTOR_PART + len(v)] += v
-    return np.zeros(width, dtype) if out is None else out
-
-
-VECTOR_PART = 1 << 14
+        v = _vector(r["vec"], out_dtype, width, r["part"])
+        out[r["part"] * VECTOR_PART : r["part"] * VECTOR_PART + len(v)] = v
+    return out
 
 
-def vector_rows(vec: np.ndarray) -> list[tuple[int, bytes]]:
-    """A vector as rows for sum_vectors; parts that are all zero are left out."""
-    out = []
-    for k in range(0, len(vec), VECTOR_PART):
-        v = vec[k : k + VECTOR_PART]
-        if v.any():
-            out.append((k // VECTOR_PART, v.tobytes()))
-    return out
+def sum_vectors(rows: DataFrame, width: int, dtype: str = "int64", finish=None, out_dtype: str = "int64") -> np.ndarray:
+    """The sum of the tasks' vectors; ``finish`` maps sums to what the driver gets."""
+    return _merged(rows, width, dtype, lambda a, b: a + b, finish, out_dtype)
 
 
 def bloom(spark: SparkSession, ids: DataFrame):
@@ -128,24 +152,9 @@ def bloom(spark: SparkSession, ids: DataFrame):
         for b in batches:
             for s in _bloom_slots(b.column(0).to_numpy(zero_copy_only=False)):
                 bits[s] = 1
-        packed = np.packbits(bits).astype(np.uint8)
-        rows = vector_rows(packed)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "vec": pa.array([r[1] for r in rows], pa.binary())})
-
-    def merge(batches):
-        got: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(v, np.uint8)
-                got[p] = got[p] | v if p in got else v
-        if got:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(got), pa.int32()), "vec": pa.array([v.tobytes() for v in got.values()], pa.binary())})
+        yield vector_batch(np.packbits(bits))
 
-    parts = ids.mapInArrow(fill, "part int, vec binary").repartition(16, "part").mapInArrow(merge, "part int, vec binary").collect()
-    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in parts:
-        v = np.frombuffer(r["vec"], np.uint8)
-        bits[r["part"] * VECTOR_PART : r["part"] * VECTOR_PART + len(v)] |= v
+    bits = _merged(ids.mapInArrow(fill, "part int, vec binary"), BLOOM_BITS // 8, "uint8", np.bitwise_or, None, "uint8")
     return spark.sparkContext.broadcast(bits.tobytes())
 
 

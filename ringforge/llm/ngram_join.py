@@ -12,7 +12,8 @@ Method (prefix filtering as in AllPairs / PPJoin+):
    length and positional filters let them pass; of longer lists at first only neighbours in the order of set size and HUBS sets with all others.
    So candidates grow with the number of postings, not with its square.
 4. Suffix filter: parities of the counts of hash ranges bound the Hamming distance of two sets from below; candidates
-   beyond what the threshold allows go.  The others are verified once each against the whole sets.
+   beyond what the threshold allows go.  The others are verified once each against the whole sets: first each set's
+   closest candidate, then those that lie between the components these give.
 5. Links give components.  What is left are pairs of documents of a long list that aren't yet connected: all of
    them pass through the same filters (as conditions of one join, so that what fails is never a row), are verified, and
    components are taken again.  Pairs inside a component need no further look: they can't change it.
@@ -32,8 +33,11 @@ from pyspark.sql import functions as F
 from . import common, words
 from .words import U
 
-#: Counters of the table that orders shingles: 4 MB on the driver and each executor for any input.
-COUNTERS_LOG2 = 20
+#: The table that orders shingles has up to 2^24 one-byte counters (16 MB on the driver and each worker), fewer where the
+#: cluster's number of shuffle partitions says that the input is small.
+COUNTERS_LOG2 = (18, 24)
+#: Documents after which a task gives up its counts, so that two bytes hold them.
+COUNTED = 60_000
 #: Hash ranges whose parities the suffix filter compares.
 SKETCH = 1024
 #: Lists of up to so many sets give all their pairs at once; longer ones first give neighbours.
@@ -55,40 +59,59 @@ def _sets(batch: pa.RecordBatch, n: int):
     return words.shingle_sets(w, wo, n)
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
+def _counters(parts: int) -> int:
+    low, high = COUNTERS_LOG2
+    return min(high, low + (parts - 1).bit_length())
+
+
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Counts to one byte, in order: exact up to 127, then by their logarithm."""
+    big = 128 + 8 * (np.log2(np.maximum(counts, 128)) - 7)
+    return np.where(counts < 128, counts, np.minimum(big, 255)).astype(np.uint8)
+
+
+def describe(docs: DataFrame, n: int, log2: int) -> DataFrame:
     """One row per document (kind 0: doc_id, n, f1, f2), and each task's counts of shingles (kind 1: part, vec)."""
 
+    def flush(counts):
+        rows = common.vector_rows(counts)
+        k = len(rows)
+        none = pa.nulls(k, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=NAMES)
+
     def run(batches):
-        counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
-        shift = U(64 - COUNTERS_LOG2)
+        counts, seen = np.zeros(1 << log2, np.uint16), 0
+        shift = U(64 - log2)
         for b in words.chunks(batches):
             size, f1, f2, all_ = [], [], [], []
             for s in _sets(b, n):
                 x, y = _fingerprints(s)
                 size.append(len(s)), f1.append(x), f2.append(y), all_.append(s)
-            slots = (np.concatenate(all_) >> shift).astype(np.int64)
-            counts += np.bincount(slots, minlength=len(counts))
             k = len(size)
+            if seen + k > COUNTED:
+                yield flush(counts)
+                counts[:], seen = 0, 0
+            seen += k
+            np.add.at(counts, (np.concatenate(all_) >> shift).astype(np.int64), np.uint16(1))
             yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=NAMES)
-        rows = common.vector_rows(np.minimum(counts, 2**32 - 1).astype(np.uint32))
-        k = len(rows)
-        none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=NAMES)
+        yield flush(counts)
+        del counts
+        words.release()
 
     NAMES = ["kind", "doc_id", "n", "f1", "f2", "part", "vec"]
     return docs.mapInArrow(run, "kind int, doc_id long, n long, f1 long, f2 long, part int, vec binary")
 
 
 def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int) -> DataFrame:
-    """Packed prefixes: (part, docs, sizes, prints, tok, who, pos), and the sketch of each set in one row of its chunk
-    (sk_docs, sketches).  A task sends each set once."""
+    """Packed prefixes (part, blob): documents with size and fingerprint, 40 bits of each shingle, whose it is and its place; and
+    in one row of each chunk the documents' sketches.  A task sends each set once."""
 
     def run(batches):
-        counts = np.frombuffer(counts_b.value, np.uint32)
-        shift = U(64 - COUNTERS_LOG2)
+        counts = np.frombuffer(counts_b.value, np.uint8)
+        shift = U(64 - (len(counts) - 1).bit_length())
         sent: set = set()
         chunk = 0
-        for b in words.chunks(batches):
+        for b in words.chunks(batches, 1 << 22):
             ids = b.column("doc_id").to_pylist()
             docs_, sizes, prints, toks, who, pos, sketches = [], [], [], [], [], [], []
             for d, s in zip(ids, _sets(b, n), strict=True):
@@ -125,17 +148,21 @@ def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int
             da, sa, fa = np.array(docs_, np.int64), np.array(sizes, np.uint32), np.array(prints, np.int64)
             mine = chunk * 7919 % parts
             chunk += 1
-            out = []
+            out_p, out_b = [], []
             for j in range(parts):
                 lo, hi = cuts[j], cuts[j + 1]
                 if lo < hi or j == mine:
                     used, local = np.unique(w[lo:hi], return_inverse=True)
-                    own = (da.tobytes(), b"".join(sketches)) if j == mine else (b"", b"")
-                    out.append((j, da[used].tobytes(), sa[used].tobytes(), fa[used].tobytes(), t[lo:hi].tobytes(), local.astype(np.uint16).tobytes(), p[lo:hi].tobytes(), *own))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[c] for o in out], pa.binary()) for c in range(1, 9)]], names=NAMES)
+                    own = (da, np.frombuffer(b"".join(sketches), np.uint8)) if j == mine else (da[:0], np.zeros(0, np.uint8))
+                    tt = t[lo:hi]
+                    out_p.append(j)
+                    out_b.append(common.pack([da[used], sa[used], fa[used], (tt & U(0xFFFFFFFF)).astype(np.uint32), (tt >> U(32) & U(0xFF)).astype(np.uint8), local.astype(np.uint16), p[lo:hi], *own]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], names=["part", "blob"])
 
-    NAMES = ["part", "docs", "sizes", "prints", "tok", "who", "pos", "sk_docs", "sketches"]
-    return docs.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in NAMES[1:]))
+    return docs.mapInArrow(run, "part int, blob binary")
+
+
+_KINDS = (np.int64, np.uint32, np.int64, np.uint32, np.uint8, np.uint16, np.uint32, np.int64, np.uint8)
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -157,16 +184,13 @@ def _shared(postings: DataFrame, percent: int, parts: int) -> DataFrame:
     def run(batches):
         toks, ids, sizes, prints, poss, sk_docs, sks = [], [], [], [], [], [], []
         for b in batches:
-            for d, s, f, t, w, p, sd, sk in zip(*[b.column(i).to_pylist() for i in range(1, 9)], strict=True):
-                w = np.frombuffer(w, np.uint16)
-                toks.append(np.frombuffer(t, U))
-                ids.append(np.frombuffer(d, np.int64)[w])
-                sizes.append(np.frombuffer(s, np.uint32)[w])
-                prints.append(np.frombuffer(f, np.int64)[w])
-                poss.append(np.frombuffer(p, np.uint32))
-                if sd:
-                    x = np.frombuffer(sd, np.int64)
-                    sk_docs.append(x), sks.append(np.frombuffer(sk, np.uint8).reshape(len(x), -1))
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                d, s, f, t0, t1, w, p, sd, sk = common.unpack(blob, _KINDS)
+                # 40 bits tell the shingles of one part apart: a coincidence makes a candidate more, never one less
+                toks.append(t0.astype(U) | (t1.astype(U) << U(32)) | U(part << 40))
+                ids.append(d[w]), sizes.append(s[w]), prints.append(f[w]), poss.append(p)
+                if len(sd):
+                    sk_docs.append(sd), sks.append(sk.reshape(len(sd), -1))
         words.release()
         if not toks:
             return
@@ -225,7 +249,7 @@ def _shared(postings: DataFrame, percent: int, parts: int) -> DataFrame:
 
     LONGS = pa.list_(pa.int64())
     NAMES = ["kind", "tok", "doc", "other", "n", "pos", "sketch"]
-    return postings.repartition(parts, "part").mapInArrow(run, "kind int, tok long, doc long, other long, n long, pos long, sketch array<long>")
+    return postings.repartitionById(parts, F.col("part")).mapInArrow(run, "kind int, tok long, doc long, other long, n long, pos long, sketch array<long>")
 
 
 def _in_lists(t: np.ndarray, least: int) -> np.ndarray:
@@ -255,18 +279,25 @@ def _need(a: str, b: str, percent: int):
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
 
 
+def _apart():
+    """The least Hamming distance that the sketches k0_a .. and k0_b .. allow."""
+    return sum((F.bit_count(F.col(f"k{i}_a").bitwiseXOR(F.col(f"k{i}_b"))) for i in range(SKETCH // 64)), F.lit(0))
+
+
 def _close(percent: int):
-    """Suffix filter on columns n_a, n_b, k0_a .. k0_b ..: the sketches' Hamming distance leaves room for the threshold."""
-    apart = sum((F.bit_count(F.col(f"k{i}_a").bitwiseXOR(F.col(f"k{i}_b"))) for i in range(SKETCH // 64)), F.lit(0))
-    return F.col("n_a") + F.col("n_b") - 2 * _need("n_a", "n_b", percent) >= apart
+    """Suffix filter on columns n_a, n_b, k0_a .. k0_b ..: that distance leaves room for the threshold."""
+    return F.col("n_a") + F.col("n_b") - 2 * _need("n_a", "n_b", percent) >= _apart()
 
 
-def verify(ws: common.Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets reach the threshold."""
+def sets_of(ws: common.Workspace, docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, toks) of all documents in pairs (a, b)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = common.bloom(ws.spark, ids)
-    toks = ws.table(_set_rows(docs, wanted, n).join(ids, "doc_id", "left_semi"))
-    both = pairs.join(toks.select(F.col("doc_id").alias("a"), F.col("toks").alias("x")), "a").join(toks.select(F.col("doc_id").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
+    return ws.table(_set_rows(docs, common.bloom(ws.spark, ids), n).join(ids, "doc_id", "left_semi"))
+
+
+def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose whole sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("toks").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches):
         for b in batches:
@@ -281,6 +312,16 @@ def verify(ws: common.Workspace, docs: DataFrame, pairs: DataFrame, n: int, perc
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _joined(ws: common.Workspace, labels: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Components after those of the pairs that lie between components are verified."""
+    of = {x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+    between = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = ws.table(verify(sets, between, percent))
+    if not more.limit(1).count():
+        return labels
+    return ws.table(common.components(ws, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -288,22 +329,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = common.partitions(spark)
 
-    first = ws.table(describe(docs, n))
-    counts = common.sum_vectors(first.where("kind = 1"), 1 << COUNTERS_LOG2, "uint32")
+    log2 = _counters(parts)
+    first = ws.table(describe(docs, n, log2))
+    counts = common.sum_vectors(first.where("kind = 1"), 1 << log2, "uint16", _rank, "uint8")
     counts_b = spark.sparkContext.broadcast(counts.tobytes())
     size = first.where("kind = 0").select("doc_id", "n", "f1", "f2")
     known = size.where("doc_id is not null and n > 0")
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top")
     copies = known.join(classes.select("n", "f1", "f2", "b"), ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
 
-    found = ws.table(_shared(_prefix_postings(docs.where("doc_id is not null"), counts_b, n, percent, parts * 4), percent, parts))
+    found = ws.table(_shared(_prefix_postings(docs.where("doc_id is not null"), counts_b, n, percent, parts), percent, parts))
     sketch = found.where("kind = 2").select("doc", *[F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH // 64)])
     sized = sketch.join(known.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n")), "doc")
     side = {x: sized.select(*[F.col(c).alias({"doc": x}.get(c, f"{c}_{x}")) for c in sized.columns]) for x in "ab"}
     near = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
-    near = ws.table(near.join(side["a"], "a").join(side["b"], "b").where(_close(percent)).select("a", "b"))
-    links = ws.table(verify(ws, docs, near, n, percent).union(copies))
-    labels = ws.table(common.components(ws, links))
+    near = ws.table(near.join(side["a"], "a").join(side["b"], "b").where(_close(percent)).select("a", "b", _apart().alias("apart")))
+    sets = sets_of(ws, docs, near, n)
+    # first each document with its closest partner, by the sketches: most groups are connected by that
+    closest = near.select(F.col("a").alias("d"), F.struct("apart", F.col("b").alias("o")).alias("m")).union(near.select("b", F.struct("apart", F.col("a").alias("o"))))
+    closest = closest.groupBy("d").agg(F.min("m").alias("m")).select(F.least("d", "m.o").alias("a"), F.greatest("d", "m.o").alias("b")).distinct()
+    labels = ws.table(common.components(ws, ws.table(verify(sets, closest, percent).union(copies))))
+    labels = _joined(ws, labels, sets, near.select("a", "b").join(closest, ["a", "b"], "left_anti"), percent)
 
     # of the long lists: candidates between different components.  One side is what stands outside the list's main component
     lists = found.where("kind = 0").select("tok", "doc", "n", "pos")
@@ -321,10 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = x.join(y, (F.col("tok") == F.col("tok_b")) & order & length & place & _close(percent))
         rest = ws.table(met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
         if rest.limit(1).count():
-            more = ws.table(verify(ws, docs, rest, n, percent))
-            if more.limit(1).count():
-                step = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-                labels = ws.table(common.components(ws, step))
+            labels = _joined(ws, labels, sets_of(ws, docs, rest, n), rest, percent)
     ws.drop(found)
     return size.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
