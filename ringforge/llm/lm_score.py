@@ -70,8 +70,7 @@ def _counters(docs: DataFrame) -> DataFrame:
             np.add.at(c, _slots(w), 1)
             np.add.at(c, _slots(_pair(v, w)[v != START]), 1)
             total += len(w)
-        rows = common.vector_rows(np.concatenate([c, total]))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "vec": pa.array([r[1] for r in rows], pa.binary())})
+        yield common.vector_batch(np.concatenate([c, total]))
 
     return docs.mapInArrow(run, "part int, vec binary")
 
@@ -160,7 +159,7 @@ def _postings(docs: DataFrame, heavy_b, parts: int) -> DataFrame:
                 runs = np.diff(np.append(starts, hi - lo)).astype(np.uint32)
                 own = (ids, local, sizes) if p == mine else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
                 out_p.append(p)
-                out_b.append(_pack([ids[used], yy[starts], runs, (xx & U(0xFFFFFFFF)).astype(np.uint32), (xx >> U(32)).astype(np.uint16), who.astype(np.uint16), times[lo:hi].astype(np.uint32), *own]))
+                out_b.append(common.pack([ids[used], yy[starts], runs, (xx & U(0xFFFFFFFF)).astype(np.uint32), (xx >> U(32)).astype(np.uint16), who.astype(np.uint16), times[lo:hi].astype(np.uint32), *own]))
             del x, y, o, part, order, times
             yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], names=["part", "blob"])
 
@@ -170,22 +169,6 @@ def _postings(docs: DataFrame, heavy_b, parts: int) -> DataFrame:
 _KINDS = (np.int64, U, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.int64, np.float64, np.int64)
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    head = np.array([len(a) for a in arrays], np.int64)
-    raw = head.tobytes() + b"".join(a.tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    sizes = np.frombuffer(raw, np.int64, len(_KINDS))
-    out, at = [], 8 * len(_KINDS)
-    for n, kind in zip(sizes.tolist(), _KINDS, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
-
-
 def _settle(postings: DataFrame, heavy_b, parts: int, min_count: int, backoff: float) -> DataFrame:
     """kind 0: (key document, x sum of logs, n tokens); kind 1: (key document, word, n times its log count is due); kind 2: (word, n its count)."""
 
@@ -198,7 +181,7 @@ def _settle(postings: DataFrame, heavy_b, parts: int, min_count: int, backoff: f
         words.release()
         sums: list[tuple] = []
         for p in sorted(held):
-            parts_ = [_unpack(x) for x in held.pop(p)]
+            parts_ = [common.unpack(x, _KINDS) for x in held.pop(p)]
             y = np.concatenate([np.repeat(x[1], x[2]) for x in parts_])
             x_ = np.concatenate([x[3].astype(U) | (x[4].astype(U) << U(32)) for x in parts_])
             d = np.concatenate([x[0][x[5]] for x in parts_])

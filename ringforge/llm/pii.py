@@ -105,7 +105,7 @@ def _votes(kind: str, span: str, before: list[str], after: list[str]) -> list[in
     around = near | set(after[:3])
     return [
         # shape
-        1 if kind == "phone_local" and (span[0] == "(" or 9 <= len(digits) <= 11) or kind == "email_spelt" and re.search(r"[\[(<](at|dot)[\])>]", low) or kind == "national_id" or kind == "iban" and _iban_ok(span) or kind == "name" and span.count(" ") > 1 else 0 if kind in ("iban", "email_spelt") else -1,
+        1 if kind == "phone_local" and (span[0] == "(" or "-" in span and 9 <= len(digits) <= 11) or kind == "email_spelt" and re.search(r"[\[(<](at|dot)[\])>]", low) or kind == "national_id" or kind == "iban" and _iban_ok(span) or kind == "name" and span.count(" ") > 1 else 0 if kind in ("iban", "email_spelt") else -1,
         # gazetteer inside the span
         1 if kind == "name" and set(low.replace(".", "").split()) & GIVEN or kind == "email_spelt" and re.search(r"(?:com|org|net|de|fr|es|edu|uk)$", low) else 0 if kind == "email_spelt" else -1,
         # words before, and around
@@ -167,36 +167,20 @@ def _span_features(kind: str, span: str, before: list[str], after: list[str]) ->
 def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:
     """The posterior of each vote pattern, by expectation-maximisation over pattern counts.
 
-    Each kind has its prior, each labeler its rates of voting 1 on true and on false spans (smoothed, starting from
-    trust in labelers above chance)."""
+    Both classes are taken as equally likely beforehand: many labelers only ever vote one way, and a prior that is learned
+    from them would drift.  A labeler's reliability is the part of its votes that agrees with the posterior, smoothed towards 0.8
+    and never below 0.55, so that the two classes can't change names."""
     if not patterns:
         return {}
-    kinds = sorted({p.split(":")[0] for p, _ in patterns})
-    prior = {k: 0.5 for k in kinds}
-    good, bad = np.full(N_VOTES, 0.8), np.full(N_VOTES, 0.2)
     votes = np.array([["-01".index(c) - 1 for c in p.split(":")[1]] for p, _ in patterns])
-    counts = np.array([float(n) for _, n in patterns])
-    kind = np.array([kinds.index(p.split(":")[0]) for p, _ in patterns])
-    post = np.zeros(len(patterns))
+    counts = np.array([float(n) for _, n in patterns])[:, None]
+    right = np.full(N_VOTES, 0.8)
+    post = np.full(len(patterns), 0.5)
     for _ in range(rounds):
-        pr = np.array([prior[k] for k in kinds])[kind]
-        a, b = np.log(pr), np.log(1 - pr)
-        for j in range(N_VOTES):
-            for v, x, y in ((1, good[j], bad[j]), (0, 1 - good[j], 1 - bad[j])):
-                on = votes[:, j] == v
-                a[on] += np.log(x)
-                b[on] += np.log(y)
-        post = 1 / (1 + np.exp(np.clip(b - a, -50, 50)))
-        for i, k in enumerate(kinds):
-            on = kind == i
-            prior[k] = float(np.clip(((post * counts)[on].sum() + 1) / (counts[on].sum() + 2), 0.02, 0.98))
-        for j in range(N_VOTES):
-            one, zero = votes[:, j] == 1, votes[:, j] == 0
-            t1, t0 = (post * counts)[one].sum(), (post * counts)[zero].sum()
-            f1, f0 = ((1 - post) * counts)[one].sum(), ((1 - post) * counts)[zero].sum()
-            # a labeler stays better than chance: without that, the two classes could change names
-            good[j] = np.clip((t1 + 8) / (t1 + t0 + 10), 0.5, 0.98)
-            bad[j] = np.clip((f1 + 2) / (f1 + f0 + 10), 0.02, 0.5)
+        weight = np.log(right / (1 - right))
+        post = 1 / (1 + np.exp(-((votes == 1) * weight - (votes == 0) * weight).sum(1)))
+        agree = ((votes == 1) * counts * post[:, None] + (votes == 0) * counts * (1 - post)[:, None]).sum(0)
+        right = np.clip((agree + 16) / (((votes >= 0) * counts).sum(0) + 20), 0.55, 0.98)
     return {p: float(x) for (p, _), x in zip(patterns, post, strict=True)}
 
 

@@ -100,6 +100,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+#: Texts that training looks at, if need be again and again.
+LEAST_SEEN = 8000
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, buckets: int, dim: int = 12, epochs: int = 4, batch: int = 16, rate: float = 0.5, seed: int = 7, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """rows: (distinct buckets, their shares of the text) of each text.  Returns (table, bias).
 
@@ -111,7 +115,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
     g_emb, g_out, g_bias = np.full(buckets, 1e-6), np.full((dim, classes), 1e-2), np.full(classes, 1.0)
     cw = np.ones(classes) if weights is None else weights
     n = len(rows)
-    for _ in range(epochs):
+    for _ in range(max(epochs, LEAST_SEEN // max(1, n))):  # few rows are gone through more often
         order = rng.permutation(n)
         for k in range(0, n, batch):
             take = order[k : k + batch]
