@@ -25,16 +25,22 @@ def intersections(lines: DataFrame, segments: DataFrame, keep: tuple[str, ...] =
     return met.select(TRACK, IDX, *keep, "seg_idx", F.when(on, p.x).alias("hx"), F.when(on, p.y).alias("hy"))
 
 
-def grid_intersections(lines: DataFrame, segments: DataFrame, cell: float, keep: tuple[str, ...] = ()) -> DataFrame:
+def grid_intersections(lines: DataFrame, segments: DataFrame, cell: float | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The same through a grid: both sides are dealt to every cell their box covers, so nothing is missed, and work
-    grows with what is near rather than with the product.  A crossing found in several cells counts once."""
+    grows with what is near rather than with the product.  A crossing found in several cells counts once.  cell: a size, or
+    the column of lines that has it for each track."""
 
-    def cells(c1: str, c2: str):
-        lo, hi = F.floor((F.least(c1, c2) - g.EPS) / cell), F.floor((F.greatest(c1, c2) + g.EPS) / cell)
+    def cells(c1: str, c2: str, size: str = "_size"):
+        lo, hi = F.floor((F.least(c1, c2) - g.EPS) / F.col(size)), F.floor((F.greatest(c1, c2) + g.EPS) / F.col(size))
         return F.sequence(lo, hi)
 
-    a = lines.withColumn("_cx", F.explode(cells("x1", "x2"))).withColumn("_cy", F.explode(cells("y1", "y2")))
-    b = _other(segments).withColumn("_bx", F.explode(cells("x1_b", "x2_b"))).withColumn("_by", F.explode(cells("y1_b", "y2_b")))
+    if isinstance(cell, str):
+        a = lines.withColumn("_size", F.col(cell))
+        b = _other(segments).join(lines.groupBy(F.col(TRACK).alias("_t")).agg(F.first(cell).alias("_size")), "_t")
+    else:
+        a, b = lines.withColumn("_size", F.lit(float(cell))), _other(segments).withColumn("_size", F.lit(float(cell)))
+    a = a.withColumn("_cx", F.explode(cells("x1", "x2"))).withColumn("_cy", F.explode(cells("y1", "y2"))).drop("_size")
+    b = b.withColumn("_bx", F.explode(cells("x1_b", "x2_b"))).withColumn("_by", F.explode(cells("y1_b", "y2_b")))
     hit, p = g.crossing(g.ln(), g.ln("_b"))
     met = a.join(b, (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")) & hit)
     return met.select(TRACK, IDX, *keep, "seg_idx", p.x.alias("hx"), p.y.alias("hy")).dropDuplicates([TRACK, IDX, *keep, "seg_idx"])
@@ -43,11 +49,14 @@ def grid_intersections(lines: DataFrame, segments: DataFrame, cell: float, keep:
 def extend_until_hit(halves: DataFrame, boundary: DataFrame, most: int = 5, cell: float | None = None) -> DataFrame:
     """Half lines grow by their own length, 0 to most - 1 times, until they meet the boundary: the crossings at the first length that has any.
 
-    Half lines without a crossing have no row; see missed()."""
+    Half lines without a crossing have no row; see missed().  Without ``cell``, a track's cells are twice its longest half line."""
+    if cell is None:
+        size = halves.groupBy(F.col(TRACK).alias("_t")).agg((F.greatest(F.max(g.length(g.ln())), F.lit(1e-6)) * 2).alias("_cell"))
+        halves = halves.join(size, F.col(TRACK) == F.col("_t")).drop("_t")
     grown = halves.withColumn("ext", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     grown = grown.withColumns({"x2": F.col("x2") + dx * F.col("ext"), "y2": F.col("y2") + dy * F.col("ext")})
-    hits = grid_intersections(grown, boundary, cell, ("ext",)) if cell else intersections(grown, boundary, ("ext",))
+    hits = grid_intersections(grown, boundary, cell or "_cell", ("ext",))
     first = F.min("ext").over(Window.partitionBy(TRACK, IDX))
     return hits.withColumn("_first", first).where("ext = _first").drop("_first")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from . import joins, rings
 from .rings import IDX, TRACK
+from .staging import settle
 
 BOX = ["x1", "y1", "x2", "y2"]
 LINES = "track_id long, idx long, x1 double, y1 double, x2 double, y2 double, error string"
@@ -24,7 +25,7 @@ def _each_track(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     """fn for each track, rows in order of idx; an exception becomes a row (track_id, null..., error)."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             out = fn(pdf.sort_values(IDX, kind="stable").reset_index(drop=True))
             out[TRACK], out["error"] = key[0], None
@@ -135,7 +136,7 @@ def cut_to_boundaries(lines: DataFrame, left: DataFrame, right: DataFrame, cell:
     for half, boundary in zip(joins.split_halves(lines), (left, right), strict=True):
         hits = joins.extend_until_hit(half, joins.boundary_segments(boundary), cell=cell)
         sides.append(collapse_hits(half, hits, boundary.groupBy(TRACK).agg(F.count("*").alias("n"))))
-    a, b = sides
+    a, b = settle(sides[0]), settle(sides[1])
     bad = a.where("error is not null").union(b.where("error is not null")).select(TRACK, F.lit(None).cast("long").alias(IDX), *[F.lit(None).cast("double").alias(c) for c in BOX], "error").dropDuplicates([TRACK])
     both = good(a).join(good(b).select(TRACK, IDX, F.col("x").alias("x2"), F.col("y").alias("y2")), [TRACK, IDX])
     return both.select(TRACK, IDX, F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", F.lit(None).cast("string").alias("error")).unionByName(bad)
@@ -150,7 +151,7 @@ def smooth_track(tracks: DataFrame, spacing: float | None = None, sweeps: int =
         total = rings.path_length(mid).select(TRACK, (F.col("length") / F.floor(F.col("length") / F.lit(float(spacing)))).alias("step"))
         path = rings.catmull_rom(mid, 5, True).join(total, TRACK)
         lines = rings.normals_on_path_by(path, 80.0)
-    smooth = good(smooth_normals(lines.join(width, TRACK), sweeps))
+    smooth = settle(good(smooth_normals(lines.join(width, TRACK), sweeps)))
     left, right = [rings.catmull_rom(rings.lines_to_points(tracks, side), 5, True) for side in ("left", "right")]
     return cut_to_boundaries(smooth, left, right)
 
@@ -269,9 +270,9 @@ def from_xyrl(points: DataFrame) -> DataFrame:
 def to_xyrl(tracks: DataFrame, spacing: float = 2.0) -> DataFrame:
     """Segmentation lines to (track_id, idx, x, y, r, l) along the shortest path."""
     left, right = [rings.lines_to_points(tracks, side) for side in ("left", "right")]
-    first = good(shortest_path(tracks)).select(TRACK, IDX, "x", "y")
+    first = settle(good(shortest_path(tracks)).select(TRACK, IDX, "x", "y"))
     cut = good(cut_to_boundaries(rings.normals_on_path(first, 80.0, spacing), left, right))
-    path = good(shortest_path(cut)).select(TRACK, IDX, "x", "y")
+    path = settle(good(shortest_path(cut)).select(TRACK, IDX, "x", "y"))
     ends = good(cut_to_boundaries(rings.normals(path, 80.0), left, right))
     d = [F.hypot(F.col("x") - F.col(f"x{k}"), F.col("y") - F.col(f"y{k}")) for k in "12"]
     return path.join(ends, [TRACK, IDX]).select(TRACK, IDX, "x", "y", d[1].alias("r"), d[0].alias("l"))
