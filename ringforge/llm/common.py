@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of a small table's file.
+FILE_ROWS = 1_000_000
+
+
 class Workspace:
     """Tables written to the shared folder, so that no lineage and no executor-local block is needed later."""
 
@@ -34,14 +39,19 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/ringforge-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: about how many there are, if that is known, so that a small table is a few files."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._ringforge_path = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Kept by the executors, on disk where memory ends; what a lost executor had is computed again from its input."""
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later read needs."""
         jvm = self.spark._jvm
@@ -184,7 +194,7 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
     map-side combine and one equi-join, so a node with very many neighbours is no single task's group.
     Every round is written to the shared folder.  Nodes without edges aren't in the result."""
     e = ws.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state, rows = None, e.count()
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -194,13 +204,13 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
         low2 = step.groupBy("u").agg(F.min("v").alias("m"))
         joined = step.join(low2, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        new = ws.table(small.distinct())
+        new = ws.table(small.distinct(), rows)
         now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         ws.drop(e)
         e = new
         if now == state:
             break
-        state = now
+        state, rows = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
