@@ -151,3 +151,16 @@ def b_spline(points: DataFrame, samples: int = 10) -> DataFrame:
 
 def path_length(points: DataFrame) -> DataFrame:
     return points_to_lines(points).groupBy(TRACK).agg(F.sum(g.length(g.ln())).alias("length"))
+
+
+def sum_points(*lists: DataFrame) -> DataFrame:
+    """Element-wise sum of point lists of equal length."""
+    out = lists[0].select(TRACK, IDX, "x", "y")
+    for df in lists[1:]:
+        out = out.unionByName(df.select(TRACK, IDX, "x", "y"))
+    return out.groupBy(TRACK, IDX).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+def at_indexes(df: DataFrame, wanted: DataFrame, key: str = "at") -> DataFrame:
+    """The rows at the wanted places: wanted has track_id, idx (the place in the result) and ``key`` (the place in df)."""
+    return wanted.select(TRACK, F.col(IDX).alias("_to"), F.col(key).alias(IDX)).join(df, [TRACK, IDX]).drop(IDX).withColumnRenamed("_to", IDX)

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import bounds, features, sequential, transforms
+from ..operators import bounds, features, rings, sequential, transforms
 from ..operators import splice as sp
 from ..sources import readers
 
@@ -57,6 +57,20 @@ def encode_tracks(spliced: DataFrame, flip: bool = False) -> DataFrame:
     return out.unionByName(features.encode(spliced, flip=True).withColumn("flipped", F.lit(True))) if flip else out
 
 
+def reference_recipe(reference: DataFrame, left: DataFrame, right: DataFrame, spacing: float = 2.0, sweeps: int = 50) -> DataFrame:
+    """Points of a surveyed reference line and both edges to segmentation lines across the track."""
+    lines = rings.normals_on_path(reference, 50.0, spacing)
+    return sequential.cut_to_boundaries(sequential.good(sequential.smooth_normals(lines, sweeps, 80.0)), left, right)
+
+
+def project_recipe(reference: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Sparse curves of a project to the reference-line format: splined, cut, and taken along the shortest path."""
+    curves = [rings.catmull_rom(p, 20, True) for p in (reference, left, right)]
+    lines = rings.normals_on_path(curves[0], 80.0, 2.0)
+    cut = sequential.cut_to_boundaries(sequential.good(sequential.smooth_normals(lines, 50, 80.0)), *curves[1:])
+    return sequential.to_xyrl(sequential.good(cut), 0.5)
+
+
 def training_examples(encoded: DataFrame, vehicles: DataFrame, transform: transforms.Transform, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(examples with vehicle vectors, bounds): bounds of these rows, merged with those known."""
     b = bounds.bounds(encoded)
@@ -73,7 +87,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--src", required=True)
     p.add_argument("--dest", required=True)
     p.add_argument("--spacing", type=float, default=10.0)
-    p.add_argument("--partitions", type=int, default=1)
+    p.add_argument("--partitions", type=int, default=0, help="0: one output for each track")
     p.add_argument("--flip", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"ringforge-{a.function}").getOrCreate()
@@ -85,7 +99,7 @@ def main(argv: list[str] | None = None) -> None:
     rows = readers.read_spliced(spark, a.src).withColumn("track_id", F.xxhash64("name"))
     names = assign_partitions(enumerate_tracks(rows.select("name").distinct(), a.flip), a.partitions)
     ids = names.select(F.xxhash64("source").alias("track_id"), "flipped", "name", "partition_id")
-    encode_tracks(rows, a.flip).join(ids, ["track_id", "flipped"]).write.mode("overwrite").partitionBy("partition_id").parquet(a.dest)
+    encode_tracks(rows, a.flip).join(ids, ["track_id", "flipped"]).write.mode("overwrite").partitionBy("partition_id" if a.partitions else "name").parquet(a.dest)
 
 
 if __name__ == "__main__":

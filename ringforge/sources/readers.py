@@ -96,7 +96,11 @@ def save_partition(encoded: DataFrame, vehicles: DataFrame, dest: str) -> None:
     tracks = encoded.groupBy("partition_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("idx", *cols))).alias("r")).join(vehicles.select("track_id", "vehicle"), "track_id", "left")
     # maps can't be sorted, so vehicles pass as JSON
     whole = tracks.groupBy("partition_id").agg(F.array_sort(F.collect_list(F.struct("track_id", F.to_json("vehicle").alias("v"), "r"))).alias("t"))
-    lists = [F.transform("t", lambda x, c=c: F.transform(x["r"], lambda y: y[c])).alias(n) for c, n in zip(cols, ENCODED_LISTS, strict=True)]
+
+    def channel(c: str) -> Column:
+        return F.transform("t", lambda x: F.transform(x["r"], lambda y: y[c]))
+
+    lists = [channel(c).alias(n) for c, n in zip(cols, ENCODED_LISTS, strict=True)]
     whole.select("partition_id", F.transform("t", lambda x: F.from_json(x["v"], "map<string,double>")).alias("vehicles"), *lists).write.mode("overwrite").partitionBy("partition_id").json(dest)
 
 
@@ -160,6 +164,22 @@ def curve_offsets(points: DataFrame) -> DataFrame:
     return points.join(origin, "name").select("name", "layer", "idx", "lat0", "lon0", (F.col("lat") - F.col("lat0")).alias("dlat"), (F.col("lon") - F.col("lon0")).alias("dlon"))
 
 
+def write_project(offsets: DataFrame, dest: str) -> None:
+    """curve_offsets as one JSON document per project: {"origin": {lat, lon}, "layers": {layer: [{lat, lon}]}}."""
+    point = F.struct("idx", F.struct(F.col("dlat").alias("lat"), F.col("dlon").alias("lon")).alias("p"))
+    curves = offsets.groupBy("name", "layer", "lat0", "lon0").agg(F.array_sort(F.collect_list(point)).alias("c"))
+    whole = curves.groupBy("name").agg(F.first(F.struct(F.col("lat0").alias("lat"), F.col("lon0").alias("lon"))).alias("origin"), F.map_from_entries(F.collect_list(F.struct("layer", F.col("c.p")))).alias("layers"))
+    whole.write.mode("overwrite").partitionBy("name").json(dest)
+
+
+def read_project(spark: SparkSession, path: str) -> DataFrame:
+    """(name, layer, idx, lon, lat) of such documents."""
+    schema = "origin struct<lat:double,lon:double>, layers map<string,array<struct<lat:double,lon:double>>>, name string"
+    df = spark.read.schema(schema).json(path).select("name", "origin", F.explode("layers").alias("layer", "c"))
+    df = df.select("name", "origin", "layer", F.posexplode("c").alias("idx", "p"))
+    return df.select("name", "layer", F.col("idx").cast("long").alias("idx"), (F.col("p.lon") + F.col("origin.lon")).alias("lon"), (F.col("p.lat") + F.col("origin.lat")).alias("lat"))
+
+
 def valid_layers(df: DataFrame, drop: str = "Karting", allowed: str = r"^[\w .()'&-]+$") -> DataFrame:
     return df.where(~F.col("layer").contains(drop) & F.col("layer").rlike(allowed))
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ringforge.operators import evaluation, model, sequential, splice, sweep
 from ringforge.plans import pipelines, synth
@@ -106,7 +107,7 @@ def test_splice(spark):
 
 
 def test_null_apexes_are_kept_null(spark):
-    t = synth.tracks(spark, SF).where("track_id < 5").withColumn("pos", synth.tracks(spark, SF).pos * 0 + 0.5)
+    t = synth.tracks(spark, SF).where("track_id < 5").withColumn("pos", F.lit(0.5))
     e = evaluation.evaluate(t, t).collect()
     assert all(r.position_apex_mean is None and r.apexes == [] and r.position_max == 0 for r in e)
 

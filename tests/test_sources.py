@@ -96,3 +96,34 @@ def test_training_examples(spark, folders):
     x, b = pipelines.training_examples(e, v, Transform("flat-window", foresight=2, vehicle_encoding=("mass",)))
     r = x.first()
     assert len(r.x) == 15 and r.vehicle == [0.0] and b.count() == 1
+
+
+def test_project_round_trip(spark, tmp_path):
+    k = spark.createDataFrame([("spa", "Left", 0, 5.0, 50.0), ("spa", "Left", 1, 5.5, 50.5), ("spa", "Right", 0, 6.0, 51.0)], "name string, layer string, idx long, lon double, lat double")
+    readers.write_project(readers.curve_offsets(k), f"{tmp_path}/project")
+    back = readers.read_project(spark, f"{tmp_path}/project")
+    assert {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in back.collect()} == {tuple(r) for r in k.collect()}
+
+
+def test_command_line(spark, folders, tmp_path):
+    pipelines.main(["splice", "--src", folders, "--dest", f"{tmp_path}/out", "--spacing", "20"])
+    assert [r.name for r in spark.read.json(f"{tmp_path}/out/errors").collect()] == ["beta"]
+    pipelines.main(["encode", "--src", f"{tmp_path}/out/spliced", "--dest", f"{tmp_path}/enc", "--partitions", "2", "--flip"])
+    e = spark.read.parquet(f"{tmp_path}/enc")
+    assert {r.name: r["count"] for r in e.groupBy("name").count().collect()}.keys() == {"alpha", "alpha.flipped"}
+    assert e.select("partition_id").distinct().count() == 2
+
+
+def test_recipes(spark):
+    from ringforge.operators import rings
+
+    circle = lambda r, n: spark.createDataFrame([(1, k, r * math.cos(k / n * math.tau), r * math.sin(k / n * math.tau)) for k in range(n)], "track_id long, idx long, x double, y double")
+    out = pipelines.reference_recipe(circle(100.0, 40), circle(95.0, 60), circle(106.0, 60), 10.0)
+    w = [math.hypot(r.x1 - r.x2, r.y1 - r.y2) for r in out.collect()]
+    assert len(w) == 63 and all(10 < x < 12 for x in w)
+    x = pipelines.project_recipe(circle(60.0, 24), circle(57.0, 24), circle(64.0, 24)).collect()
+    assert len(x) > 100 and all(5 < r.l + r.r < 9 for r in x)
+    s = rings.sum_points(circle(1.0, 4), circle(2.0, 4)).where("idx = 0").first()
+    assert s.x == pytest.approx(3)
+    picked = rings.at_indexes(circle(1.0, 4), spark.createDataFrame([(1, 0, 2), (1, 1, 0)], "track_id long, idx long, at long"))
+    assert {r.idx: round(r.x) for r in picked.collect()} == {0: -1, 1: 1}
