@@ -30,12 +30,15 @@ def remainder(id_col: Column, mod: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % mod
 
 
-def sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most about per_label rows of each value of ``label``: those of small hashes of doc_id, all of them if there are few."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_c"))
-    share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("_c"))
+def sample(rows: DataFrame, label: str, per_label: int, most: int = 20_000) -> DataFrame:
+    """About per_label rows of each value of ``label`` (of the 1,000 most frequent) and ``most`` in all: those of small hashes of
+    doc_id, or all if there are few."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), label).limit(1000)
+    per = min(per_label, most // max(1, counts.count()))
+    share = F.least(F.lit(1.0), F.lit(float(per)) / F.col("_c"))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(F.broadcast(counts.orderBy(F.desc("_c"), label).limit(1000)), label).where(h < share).drop("_c")
+    # the limit only acts where one id has very many rows
+    return rows.join(F.broadcast(counts), label).where(h < share).drop("_c").limit(2 * most)
 
 
 def _features(data, off):

@@ -223,7 +223,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     posterior = reliabilities(patterns)
     total = sum(n for _, n in patterns)
     h = F.pmod(F.xxhash64("doc_id", "c.start"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = spans.where(h < min(1.0, sample / max(1, total))).select("doc_id", "c.start", "c.votes", "c.features").collect() if total else []  # about ``sample`` rows
+    chosen = spans.where(h < min(1.0, sample / max(1, total))).select("doc_id", "c.start", "c.votes", "c.features").limit(4 * sample).collect() if total else []  # about ``sample`` rows
     chosen.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["start"]))
     weights = train_spans([list(r["features"]) for r in chosen], np.array([posterior[r["votes"]] for r in chosen])) if chosen else np.zeros(FEATURES + 1)
     shared = spark.sparkContext.broadcast(weights)

@@ -35,7 +35,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2500, max_chars:
     """docs: doc_id, text; labels: doc_id, label."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("doc_id"), mod) != out)).groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = sample(rows, "label", per_label)  # bounded: two classes, per_label rows of each
-    got = docs.where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").collect()
+    got = docs.where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").limit(8 * per_label).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
