@@ -1,0 +1 @@
+"""A PySpark engine for ring tracks, and corpus operators beside it."""

@@ -21,20 +21,17 @@ def whole():
 
 
 def neighbour(c: Column, step: int) -> Column:
-    """The value ``step`` rows on (back if negative) around the ring; c must not be null.  |step| may be 1 or 2."""
+    """The value ``step`` rows on (-1, 1 or 2) around the ring; c must not be null.  Rows never carry the whole ring."""
     o, w = ordered(), whole()
-    k = abs(step)
-    if k == 1:
-        return F.coalesce(F.lag(c).over(o), F.last(c).over(w)) if step < 0 else F.coalesce(F.lead(c).over(o), F.first(c).over(w))
-    n = F.count(F.lit(1)).over(w)
-    at = F.row_number().over(o) - 1
-    items = F.collect_list(c).over(w)
-    return F.get(items, F.pmod(at + step, n).cast("int"))
-
-
-def neighbour_pt(p: g.Pt, step: int) -> g.Pt:
-    s = neighbour(F.struct(p.x.alias("x"), p.y.alias("y")), step)
-    return g.Pt(s["x"], s["y"])
+    if step == -1:
+        return F.coalesce(F.lag(c).over(o), F.last(c).over(w))
+    if step == 1:
+        return F.coalesce(F.lead(c).over(o), F.first(c).over(w))
+    if step == 2:
+        to_end = F.count(F.lit(1)).over(w) - F.row_number().over(o)
+        second = F.coalesce(F.nth_value(c, 2).over(w), F.first(c).over(w))
+        return F.coalesce(F.lead(c, 2).over(o), F.when(to_end == 1, F.first(c).over(w)).otherwise(second))
+    raise ValueError("neighbours are one row back, or one or two rows on")
 
 
 def size() -> Column:
@@ -110,15 +107,18 @@ def interpolate_between(df: DataFrame, a: g.Pt, b: g.Pt, n: int) -> DataFrame:
     return df.withColumn("x", p.x).withColumn("y", p.y)
 
 
+def _four(points: DataFrame) -> DataFrame:
+    """Adds the places of a span's four control points p0 .. p3, and _at, _n."""
+    c = F.struct("x", "y")
+    at = (F.row_number().over(ordered()) - 1).cast("int")
+    return points.select(TRACK, IDX, neighbour(c, -1).alias("p0"), c.alias("p1"), neighbour(c, 1).alias("p2"), neighbour(c, 2).alias("p3"), at.alias("_at"), size().alias("_n"))
+
+
 def catmull_rom(points: DataFrame, samples: int = 10, loop: bool = True) -> DataFrame:
     """Centripetal Catmull-Rom spline; each span gives ``samples`` points.  Spans with repeated points give null coordinates."""
-    c = F.struct("x", "y")
-    df = points.withColumn("_all", F.collect_list(c).over(whole())).withColumn("_at", (F.row_number().over(ordered()) - 1).cast("int")).withColumn("_n", F.size("_all"))
+    df = _four(points)
     if not loop:
         df = df.where((F.col("_at") >= 1) & (F.col("_at") < F.col("_n") - 2))
-    for name, step in (("p0", -1), ("p1", 0), ("p2", 1), ("p3", 2)):
-        df = df.withColumn(name, F.get("_all", F.pmod(F.col("_at") + step, F.col("_n")).cast("int")))
-    df = df.drop("_all")
     p = [g.Pt(F.col(f"p{i}.x"), F.col(f"p{i}.y")) for i in range(4)]
     df = df.withColumn("t1", F.sqrt(g.distance(p[0], p[1])))
     df = df.withColumn("t2", F.col("t1") + F.sqrt(g.distance(p[1], p[2])))
@@ -139,10 +139,8 @@ def catmull_rom(points: DataFrame, samples: int = 10, loop: bool = True) -> Data
 
 def b_spline(points: DataFrame, samples: int = 10) -> DataFrame:
     """Closed uniform cubic B-spline with the points as coefficients, ``samples`` points to a span."""
-    df = points.withColumn("_all", F.collect_list(F.struct("x", "y")).over(whole())).withColumn("_at", (F.row_number().over(ordered()) - 1).cast("int"))
-    for name, step in (("p0", -1), ("p1", 0), ("p2", 1), ("p3", 2)):
-        df = df.withColumn(name, F.get("_all", F.pmod(F.col("_at") + step, F.size("_all")).cast("int")))
-    df = df.drop("_all").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("t", F.col("s") / F.lit(float(samples)))
+    df = _four(points)
+    df = df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("t", F.col("s") / F.lit(float(samples)))
     t = F.col("t")
     w = ((1 - t) * (1 - t) * (1 - t) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6)
     x, y = [sum((w[i] * F.col(f"p{i}.{c}") for i in range(1, 4)), w[0] * F.col(f"p0.{c}")) for c in "xy"]

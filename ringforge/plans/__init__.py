@@ -1,0 +1 @@
+"""End-to-end jobs, queries and their SQL."""

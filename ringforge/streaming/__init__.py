@@ -1,0 +1 @@
+"""The domain has no streams: nothing is here."""
