@@ -39,11 +39,12 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/ringforge-{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """``rows``: about how many there are, if that is known, so that a small table is a few files."""
+    def table(self, df: DataFrame, rows: int | None = None, files: int | None = None) -> DataFrame:
+        """``rows``: about how many there are, if that is known; ``files``: at most so many, so that a small table is few files."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+        files = files if rows is None else 1 + rows // FILE_ROWS
+        (df if files is None else df.coalesce(files)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._ringforge_path = path
         return out

@@ -312,14 +312,19 @@ def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _few(ws: common.Workspace) -> int:
+    """Files for tables that are small beside the documents."""
+    return 1 + common.partitions(ws.spark) // 8
+
+
 def _joined(ws: common.Workspace, labels: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Components after those of the pairs that lie between components are verified."""
     of = {x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
     between = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = ws.keep(verify(sets, between, percent))
+    more = ws.table(verify(sets, between, percent), files=_few(ws))
     if not more.limit(1).count():
         return labels
-    return ws.keep(common.components(ws, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    return ws.table(common.components(ws, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), files=_few(ws))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -335,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts_b = spark.sparkContext.broadcast(counts.tobytes())
     size = first.where("kind = 0").select("doc_id", "n", "f1", "f2")
     known = size.where("doc_id is not null and n > 0")
-    classes = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top")
+    classes = ws.table(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top"), files=_few(ws))
     copies = known.join(classes.select("n", "f1", "f2", "b"), ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
 
     found = ws.keep(_shared(_prefix_postings(docs.where("doc_id is not null"), counts_b, n, percent, parts), percent, parts))
@@ -343,14 +348,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = sketch.join(known.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n")), "doc")
     side = {x: sized.select(*[F.col(c).alias({"doc": x}.get(c, f"{c}_{x}")) for c in sized.columns]) for x in "ab"}
     near = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
-    near = ws.keep(near.join(side["a"], "a").join(side["b"], "b").where(_close(percent)).select("a", "b", _apart().alias("apart")))
+    near = ws.table(near.join(side["a"], "a").join(side["b"], "b").where(_close(percent)).select("a", "b", _apart().alias("apart")), files=_few(ws))
     sets = sets_of(ws, docs, near, n)
     # first each document with its closest partner, by the sketches: most groups are connected by that
     closest = near.select(F.col("a").alias("d"), F.struct("apart", F.col("b").alias("o")).alias("m")).union(near.select("b", F.struct("apart", F.col("a").alias("o"))))
     closest = closest.groupBy("d").agg(F.min("m").alias("m")).select(F.least("d", "m.o").alias("a"), F.greatest("d", "m.o").alias("b")).distinct()
     # copies are joined on their class in a stage of its own, whose hot classes can be split
-    links = verify(sets, closest, percent).union(ws.table(copies))
-    labels = ws.keep(common.components(ws, links))
+    links = verify(sets, closest, percent).union(ws.table(copies, files=_few(ws)))
+    labels = ws.table(common.components(ws, links), files=_few(ws))
     labels = _joined(ws, labels, sets, near.select("a", "b").join(closest, ["a", "b"], "left_anti"), percent)
 
     # of the long lists: candidates between different components.  One side is what stands outside the list's main component
@@ -358,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if lists.limit(1).count():
         lists = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
         several = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        lists = ws.keep(lists.join(several, "tok", "left_semi").join(sketch, "doc"))
+        lists = ws.table(lists.join(several, "tok", "left_semi").join(sketch, "doc"), files=_few(ws))
         main = lists.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
         mixed = lists.join(main, "tok").withColumn("in_main", F.col("comp") == F.col("main"))
         side = {x: mixed.select(*[F.col(c).alias({"tok": "tok"}.get(c, f"{c}_{x}")) for c in mixed.columns]) for x in "ab"}
@@ -367,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = (F.col("comp_a") != F.col("comp_b")) & (F.col("in_main_b") | (F.col("doc_a") < F.col("doc_b")))
         x, y = side["a"].where("not in_main_a"), side["b"].withColumnRenamed("tok", "tok_b")
         met = x.join(y, (F.col("tok") == F.col("tok_b")) & order & length & place & _close(percent))
-        rest = ws.keep(met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
+        rest = ws.table(met.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), files=_few(ws))
         if rest.limit(1).count():
             labels = _joined(ws, labels, sets_of(ws, docs, rest, n), rest, percent)
     return size.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -379,9 +384,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only rows that may go are dealt by id: a fixed-size filter lets all others through as they are read."""
     spark = docs.sparkSession
     ws = common.Workspace(spark, "one-of-each")
-    got = ws.table(near_duplicates(docs, id_col, text_col, n, percent))
+    got = ws.table(near_duplicates(docs, id_col, text_col, n, percent), files=_few(ws))
     ids = got.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("k"))
-    odd = ws.table(ids.where("c <> doc_id or k > 1").select("doc_id", (F.col("c") != F.col("doc_id")).alias("goes")))
+    odd = ws.table(ids.where("c <> doc_id or k > 1").select("doc_id", (F.col("c") != F.col("doc_id")).alias("goes")), files=_few(ws))
     maybe_b = common.bloom(spark, odd.select("doc_id"))
     key = F.col(id_col).cast("long")
     maybe = common.in_bloom(maybe_b, F.coalesce(key, F.lit(0))) & key.isNotNull()
