@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 from . import common, words
 from .words import U
 
-#: The table that orders shingles has up to 2^24 one-byte counters (16 MB on the driver and each worker), fewer where the
-#: cluster's number of shuffle partitions says that the input is small.
-COUNTERS_LOG2 = (18, 24)
+#: The table that orders shingles: 4 MB of one-byte counters on the driver and each worker, for any input.
+COUNTERS_LOG2 = 22
 #: Documents after which a task gives up its counts, so that two bytes hold them.
 COUNTED = 60_000
 #: Hash ranges whose parities the suffix filter compares.
-SKETCH = 1024
+SKETCH = 512
 #: Lists of up to so many sets give all their pairs at once; longer ones first give neighbours.
 SMALL = 32
 #: How many sets of a longer list meet all others at first.
@@ -59,18 +58,13 @@ def _sets(batch: pa.RecordBatch, n: int):
     return words.shingle_sets(w, wo, n)
 
 
-def _counters(parts: int) -> int:
-    low, high = COUNTERS_LOG2
-    return min(high, low + (parts - 1).bit_length())
-
-
 def _rank(counts: np.ndarray) -> np.ndarray:
     """Counts to one byte, in order: exact up to 127, then by their logarithm."""
     big = 128 + 8 * (np.log2(np.maximum(counts, 128)) - 7)
     return np.where(counts < 128, counts, np.minimum(big, 255)).astype(np.uint8)
 
 
-def describe(docs: DataFrame, n: int, log2: int) -> DataFrame:
+def describe(docs: DataFrame, n: int, log2: int = COUNTERS_LOG2) -> DataFrame:
     """One row per document (kind 0: doc_id, n, f1, f2), and each task's counts of shingles (kind 1: part, vec)."""
 
     def flush(counts):
@@ -102,9 +96,9 @@ def describe(docs: DataFrame, n: int, log2: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, n long, f1 long, f2 long, part int, vec binary")
 
 
-def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int) -> DataFrame:
-    """Packed prefixes (part, blob): documents with size and fingerprint, 40 bits of each shingle, whose it is and its place; and
-    in one row of each chunk the documents' sketches.  A task sends each set once."""
+def _prefix_postings(docs: DataFrame, counts_b, twins_b, n: int, percent: int, parts: int) -> DataFrame:
+    """Packed prefixes (part, blob): documents with size, fingerprints of those that have twins (equal sets), 40 bits of each
+    shingle, whose it is and its place; and in one row of each chunk the documents' sizes and sketches.  A task sends each set once."""
 
     def run(batches):
         counts = np.frombuffer(counts_b.value, np.uint8)
@@ -146,6 +140,7 @@ def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int
             t, w, p = t[order], w[order], p[order]
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             da, sa, fa = np.array(docs_, np.int64), np.array(sizes, np.uint32), np.array(prints, np.int64)
+            twin = common.bloom_has(twins_b.value, da)
             mine = chunk * 7919 % parts
             chunk += 1
             out_p, out_b = [], []
@@ -153,16 +148,16 @@ def _prefix_postings(docs: DataFrame, counts_b, n: int, percent: int, parts: int
                 lo, hi = cuts[j], cuts[j + 1]
                 if lo < hi or j == mine:
                     used, local = np.unique(w[lo:hi], return_inverse=True)
-                    own = (da, np.frombuffer(b"".join(sketches), np.uint8)) if j == mine else (da[:0], np.zeros(0, np.uint8))
+                    own = (da, sa, np.frombuffer(b"".join(sketches), np.uint8)) if j == mine else (da[:0], sa[:0], np.zeros(0, np.uint8))
                     tt = t[lo:hi]
                     out_p.append(j)
-                    out_b.append(common.pack([da[used], sa[used], fa[used], (tt & U(0xFFFFFFFF)).astype(np.uint32), (tt >> U(32) & U(0xFF)).astype(np.uint8), local.astype(np.uint16), p[lo:hi], *own]))
+                    out_b.append(common.pack([da[used], sa[used], twin[used], fa[used][twin[used]], (tt & U(0xFFFFFFFF)).astype(np.uint32), (tt >> U(32) & U(0xFF)).astype(np.uint8), local.astype(np.uint16), p[lo:hi], *own]))
             yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_b, pa.binary())], names=["part", "blob"])
 
     return docs.mapInArrow(run, "part int, blob binary")
 
 
-_KINDS = (np.int64, np.uint32, np.int64, np.uint32, np.uint8, np.uint16, np.uint32, np.int64, np.uint8)
+_KINDS = (np.int64, np.uint32, np.bool_, np.int64, np.uint32, np.uint8, np.uint16, np.uint32, np.int64, np.uint32, np.uint8)
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -182,23 +177,25 @@ def _shared(postings: DataFrame, percent: int, parts: int) -> DataFrame:
     filters, all of shorter lists, neighbours and hubs of the longer; kind 2: (doc, n, sketch)."""
 
     def run(batches):
-        toks, ids, sizes, prints, poss, sk_docs, sks = [], [], [], [], [], [], []
+        toks, ids, sizes, prints, poss, sks = [], [], [], [], [], []
         for b in batches:
             for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                d, s, f, t0, t1, w, p, sd, sk = common.unpack(blob, _KINDS)
+                d, s, twin, some, t0, t1, w, p, sd, ss, sk = common.unpack(blob, _KINDS)
+                f = d.copy()  # a set without twins is told apart by its document
+                f[twin] = some
                 # 40 bits tell the shingles of one part apart: a coincidence makes a candidate more, never one less
                 toks.append(t0.astype(U) | (t1.astype(U) << U(32)) | U(part << 40))
                 ids.append(d[w]), sizes.append(s[w]), prints.append(f[w]), poss.append(p)
                 if len(sd):
-                    sk_docs.append(sd), sks.append(sk.reshape(len(sd), -1))
+                    sks.append((sd, ss.astype(np.int64), sk.reshape(len(sd), -1)))
         words.release()
         if not toks:
             return
-        for x, k in zip(sk_docs, sks, strict=True):
+        for x, size, k in sks:
             v = np.ascontiguousarray(k).view(np.int64)
             m = len(x)
             none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), none, pa.array(x), none, none, none, pa.array(list(v), pa.list_(pa.int64()))], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), none, pa.array(x), none, pa.array(size), none, pa.array(list(v), pa.list_(pa.int64()))], names=NAMES)
         t = np.concatenate(toks)
         order = np.argsort(t, kind="stable")
         t = t[order]
@@ -321,6 +318,7 @@ def _joined(ws: common.Workspace, labels: DataFrame, sets: DataFrame, pairs: Dat
     """Components after those of the pairs that lie between components are verified."""
     of = {x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
     between = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    between = ws.table(between, files=_few(ws))  # few: the sets are then not dealt again for them
     more = ws.table(verify(sets, between, percent), files=_few(ws))
     if not more.limit(1).count():
         return labels
@@ -334,27 +332,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = common.partitions(spark)
 
-    log2 = _counters(parts)
-    first = ws.keep(describe(docs, n, log2))
-    counts = common.sum_vectors(first.where("kind = 1"), 1 << log2, "uint16", _rank, "uint8")
+    first = ws.keep(describe(docs, n))
+    counts = common.sum_vectors(first.where("kind = 1"), 1 << COUNTERS_LOG2, "uint16", _rank, "uint8")
     counts_b = spark.sparkContext.broadcast(counts.tobytes())
     size = first.where("kind = 0").select("doc_id", "n", "f1", "f2")
     known = size.where("doc_id is not null and n > 0")
     classes = ws.table(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top"), files=_few(ws))
-    copies = known.join(classes.select("n", "f1", "f2", "b"), ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
+    # each document of a class of equal sets, with the least of them; in a stage of its own, whose hot classes can be split
+    twins = ws.table(known.join(classes.select("n", "f1", "f2", "b"), ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b"), files=_few(ws))
+    twins_b = common.bloom(spark, twins.select("a"))
 
-    found = ws.keep(_shared(_prefix_postings(docs.where("doc_id is not null"), counts_b, n, percent, parts), percent, parts))
-    sketch = found.where("kind = 2").select("doc", *[F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH // 64)])
-    sized = sketch.join(known.groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n")), "doc")
-    side = {x: sized.select(*[F.col(c).alias({"doc": x}.get(c, f"{c}_{x}")) for c in sized.columns]) for x in "ab"}
+    found = ws.keep(_shared(_prefix_postings(docs.where("doc_id is not null"), counts_b, twins_b, n, percent, parts), percent, parts))
+    sketch = found.where("kind = 2").select("doc", "n", *[F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH // 64)])
+    side = {x: sketch.select(*[F.col(c).alias({"doc": x}.get(c, f"{c}_{x}")) for c in sketch.columns]) for x in "ab"}
     near = found.where("kind = 1").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct()
     near = ws.table(near.join(side["a"], "a").join(side["b"], "b").where(_close(percent)).select("a", "b", _apart().alias("apart")), files=_few(ws))
     sets = sets_of(ws, docs, near, n)
     # first each document with its closest partner, by the sketches: most groups are connected by that
     closest = near.select(F.col("a").alias("d"), F.struct("apart", F.col("b").alias("o")).alias("m")).union(near.select("b", F.struct("apart", F.col("a").alias("o"))))
     closest = closest.groupBy("d").agg(F.min("m").alias("m")).select(F.least("d", "m.o").alias("a"), F.greatest("d", "m.o").alias("b")).distinct()
-    # copies are joined on their class in a stage of its own, whose hot classes can be split
-    links = verify(sets, closest, percent).union(ws.table(copies, files=_few(ws)))
+    links = verify(sets, closest, percent).union(twins.where("a <> b"))
     labels = ws.table(common.components(ws, links), files=_few(ws))
     labels = _joined(ws, labels, sets, near.select("a", "b").join(closest, ["a", "b"], "left_anti"), percent)
 
@@ -363,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if lists.limit(1).count():
         lists = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
         several = lists.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-        lists = ws.table(lists.join(several, "tok", "left_semi").join(sketch, "doc"), files=_few(ws))
+        lists = ws.table(lists.join(several, "tok", "left_semi").join(sketch.drop("n"), "doc"), files=_few(ws))
         main = lists.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
         mixed = lists.join(main, "tok").withColumn("in_main", F.col("comp") == F.col("main"))
         side = {x: mixed.select(*[F.col(c).alias({"tok": "tok"}.get(c, f"{c}_{x}")) for c in mixed.columns]) for x in "ab"}
