@@ -1,18 +1,9 @@
 import os
-import random
 
 import pytest
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, component_id string, unit string, part int"
-VOCAB = ["".join(random.Random(k).choices("abcdeimnorst", k=random.Random(k + 99).randint(2, 8))) for k in range(400)]
-
-
-def prose(seed: int, n: int) -> str:
-    rng = random.Random(seed)
-    return " ".join(rng.choice(VOCAB) for _ in range(n))
-
-
 @pytest.fixture
 def docs_of(spark):
     """A documents table of (id, text[, lang[, source]]) rows, with extra columns whose names clash with the operators' own."""

@@ -3,8 +3,7 @@ import random
 
 import duckdb
 import numpy as np
-from brute import base_spans
-from conftest import prose
+from brute import base_spans, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -3,8 +3,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from brute import targets, words
-from conftest import prose
+from brute import prose, targets, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

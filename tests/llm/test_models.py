@@ -1,8 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
-from brute import crc, lm_scores
-from conftest import prose
+from brute import crc, lm_scores, prose
 
 from ringforge.llm import langid, lm_score, quality, subword
 from ringforge.llm.queries import QUERIES

@@ -4,8 +4,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from brute import near_duplicates, words
-from conftest import prose
+from brute import near_duplicates, prose, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
