@@ -166,20 +166,19 @@ def walk_path(lines: np.ndarray, steps: int = 70) -> np.ndarray:
     station is never tried), then back from the best one; back-pointers give the path."""
     at = np.arange(steps + 1) / steps
     stations = lines[:, None, :2] + (lines[:, None, 2:] - lines[:, None, :2]) * at[None, :, None]
-    total = np.zeros(steps + 1)
+    own, total = np.arange(steps + 1), np.zeros(steps + 1)
     back = np.zeros((len(lines), steps + 1), np.int64)
     for i in range(1, len(lines)):
         d = np.hypot(*(stations[i][:, None, :] - stations[i - 1][None, :, :]).transpose(2, 0, 1)) + total[None, :]
-        best = np.arange(steps + 1)
-        for s in range(steps + 1):
-            row, j = d[s], s
-            while j + 1 < steps and row[j + 1] < row[j]:
-                j += 1
-            while j > 0 and row[j - 1] < row[j]:
-                j -= 1
-            best[s] = j
+        # forward to the first station that isn't nearer than the one before, then back in the same way
+        falls = np.zeros(d.shape, bool)
+        falls[:, : steps - 1] = d[:, 1:steps] < d[:, : steps - 1]
+        ahead = np.minimum.accumulate(np.where(falls, steps, own)[:, ::-1], axis=1)[:, ::-1][own, own]
+        rises = np.zeros(d.shape, bool)
+        rises[:, 1:] = d[:, :-1] < d[:, 1:]
+        best = np.maximum.accumulate(np.where(rises, 0, own), axis=1)[own, ahead]
         back[i] = best
-        total = d[np.arange(steps + 1), best]
+        total = d[own, best]
     k = int(np.argmin(total))
     out = np.empty(len(lines))
     for i in range(len(lines) - 1, -1, -1):
