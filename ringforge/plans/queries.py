@@ -252,11 +252,6 @@ def _long2(df, col="x", places=4, keys=KEY):
     return d.select(*keys, F.col("j").cast("long").alias("j"), F.col("k").cast("long").alias("k"), rnd(F.col("v").cast("double"), "v", places))
 
 
-def _short(spark, sf_dir, lines: int = 12):
-    """The first lines of each track as a ring of its own: for examples that grow with the square of a track."""
-    return _encoded(spark, sf_dir).where(F.col("idx") < lines)
-
-
 @query
 def flat_window(spark, sf_dir):
     return _long(transforms.Transform("flat-window", foresight=2).transform(_encoded(spark, sf_dir)), places=3)
@@ -285,40 +280,40 @@ def detransform_window(spark, sf_dir):
 
 @query
 def lag(spark, sf_dir):
-    return _long2(transforms.Transform("lag", patch_size=5, time_to_vec=True).transform(_short(spark, sf_dir)), places=3)
+    return _long2(transforms.Transform("lag", patch_size=5, time_to_vec=True).transform(_encoded(spark, sf_dir)), places=3)
 
 
 @query
 def detransform_lag(spark, sf_dir):
     t = transforms.Transform("lag", sampling=1, lag=2, patch_size=3)
-    return t.detransform(t.transform(_short(spark, sf_dir)), "y_velocity").select(*KEY, rnd("y_velocity"))
+    return t.detransform(t.transform(_encoded(spark, sf_dir)), "y_velocity").select(*KEY, rnd("y_velocity"))
 
 
 @query
 def stateful_lag(spark, sf_dir):
-    return _long2(transforms.Transform("stateful-lag", patch_size=5, time_to_vec=True).transform(_short(spark, sf_dir)), places=3, keys=("track_id",))
+    return _long2(transforms.Transform("stateful-lag", patch_size=5, time_to_vec=True).transform(_encoded(spark, sf_dir)), places=3, keys=("track_id",))
 
 
 @query
 def stateful_targets(spark, sf_dir):
-    return _long2(transforms.Transform("stateful-lag", patch_size=5, sampling=1, lag=2).transform(_short(spark, sf_dir)), "y_velocity", keys=("track_id",))
+    return _long2(transforms.Transform("stateful-lag", patch_size=5, sampling=1, lag=2).transform(_encoded(spark, sf_dir)), "y_velocity", keys=("track_id",))
 
 
 @query
 def detransform_stateful(spark, sf_dir):
     t = transforms.Transform("stateful-lag", sampling=1, lag=2, patch_size=3)
-    return t.detransform(t.transform(_short(spark, sf_dir)), "y_velocity").select(*KEY, rnd("y_velocity"))
+    return t.detransform(t.transform(_encoded(spark, sf_dir)), "y_velocity").select(*KEY, rnd("y_velocity"))
 
 
 @query
 def bidirectional(spark, sf_dir):
-    return _long2(transforms.Transform("bidirectional", patch_size=5).transform(_short(spark, sf_dir)), places=3)
+    return _long2(transforms.Transform("bidirectional", patch_size=5).transform(_encoded(spark, sf_dir)), places=3)
 
 
 @query
 def detransform_bidirectional(spark, sf_dir):
     t = transforms.Transform("bidirectional", sampling=1, patch_size=3)
-    return t.detransform(t.transform(_short(spark, sf_dir)), "y_velocity").select(*KEY, rnd("y_velocity"))
+    return t.detransform(t.transform(_encoded(spark, sf_dir)), "y_velocity").select(*KEY, rnd("y_velocity"))
 
 
 @query
