@@ -1,6 +1,7 @@
 """Stupid-backoff scores of documents under the corpus's own word bigram tables.
 
-With c() counting tokens of all documents, N their number and pairs seen fewer than ``min_count`` times left out of the table:
+With c() counting tokens of all documents, N their number and pairs seen fewer than ``min_count`` times left out of the table (by
+default none is, so that every pair of the corpus is scored by its count):
 
     S(w | v) = c(v w) / c(v)   if c(v w) >= min_count,   else   backoff * c(w) / N;   the first word of a text: c(w) / N.
 
@@ -10,7 +11,8 @@ ASCII letters lower-cased.
 Every document's distinct pairs are sent out once, packed in binary and dealt by the hash of their second word: there the
 counts of the pair and of the second word meet, so a task settles which case holds.  Sums by document come back, and for
 pairs in the table the number of times a document needs log c(v), which is joined to the table of word counts dealt by
-hash.  The few words and pairs with at least 1 / ``heavy`` of all tokens (a fixed number at most) are counted
+hash.  Where all pairs are in the table (``min_count`` 1) no such join is needed: a document needs log c(v) once for each v but its
+last word, so it is settled with c(v), where v is the second word, and the last words are sent along to be taken out.  The few words and pairs with at least 1 / ``heavy`` of all tokens (a fixed number at most) are counted
 beforehand and broadcast, so that no hash bucket holds a word of a great part of the corpus: pairs that end with a heavy word are
 dealt by both words, heavy pairs are settled where they are read.  All counts cover all documents and grow with them.
 
@@ -29,12 +31,14 @@ from .words import U
 
 COUNTERS_LOG2 = 20
 BACKOFF = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 HEAVY = 100_000
 #: Hash buckets of each task of the second step: it holds one of them unpacked at a time.
 BUCKETS = 4
 #: Stands for "no word before" and for a null id.
 START = U(0)
+#: Stands for "no word after".
+END = U((1 << 48) - 1)
 NO_ID = -(2**63)
 
 
@@ -46,7 +50,7 @@ def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(48-bit words, the word before each or START, offsets)."""
     data, off = words.text_buffers(b.column("text"))
     w, wo = words.word_hashes(data, off)
-    w = np.maximum(w >> U(16), U(1))
+    w = np.clip(w >> U(16), U(1), END - U(1))
     v = np.empty_like(w)
     if len(w):
         v[0] = START
@@ -113,9 +117,9 @@ def _look(keys: np.ndarray, counts: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, counts[at], 0)
 
 
-def _postings(docs: DataFrame, heavy_b, parts: int) -> DataFrame:
+def _postings(docs: DataFrame, heavy_b, parts: int, ends: bool) -> DataFrame:
     """Packed rows (part, blob): documents, second words and their runs, first words, who has them and how often, and, in one
-    row of each chunk, the documents' settled sums and sizes."""
+    row of each chunk, the documents' settled sums and sizes.  With ``ends``, last words too, as pairs (END, word)."""
 
     def run(batches):
         words_k, words_c, pairs_k, pairs_c, total = heavy_b.value
@@ -135,9 +139,14 @@ def _postings(docs: DataFrame, heavy_b, parts: int) -> DataFrame:
             c1 = _look(words_k, words_c, v[known])
             local += np.bincount(owner[known], weights=np.log(c12[known] / np.maximum(c1, 1)), minlength=n)
             rest = np.flatnonzero(~(done | known))
-            x, y, o = v[rest], w[rest], owner[rest]
-            by = np.where(c2[rest] > 0, words.mix(_pair(x, y)), words.mix(y))
-            del w, v, c2, c12, c1, known, done, rest, owner
+            x, y, o, often = v[rest], w[rest], owner[rest], c2[rest] > 0
+            if ends:
+                last = wo[1:][sizes > 0] - 1
+                last = last[c2[last] == 0]
+                x, y, o = np.append(x, np.full(len(last), END)), np.append(y, w[last]), np.append(o, owner[last])
+                often = np.append(often, np.zeros(len(last), bool))
+            by = np.where(often, words.mix(_pair(x, y)), words.mix(y))
+            del w, v, c2, c12, c1, known, done, rest, owner, often
             part = ((by >> U(32)) * U(parts) >> U(32)).astype(np.int32)
             del by
             order = np.lexsort((o, x, y, part))
@@ -179,6 +188,7 @@ def _settle(postings: DataFrame, heavy_b, parts: int, min_count: int, backoff: f
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(p, []).append(blob)
         words.release()
+        whole = min_count <= 1
         sums: list[tuple] = []
         for p in sorted(held):
             parts_ = [common.unpack(x, _KINDS) for x in held.pop(p)]
@@ -200,17 +210,25 @@ def _settle(postings: DataFrame, heavy_b, parts: int, min_count: int, backoff: f
                 first = np.flatnonzero(new_y)
                 uniq = y[first]
                 heavy = _look(words_k, words_c, uniq)
-                c2u = np.where(heavy > 0, heavy, np.add.reduceat(t, first))
-                c2 = np.repeat(c2u, np.diff(np.append(first, len(y))))
+                c2u = np.where(heavy > 0, heavy, np.add.reduceat(np.where(x_ == END, 0, t), first))
+                runs = np.diff(np.append(first, len(y)))
+                c2 = np.repeat(c2u, runs)
                 del new_y, new, y
-                table = (x_ != START) & (c12 >= min_count)
+                table = (x_ != START) & (x_ != END) & (c12 >= min_count)
                 term = np.where(table, np.log(c12), np.log(c2 / total) + np.where(x_ == START, 0.0, np.log(backoff)))
+                if whole:
+                    term = np.where(x_ == END, np.log(c2), term - np.where(np.repeat(heavy > 0, runs), 0.0, np.log(c2)))
                 del c2, c12
                 c1 = np.where(table, _look(words_k, words_c, x_), 0)
                 term = (term - np.where(c1 > 0, np.log(np.maximum(c1, 1)), 0.0)) * t
                 u, inv = np.unique(d, return_inverse=True)
                 sums.append([u, np.bincount(inv, weights=term, minlength=len(u)), np.zeros(len(u), np.int64)])
                 del u, inv, term
+                if whole:
+                    del x_, d, t, table, c1
+                    if len(sums) > 8:
+                        sums = [_added(sums)]
+                    continue
                 light = (heavy == 0) & (c2u >= min_count)
                 yield _rows(2, None, uniq[light].view(np.int64), None, c2u[light])
                 due = np.flatnonzero(table & (c1 == 0))
@@ -259,9 +277,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backo
         got = sorted((r["h"] % 2**64, r["c"]) for r in rows if r["k"] == k)
         tables += [np.array([g[0] for g in got], U), np.array([g[1] for g in got], np.int64)]
     heavy_b = spark.sparkContext.broadcast((*tables, max(1, total)))
-    found = ws.table(_settle(_postings(docs, heavy_b, parts * BUCKETS), heavy_b, parts, min_count, backoff))
+    found = _settle(_postings(docs, heavy_b, parts * BUCKETS, min_count <= 1), heavy_b, parts, min_count, backoff)
+    if min_count <= 1:
+        return _scores(found.select("doc", "x", "n"))
+    found = ws.table(found)
     due = found.where("kind = 1").select("doc", "word", F.col("n").alias("times"))
     table = found.where("kind = 2").select("word", F.col("n").alias("c"))
     logs = due.join(table, "word").select("doc", (-F.log("c") * F.col("times")).alias("x"), F.lit(0).cast("long").alias("n"))
-    sums = found.where("kind = 0").select("doc", "x", "n").union(logs).groupBy("doc").agg(F.sum("x").alias("log_prob"), F.sum("n").alias("n_tokens"))
+    return _scores(found.where("kind = 0").select("doc", "x", "n").union(logs))
+
+
+def _scores(parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy("doc").agg(F.sum("x").alias("log_prob"), F.sum("n").alias("n_tokens"))
     return sums.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_tokens", "log_prob", F.try_divide("log_prob", "n_tokens").alias("score"))

@@ -19,6 +19,20 @@ def test_lm_scores_equal_brute_force(spark, docs_of, monkeypatch):
             assert got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-6)
 
 
+def test_lm_pairs_seen_once_count(spark, docs_of):
+    rows = [(1, "a b a c"), (2, "b a"), (3, "d"), (4, ""), (5, None), (6, "zz " * 5000), *[(10 + k, f"the of {prose(k % 7, 25 + k)} of the") for k in range(40)]]
+    for heavy in (10, 100_000):
+        got = {r.doc_id: (r.n_tokens, r.log_prob) for r in lm_score.score(docs_of(rows), heavy=heavy).collect()}
+        want = lm_scores(rows, min_count=1)
+        assert got.keys() == want.keys()
+        for k, (n, s) in want.items():
+            assert got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-6)
+        # with a higher min_count, rarer pairs back off as before
+        want = lm_scores(rows, min_count=2)
+        for r in lm_score.score(docs_of(rows), heavy=heavy, min_count=2).collect():
+            assert r.log_prob == pytest.approx(want[r.doc_id][1], abs=1e-6)
+
+
 def test_lm_odd_rows(spark, docs_of):
     got = sorted(((r.doc_id, r.n_tokens) for r in lm_score.score(docs_of([(None, "a b"), (None, "c"), (4, "a"), (4, "b c"), (5, "")])).collect()), key=str)
     assert got == sorted([(None, 3), (4, 3), (5, 0)], key=str)
