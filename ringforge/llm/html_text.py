@@ -8,7 +8,7 @@ element around it, with those of its siblings that look like content.  Where no
 article, main or body is taken as a whole.
 
 The text: character references decoded, white space inside a block made one space, blocks in page order joined by
-\\n.  Null or empty html, or html without text, gives an empty text.  Each page is a row of its own; repeated rows, and
+\\n\\n.  Null or empty html, or html without text, gives an empty text.  Each page is a row of its own; repeated rows, and
 rows without id or url, stay as they are.  Extra columns are ignored."""
 
 from __future__ import annotations
@@ -277,7 +277,7 @@ def main_text(page: str | None) -> str:
             else:
                 stack.extend(reversed(x.children))
         flush()
-    return "\n".join(blocks)
+    return "\n\n".join(blocks)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -56,3 +56,11 @@ def test_whole_table(spark, sf):
         want[pid] = "\n".join(x for x in (" ".join(html.unescape(re.sub("</?b>", "", y)).split()) for y in re.split(r"</?(?:article|h1|p)>", a)) if x)
     got = {r.page_id: r.text for r in QUERIES["op1_html_extraction"](spark, sf).collect()}
     assert got == want
+
+
+def test_blocks_are_joined_by_two_line_ends(spark):
+    body = page(f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG}<br>more</p></article>")
+    want = f"Title\n\n{LONG}\n\n{LONG} more"
+    assert main_text(body) == want
+    got = extract(spark.createDataFrame([(1, "u", body)], "page_id long, url string, html string")).first()
+    assert (got.text, got.n_chars) == (want, len(want))
