@@ -464,7 +464,7 @@ def cut_to_boundaries(spark, sf_dir):
 
 @query
 def shortest_path(spark, sf_dir):
-    return sequential.shortest_path(tracks(spark, sf_dir), most=200).select(*KEY, rnd("x"), rnd("y"), rnd("interpolation"), "error")
+    return sequential.shortest_path(tracks(spark, sf_dir)).select(*KEY, rnd("x"), rnd("y"), rnd("interpolation"), "error")
 
 
 @query

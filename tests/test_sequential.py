@@ -68,6 +68,20 @@ def test_shortest_is_shorter_than_the_middle():
     assert ((t >= 0) & (t <= 1 + 1e-9)).all()
 
 
+def test_shortest_path_query_settles(spark, monkeypatch):
+    from ringforge.plans import queries
+
+    th = 2 * np.pi * np.arange(100) / 100
+    r = 300 + 40 * np.sin(3 * th)
+    lines = np.stack([(r - 100) * np.cos(th), (r - 100) * np.sin(th), (r + 100) * np.cos(th), (r + 100) * np.sin(th)], 1)
+    want = sequential.shortest(lines)[1]
+    assert abs(sequential.shortest(lines, most=200)[1] - want).max() > 4e-4  # a wide ring takes 257 sweeps
+    wide = spark.createDataFrame([(1, i, *x) for i, x in enumerate(lines.tolist())], "track_id long, idx long, x1 double, y1 double, x2 double, y2 double")
+    monkeypatch.setattr(queries, "tracks", lambda *_: wide)
+    got = [r.interpolation for r in queries.QUERIES["shortest_path"](spark, SF).orderBy("idx").collect()]
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_smoothing_keeps_centres_and_width():
     lines = ring()
     out = sequential.smooth_lines(lines, 50, 12.0)
