@@ -88,16 +88,6 @@ def window(encoded: DataFrame, t: Transform, flat: bool = False) -> DataFrame:
     return _with_targets(df.withColumn("x", x.cast("array<float>" if flat else "array<array<float>>")).drop(*t.inputs), t)
 
 
-def patchify(vectors: Column, n: Column, p: int, width: int) -> Column:
-    """An array of vectors in groups of p, joined into one vector each; filled up with -1 in front."""
-    if p == 1:
-        return vectors
-    missing = F.pmod(-n, F.lit(p)).cast("int")
-    blank = F.array(*[F.lit(-1.0)] * width)
-    full = F.concat(F.array_repeat(blank, missing), vectors)
-    return F.transform(F.sequence(F.lit(0), ((n + missing) / p).cast("int") - 1), lambda k: F.flatten(F.slice(full, k * p + 1, p)))
-
-
 def _zipped(cols: Sequence[str]) -> Column:
     """Channels as an array of vectors."""
     first, *rest = cols
@@ -107,74 +97,80 @@ def _zipped(cols: Sequence[str]) -> Column:
     return out
 
 
-def _left_pad(x: Column, to: Column, width: int) -> Column:
-    return F.concat(F.array_repeat(F.array(*[F.lit(-1.0)] * width), (to - F.size(x)).cast("int")), x)
+def patches(vector: Callable[[Column], Column], count: Column, p: int, width: int, to: Column | None = None, mark: Callable[[Column, Column], Column] | None = None) -> Column:
+    """``count`` vectors in groups of p, joined into one each; filled up with -1 in front, and with whole groups of -1 up to ``to`` groups.
 
+    vector: the vector at a place; mark: a value to add to a group, from its place and the number of groups.  Each value is taken from its place
+    alone, so that the work is in proportion to the output (an array that is put together first would be made anew for each group)."""
+    missing = F.pmod(-count, F.lit(p))
+    m = ((count + missing) / p).cast("int")
+    blank = F.array(*[F.lit(-1.0)] * width)
+    before = F.lit(0) if to is None else to.cast("int") - m
 
-def time_vector(n: Column, p: int) -> Column:
-    """Places along the track in [0, 1], one for each patch."""
-    m = F.ceil(n / F.lit(p)).cast("int")
-    return F.transform(F.sequence(F.lit(0), m - 1), lambda k: k / F.greatest(F.lit(1), m - 1))
+    def group(j: Column) -> Column:
+        at = lambda q: j * p + q - missing
+        flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda q: F.when(at(q) < 0, blank).otherwise(vector(at(q)))))
+        return F.concat(flat, F.array(mark(j, m))) if mark else flat
 
+    empty = F.array(*[F.lit(-1.0)] * (width * p + bool(mark)))
+    return F.transform(F.sequence(F.lit(0), before + m - 1), lambda j: F.when(j < before, empty).otherwise(group(j - before)))
 
-def _timed(x: Column, marks: Column) -> Column:
-    return F.zip_with(x, marks, lambda v, w: F.concat(v, F.array(w)))
+
+def patchify(vectors: Column, n: Column, p: int, width: int) -> Column:
+    """An array of n vectors in groups of p, joined into one vector each; filled up with -1 in front."""
+    return patches(lambda s: F.get(vectors, s.cast("int")), n, p, width)
 
 
-def _two_ends(size: Column, head: Column, tail: Column) -> Column:
-    """A vector of ``size`` zeros whose first places are head and whose last are tail (tail wins)."""
-    h, t = F.size(head), F.size(tail)
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.when(k >= size - t, F.get(tail, (k - (size - t)).cast("int"))).when(k < h, F.get(head, k)).otherwise(0.0))
+def time_mark(n: Column, p: int, tail: Column) -> Callable[[Column, Column], Column]:
+    """Places along the track in [0, 1]: one for each patch of the first round, and again for the last ``tail`` groups; 0 between."""
+    most = F.ceil(n / F.lit(p)).cast("int")
+    step = F.greatest(F.lit(1), most - 1)
+    return lambda j, m: F.when(j >= m - tail, (j - (m - tail)) / step).when(j < most, j / step).otherwise(0.0)
 
 
 def _longest(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(F.max("n").alias("longest"))))
 
 
+def _vectors(encoded: DataFrame, t: Transform) -> DataFrame:
+    """One row per track: n, an array of input vectors _v, and the outputs' arrays."""
+    return per_track(encoded, (*t.inputs, *t.outputs)).withColumn("_v", _zipped(t.inputs)).drop(*t.inputs)
+
+
+def _at(place: Column) -> Column:
+    return F.get(F.col("_v"), F.pmod(place, F.col("n")).cast("int"))
+
+
 def lag(encoded: DataFrame, t: Transform) -> DataFrame:
     """x: the whole track, then the track up to the row, in patches, filled up with -1 in front.  Grows with the square of a track."""
-    p, width = t.patch_size, len(t.inputs) * t.patch_size + int(t.time_to_vec)
-    df = per_track(encoded, (*t.inputs, *t.outputs))
-    df = _rows(_longest(df.withColumn("_v", _zipped(t.inputs)).drop(*t.inputs)))
-    x = patchify(F.concat("_v", F.slice("_v", 1, F.col(IDX).cast("int") + 1)), F.col("n") + F.col(IDX).cast("int") + 1, p, len(t.inputs))
-    df = df.withColumn("x", x)
-    if t.time_to_vec:
-        places = time_vector(F.col("n"), p)
-        tail = F.slice(places, 1, (F.floor(F.col(IDX) / p) + 1).cast("int"))
-        df = df.withColumn("x", _timed(F.col("x"), _two_ends(F.size("x"), places, tail)))
-    to = F.ceil(F.col("longest") / F.lit(p)) * 2
-    df = df.withColumn("x", _left_pad(F.col("x"), to, width).cast("array<array<float>>"))
-    return _with_targets(df.drop("_v", "longest"), t)
+    p, n, i = t.patch_size, F.col("n"), F.col(IDX).cast("int")
+    df = _rows(_longest(_vectors(encoded, t)))
+    mark = time_mark(n, p, F.floor(i / p).cast("int") + 1) if t.time_to_vec else None
+    x = patches(_at, n + i + 1, p, len(t.inputs), F.ceil(F.col("longest") / F.lit(p)) * 2, mark)
+    return _with_targets(df.withColumn("x", x.cast("array<array<float>>")).drop("_v", "longest"), t)
 
 
 def stateful_lag(encoded: DataFrame, t: Transform) -> DataFrame:
     """One sequence per track: the track twice, in patches; outputs for each patch (arrays of arrays)."""
-    p, s = t.patch_size, t.sampling
-    df = per_track(encoded, (*t.inputs, *t.outputs)).withColumn("_v", _zipped(t.inputs)).drop(*t.inputs)
-    n = F.col("n")
-    df = df.withColumn("x", patchify(F.concat("_v", "_v"), n * 2, p, len(t.inputs))).drop("_v")
-    if t.time_to_vec:
-        places = time_vector(n, p)
-        df = df.withColumn("x", _timed(F.col("x"), _two_ends(F.size("x"), places, places)))
+    p, s, n = t.patch_size, t.sampling, F.col("n")
+    # the rows pass through an explode of one, so that the vectors are made once and not for each value
+    df = _vectors(encoded, t).withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.least(n, F.lit(1))))).drop("_one")
     m = F.ceil(n / F.lit(p)).cast("int")
+    mark = time_mark(n, p, m) if t.time_to_vec else None
 
-    def patches(c: str) -> Column:
+    def outputs(c: str) -> Column:
         return F.transform(F.sequence(F.lit(0), m - 1), lambda i: _gather(F.col(c), n - p * (1 + (m - i - 1) + s) - t.lag, p * (2 * s + 1), n))
 
-    return df.withColumns({f"y_{c}": patches(c) for c in t.outputs} | {"x": F.col("x").cast("array<array<float>>")}).drop(*t.outputs)
+    x = patches(_at, n * 2, p, len(t.inputs), None, mark)
+    return df.withColumns({f"y_{c}": outputs(c) for c in t.outputs} | {"x": x.cast("array<array<float>>")}).drop("_v", *t.outputs)
 
 
 def bidirectional(encoded: DataFrame, t: Transform) -> DataFrame:
     """x: the ring onward and the ring backward, both ending on the row, side by side; in patches, filled up with -1 in front."""
-    p, k = t.patch_size, len(t.inputs)
-    df = per_track(encoded, (*t.inputs, *t.outputs))
-    df = _rows(_longest(df.withColumn("_v", _zipped(t.inputs)).drop(*t.inputs)))
-    n, i = F.col("n"), F.col(IDX)
-    both = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.concat(F.get(F.col("_v"), F.pmod(i + 1 + j, n).cast("int")), F.get(F.col("_v"), F.pmod(i - 1 - j, n).cast("int"))))
-    x = patchify(both, n, p, 2 * k)
-    to = F.ceil(F.col("longest") / F.lit(p))
-    df = df.withColumn("x", _left_pad(x, to, 2 * k * p).cast("array<array<float>>"))
-    return _with_targets(df.drop("_v", "longest"), t)
+    p, k, n, i = t.patch_size, len(t.inputs), F.col("n"), F.col(IDX).cast("int")
+    df = _rows(_longest(_vectors(encoded, t)))
+    x = patches(lambda s: F.concat(_at(i + 1 + s), _at(i - 1 - s)), n, p, 2 * k, F.ceil(F.col("longest") / F.lit(p)))
+    return _with_targets(df.withColumn("x", x.cast("array<array<float>>")).drop("_v", "longest"), t)
 
 
 def _averaged(df: DataFrame, at: Column, col: str) -> DataFrame:

@@ -40,8 +40,6 @@ def feat(src: str, name: str) -> str:
 FEAT = BASE + ", " + feat("tracks", "f")
 MIRROR = BASE + ", mirrored as (select track_id, idx, n, x2 x1, -y2 y1, x1 x2, -y1 y2, 1 - pos pos, vel from tracks), " + feat("mirrored", "f")
 ENC = FEAT + ", e as (select track_id, idx, n, width, angle, off, case when pos = 0 then -1 else pos end position, case when vel = 0 then -1 else vel end velocity from f)"
-#: The first twelve lines of each track, as rings of their own.
-SHORT = ENC + ", s as (select track_id, idx, 12 n, width, angle, off, position, velocity from e where idx < 12)"
 F32 = "cast(cast({} as float) as double)"
 
 
@@ -130,9 +128,9 @@ def evaluation(extra: str, position: str, percent: str, joined: str = "") -> str
 FIGURES = [f"laptime_{k}" for k in LAP] + [f"{k}_{s}" for k in ("position", "velocity") for s in STAT]
 DIST = "sqrt((a.ox - p.ox) * (a.ox - p.ox) + (a.oy - p.oy) * (a.oy - p.oy))"
 EVAL = evaluation("", f"case when p.pos < a.pos then -{DIST} else {DIST} end", "abs(p.pos - a.pos) * 100")
-ALL = cols(3, **{c: c for c in FIGURES})
+ALL = cols(6, **{c: f"({c} + cast(1e-9 as double))" for c in FIGURES})
 NAMED = EVAL + ", nm as (select *, 'v' || cast(track_id % 3 as varchar) vehicle, 't' || cast(track_id % 7 as varchar) track from ev)"
-MEANS = cols(3, **{c: f"{'max' if c.endswith('_max') else 'avg'}({c})" for c in FIGURES})
+MEANS = cols(6, **{c: f"({'max' if c.endswith('_max') else 'avg'}({c}) + cast(1e-9 as double))" for c in FIGURES})
 _hit, _hx, _hy = cross("m", "q")
 MISS = (
     f", {normals_of('f', 'nn', 10.0, 'ox', 'oy')}, {catmull_of('predx', 'cc', 5, 'ox', 'oy')}, {ring_of('cc', 'cl', '$x', '$y')}, "
@@ -168,27 +166,53 @@ def resampled(loop: bool, spacing: float) -> str:
     )
 
 
+def by_vector(w: str) -> str:
+    """Sums of the vectors of w (track_id, idx, j, k, v)."""
+    v = F32.format("v")
+    return f" select track_id, idx, j, {r(f'sum({v})', 'total', 2)}, {r(f'sum({v} * (k + 1))', 'weighted', 2)} from {w} group by 1, 2, 3"
+
+
+def _window_sql(f: int) -> str:
+    return ENC + f""", w as (select e.track_id, e.idx, e.n, g.k from e, generate_series(0, {2 * f}) g(k)),
+      x as (select w.track_id, w.idx, cc.c j, w.k, {CHANNEL.format('s')} v
+        from w join e s on s.track_id = w.track_id and s.idx = (w.idx + w.k - {f} + 1000 * w.n) % w.n, generate_series(0, 2) cc(c))"""
+
+
 def _lag_sql() -> str:
-    # 12 lines, patches of 5: up to 6 patches of 15 values and a time
-    return SHORT + f""", g as (select s.track_id, s.idx, 13 + s.idx len, (5 - (13 + s.idx) % 5) % 5 missing from s),
-      h as (select g.*, (len + missing) // 5 m, jj.j, kk.k from g, generate_series(0, 5) jj(j), generate_series(0, 15) kk(k)),
-      w as (select *, j - (6 - m) pj, case when k < 15 then (j - (6 - m)) * 5 + k // 3 - missing end src, k % 3 c, idx // 5 + 1 tail from h)
-      select w.track_id, w.idx, w.j, w.k, {r(F32.format('''case when pj < 0 then -1 when k = 15 then case when pj >= m - tail then (pj - (m - tail)) / cast(2 as double) when pj < 3 then pj / cast(2 as double) else 0 end
-        when src < 0 then -1 else ''' + CHANNEL.format('s') + ' end'), 'v', 3)}
-      from w left join s on s.track_id = w.track_id and s.idx = case when w.src < 12 then w.src else w.src - 12 end"""
+    """Patches of 5 lines: 15 values and a time."""
+    return ENC + f""", z as (select cast(ceil(max(n) / cast(5 as double)) as bigint) * 2 most from e),
+      g as (select track_id, idx, n, n + idx + 1 len, (5 - (n + idx + 1) % 5) % 5 missing, (n + 4) // 5 places, idx // 5 + 1 tail, most from e, z),
+      h as (select *, (len + missing) // 5 m from g),
+      w as (select h.*, jj.j, kk.k, jj.j - (most - m) pj from h, generate_series(0, (select most - 1 from z)) jj(j), generate_series(0, 15) kk(k)),
+      y as (select *, pj * 5 + k // 3 - missing src, k % 3 c from w),
+      x as (select y.track_id, y.idx, y.j, y.k, case when pj < 0 then -1
+          when k = 15 then case when pj >= m - tail then (pj - (m - tail)) / cast(greatest(1, places - 1) as double) when pj < places then pj / cast(greatest(1, places - 1) as double) else 0 end
+          when src < 0 then -1 else {CHANNEL.format('s')} end v
+        from y left join e s on s.track_id = y.track_id and s.idx = y.src % y.n and y.src >= 0 and y.pj >= 0 and y.k < 15)""" + by_vector("x")
 
 
 def _stateful_sql() -> str:
-    return SHORT + f""", t as (select distinct track_id from s),
-      w as (select track_id, jj.j, kk.k, case when kk.k < 15 then jj.j * 5 + kk.k // 3 - 1 end src, kk.k % 3 c from t, generate_series(0, 4) jj(j), generate_series(0, 15) kk(k))
-      select w.track_id, w.j, w.k, {r(F32.format('''case when k = 15 then case when j >= 2 then (j - 2) / cast(2 as double) else j / cast(2 as double) end when src < 0 then -1 else ''' + CHANNEL.format('s') + ' end'), 'v', 3)}
-      from w left join s on s.track_id = w.track_id and s.idx = w.src % 12"""
+    value = f"case when k = 15 then (case when j >= m - places then j - (m - places) when j < places then j else 0 end) / cast(greatest(1, places - 1) as double) when src < 0 then -1 else {CHANNEL.format('s')} end"
+    return ENC + f""", t as (select track_id, n, (5 - (2 * n) % 5) % 5 missing, (n + 4) // 5 places from e where idx = 0),
+      u as (select *, (2 * n + missing) // 5 m from t),
+      w as (select u.*, jj.j, kk.k, jj.j * 5 + kk.k // 3 - missing src, kk.k % 3 c from u, generate_series(0, (select max(m) from u)) jj(j), generate_series(0, 15) kk(k) where jj.j < m)
+      select w.track_id, w.j, w.k, {r(F32.format(value), 'v', 3)}
+      from w left join e s on s.track_id = w.track_id and s.idx = w.src % w.n and w.src >= 0 and w.k < 15"""
+
+
+def _stateful_targets_sql() -> str:
+    return ENC + f""", t as (select track_id, n, (n + 4) // 5 m from e where idx = 0),
+      w as (select t.*, jj.j, kk.k, (n - 5 * (m - jj.j + 1) - 2 + kk.k + 10 * n) % n src from t, generate_series(0, (select max(m) from t)) jj(j), generate_series(0, 14) kk(k) where jj.j < m)
+      select w.track_id, w.j, w.k, {r('s.velocity', 'v')} from w join e s on s.track_id = w.track_id and s.idx = w.src"""
 
 
 def _bidirectional_sql() -> str:
-    return SHORT + f""", w as (select s.track_id, s.idx, jj.j, kk.k, jj.j * 5 + kk.k // 6 - 3 src, kk.k % 6 c6, (kk.k % 6) % 3 c from s, generate_series(0, 2) jj(j), generate_series(0, 29) kk(k))
-      select w.track_id, w.idx, w.j, w.k, {r(F32.format('case when src < 0 then -1 else ' + CHANNEL.format('s') + ' end'), 'v', 3)}
-      from w left join s on s.track_id = w.track_id and s.idx = case when c6 < 3 then (w.idx + 1 + src) % 12 else (w.idx - 1 - src + 24) % 12 end"""
+    """Patches of 5 lines: of each line 3 values onward and 3 backward."""
+    return ENC + f""", z as (select cast(ceil(max(n) / cast(5 as double)) as bigint) most from e),
+      g as (select track_id, idx, n, (5 - n % 5) % 5 missing, (n + 4) // 5 m, most from e, z),
+      w as (select g.*, jj.j, kk.k, (jj.j - (most - m)) * 5 + kk.k // 6 - missing src, kk.k % 6 c6, (kk.k % 6) % 3 c from g, generate_series(0, (select most - 1 from z)) jj(j), generate_series(0, 29) kk(k)),
+      x as (select w.track_id, w.idx, w.j, w.k, case when src < 0 then -1 else {CHANNEL.format('s')} end v
+        from w left join e s on s.track_id = w.track_id and s.idx = case when c6 < 3 then (w.idx + 1 + src) % w.n else (w.idx - 1 - src + 2 * w.n) % w.n end and w.src >= 0)""" + by_vector("x")
 
 
 def _splice_sql() -> str:
@@ -287,15 +311,16 @@ SQL: dict[str, str] = {
     + " from e, b",
     "vehicle_vectors": f"with {VEHICLES} select track_id, cast(dim as bigint) dim, {r('value', 'value')} from vl",
     "vehicle_scaled": f"with {VEHICLES}, m as (select dim, min(value) lo, max(value) hi from vl group by 1) select track_id, cast(dim as bigint) dim, {r('(value - lo) / case when hi = lo then 1 else hi - lo end', 'value')} from vl join m using (dim)",
-    "flat_window": ENC + f", w as (select e.*, cc.c, g.k from e, generate_series(0, 2) cc(c), generate_series(0, 4) g(k)) select a.track_id, a.idx, a.c * 5 + a.k k, {r(F32.format(CHANNEL.replace(' c ', ' a.c ').format('s')), 'v', 3)} from w a join e s on s.track_id = a.track_id and s.idx = (a.idx + a.k - 2 + a.n) % a.n",
-    "window": ENC + f", w as (select e.*, cc.c, g.k from e, generate_series(0, 2) cc(c), generate_series(0, 4) g(k)) select a.track_id, a.idx, a.c j, a.k, {r(F32.format(CHANNEL.replace(' c ', ' a.c ').format('s')), 'v', 3)} from w a join e s on s.track_id = a.track_id and s.idx = (a.idx + a.k - 2 + a.n) % a.n",
+    "flat_window": _window_sql(120) + by_vector("x"),
+    "window": _window_sql(120) + by_vector("x"),
+    "narrow_window": ENC + f", w as (select e.*, cc.c, g.k from e, generate_series(0, 2) cc(c), generate_series(0, 4) g(k)) select a.track_id, a.idx, a.c j, a.k, {r(F32.format(CHANNEL.replace(' c ', ' a.c ').format('s')), 'v', 3)} from w a join e s on s.track_id = a.track_id and s.idx = (a.idx + a.k - 2 + a.n) % a.n",
     "targets": ENC + f", w as (select e.*, g.k from e, generate_series(0, 14) g(k)) select a.track_id, a.idx, a.k, {r('s.velocity', 'v')} from w a join e s on s.track_id = a.track_id and s.idx = (a.idx + a.k - 10 + a.n) % a.n",
     "detransform_window": ENC + " select track_id, idx, " + cols(y_velocity="velocity") + " from e",
     "lag": _lag_sql(),
     "stateful_lag": _stateful_sql(),
-    "stateful_targets": SHORT + f", t as (select distinct track_id from s), w as (select track_id, jj.j, kk.k, (12 - 5 * (4 - jj.j) - 2 + kk.k + 24) % 12 src from t, generate_series(0, 2) jj(j), generate_series(0, 14) kk(k)) select w.track_id, w.j, w.k, {r('s.velocity', 'v')} from w join s on s.track_id = w.track_id and s.idx = w.src",
+    "stateful_targets": _stateful_targets_sql(),
     "bidirectional": _bidirectional_sql(),
-    **{k: SHORT + " select track_id, idx, " + cols(y_velocity="velocity") + " from s" for k in ("detransform_lag", "detransform_stateful", "detransform_bidirectional")},
+    **{k: ENC + " select track_id, idx, " + cols(y_velocity="velocity") + " from e" for k in ("detransform_lag", "detransform_stateful", "detransform_bidirectional")},
     "evaluate": EVAL + f" select track_id, {ALL} from ev",
     "evaluate_by_vehicle": NAMED + f" select vehicle, {MEANS}, count(*) n_tracks from nm group by 1",
     "evaluate_by_track": NAMED + f" select track, {MEANS}, count(*) n_tracks from nm group by 1",

@@ -5,8 +5,8 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from ringforge.operators import features
-from ringforge.plans.queries import QUERIES
+from ringforge.operators import features, transforms
+from ringforge.plans.queries import QUERIES, _long2
 from ringforge.plans.synth import tracks
 
 P = 5
@@ -57,7 +57,8 @@ def long_form(df, *keys):
 @pytest.mark.parametrize("brute", [lag, bidirectional], ids=lambda f: f.__name__)
 def test_examples_of_each_line(spark, rings, brute):
     longest = max(len(v) for _, v in rings.values())
-    got = long_form(QUERIES[brute.__name__](spark, SF), "track_id", "idx")
+    t = transforms.Transform(brute.__name__, patch_size=P, time_to_vec=brute is lag)
+    got = long_form(_long2(t.transform(features.encode(tracks(spark, SF))), places=3), "track_id", "idx")
     want = [brute(a, i, longest) for _, (a, _) in sorted(rings.items()) for i in range(len(a))]
     assert [tuple(k) for k in got[["track_id", "idx"]].drop_duplicates().to_numpy()] == [(t, i) for t, (a, _) in sorted(rings.items()) for i in range(len(a))]
     assert np.allclose(got["v"], np.concatenate([w.ravel() for w in want]), atol=2e-3)
