@@ -73,12 +73,14 @@ SQL = {
         from d join g using (text_sha256)""",
     "op4_lm_scoring": f"""
         with {_WORDS},
-          t as (select doc_id, i, ws[i] as x, case when i > 1 then ws[i - 1] end as v from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w)),
+          t as (select doc_id, ws[i] as x, case when i > 1 then ws[i - 1] end as v, case when i > 2 then ws[i - 2] end as u from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w)),
           one as (select x, count(*) as c from t group by 1),
           two as (select v, x, count(*) as c from t where v is not null group by 1, 2),
+          three as (select u, v, x, count(*) as c from t where u is not null group by 1, 2, 3),
           total as (select count(*) as n from t),
-          l as (select t.doc_id, case when t.v is null then ln(o.c / n) when p.c >= 2 then ln(p.c / h.c) else ln(0.4 * o.c / n) end as s
-                from t join one o on o.x = t.x left join one h on h.x = t.v left join two p on p.v = t.v and p.x = t.x, total),
+          l as (select t.doc_id, case when t.v is null then ln(o.c / n) when t.u is null then ln(p.c / h.c) else ln(q.c / g.c) end as s
+                from t join one o on o.x = t.x left join one h on h.x = t.v left join two p on p.v = t.v and p.x = t.x
+                left join two g on g.v = t.u and g.x = t.v left join three q on q.u = t.u and q.v = t.v and q.x = t.x, total),
           g as (select doc_id, count(*) as n_tokens, sum(s) as log_prob from l group by 1)
         select d.doc_id, coalesce(g.n_tokens, 0) as n_tokens, round(coalesce(g.log_prob, 0.0), 4) as log_prob, round(g.log_prob / g.n_tokens, 6) as score
         from documents d left join g on g.doc_id = d.doc_id""",

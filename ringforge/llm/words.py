@@ -62,9 +62,13 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Rows that a batch of chunks() has at most.
+CHUNK_ROWS = 4096
+
+
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows anew, in batches of about max_bytes of one column (one row at least), so that memory is bounded."""
-    held, size = [], 0
+    """The rows anew, in batches of about max_bytes of one column (one row at least) and CHUNK_ROWS rows at most, so that memory is bounded."""
+    held, size, rows = [], 0, 0
     for b in batches:
         if not b.num_rows:
             continue
@@ -72,14 +76,15 @@ def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 21, column:
         i, n = 0, b.num_rows
         while i < n:
             j = int(np.searchsorted(off, off[i] + max(0, max_bytes - size), "right")) - 1
-            j = min(max(j, i + 1 if not held else i), i + 4096, n)
+            j = min(max(j, i + 1 if not held else i), i + CHUNK_ROWS - rows, n)
             if j > i:
                 held.append(b.slice(i, j - i))
                 size += int(off[j] - off[i])
+                rows += j - i
                 i = j
-            if i < n or size >= max_bytes:
+            if i < n or size >= max_bytes or rows == CHUNK_ROWS:
                 yield _joined(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield _joined(held)
     release()

@@ -38,21 +38,25 @@ def near_duplicates(rows, n=5, percent=75):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-def lm_scores(rows, backoff=0.4, min_count=2):
+def lm_scores(rows, order=3, backoff=0.4, min_count=1):
+    """{id: (words, sum of log S)} by counting every n-gram and going down from the longest."""
     import math
 
     toks = {d: words(t) for d, t in rows}
-    one, two = collections.Counter(), collections.Counter()
+    counts = collections.Counter()
     for w in toks.values():
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    total = sum(one.values())
+        for k in range(1, order + 1):
+            counts.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    total = sum(len(w) for w in toks.values())
     out = {}
     for d, w in toks.items():
         s = 0.0
-        for i, x in enumerate(w):
-            c = two[(w[i - 1], x)] if i else 0
-            s += math.log(one[x] / total) if not i else math.log(c / one[w[i - 1]]) if c >= min_count else math.log(backoff * one[x] / total)
+        for i in range(len(w)):
+            part, k = 0.0, min(order, i + 1)
+            while k > 1 and counts[tuple(w[i - k + 1 : i + 1])] < min_count:
+                part, k = part + math.log(backoff), k - 1
+            c = counts[tuple(w[i - k + 1 : i + 1])]
+            s += part + math.log(c / (counts[tuple(w[i - k + 1 : i])] if k > 1 else total))
         out[d] = (len(w), s)
     return out
 

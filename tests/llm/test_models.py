@@ -7,30 +7,33 @@ from ringforge.llm import langid, lm_score, quality, subword
 from ringforge.llm.queries import QUERIES
 
 
-def test_lm_scores_equal_brute_force(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(lm_score, "HEAVY", 100_000)
-    common = "the of and"
-    rows = [(k, f"{common} {prose(k % 7, 25 + k)} the of the of") for k in range(60)] + [(100, "one"), (101, ""), (102, None), (103, "the"), (104, "zz " * 5000), (105, "THE of\tAND")]
-    for heavy in (10, 100_000):  # few heavy words, and many
-        got = {r.doc_id: (r.n_tokens, r.log_prob) for r in lm_score.score(docs_of(rows), heavy=heavy).collect()}
-        want = lm_scores(rows)
-        assert got.keys() == want.keys()
-        for k, (n, s) in want.items():
-            assert got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-6)
-
-
-def test_lm_pairs_seen_once_count(spark, docs_of):
-    rows = [(1, "a b a c"), (2, "b a"), (3, "d"), (4, ""), (5, None), (6, "zz " * 5000), *[(10 + k, f"the of {prose(k % 7, 25 + k)} of the") for k in range(40)]]
-    for heavy in (10, 100_000):
-        got = {r.doc_id: (r.n_tokens, r.log_prob) for r in lm_score.score(docs_of(rows), heavy=heavy).collect()}
-        want = lm_scores(rows, min_count=1)
-        assert got.keys() == want.keys()
-        for k, (n, s) in want.items():
-            assert got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-6)
-        # with a higher min_count, rarer pairs back off as before
-        want = lm_scores(rows, min_count=2)
-        for r in lm_score.score(docs_of(rows), heavy=heavy, min_count=2).collect():
-            assert r.log_prob == pytest.approx(want[r.doc_id][1], abs=1e-6)
+ROWS = [(1, "a b a c"), (2, "b a"), (3, "d"), (4, ""), (5, None), (6, "zz " * 5000), (7, "the"), (8, "THE of\tAND"), (9, "the of"), (100, "one"), *[(10 + k, f"the of and {prose(k % 7, 25 + k)} the of the of") for k in range(60)]]
+
+
+@pytest.mark.parametrize("heavy", [10, 100_000])  # few heavy n-grams, and many
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores_equal_brute_force(spark, docs_of, order, heavy):
+    got = {r.doc_id: (r.n_tokens, r.log_prob) for r in lm_score.score(docs_of(ROWS), order=order, heavy=heavy).collect()}
+    want = lm_scores(ROWS, order)
+    assert got.keys() == want.keys()
+    for k, (n, s) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(s, abs=1e-6)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_rare_ngrams_back_off(spark, docs_of, order):
+    want = lm_scores(ROWS, order, min_count=2)
+    got = lm_score.score(docs_of(ROWS), order=order, min_count=2).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.n_tokens == want[r.doc_id][0] and r.log_prob == pytest.approx(want[r.doc_id][1], abs=1e-6)
+
+
+def test_lm_many_short_rows(spark, docs_of):
+    rows = [(k, f"w{k % 50} x") for k in range(9000)]
+    got = {r.doc_id: r.log_prob for r in lm_score.score(docs_of(rows)).collect()}
+    want = lm_scores(rows)
+    assert all(got[k] == pytest.approx(s, abs=1e-6) for k, (_, s) in want.items())
 
 
 def test_lm_odd_rows(spark, docs_of):
