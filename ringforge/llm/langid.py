@@ -1,9 +1,9 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
-Learned from a bounded sample: at most ``per_label`` rows of each language, those of the least hash of their id, with
-texts of at most ``max_chars`` characters.  A fifth of the sample isn't trained on but calibrates: a temperature that
-makes the softmax a probability, and the rejection threshold: the value that all but ``lost`` of the rightly
-predicted calibration rows reach (0.5 at most).
+Learned from a bounded sample: at most ``per_label`` rows of each language, those of the least hash of their id, whatever their length (a text counts by its
+distinct features: 2^15 at most).  Features are taken where the texts are, training runs in one task.  A fifth of the sample isn't trained on but calibrates: a
+temperature that makes the softmax a probability, and the rejection threshold: the value that all but ``lost`` of the rightly predicted calibration
+rows reach.  All languages with a labelled row are learned.
 
 Every whole text is then scored.  Texts that are null or have no letter: 'und', score 0, rejected.  If there is no
 row to learn from, everything is 'und'.  Rows without id are scored like others, are never learned from and count as not
@@ -11,18 +11,19 @@ held out.  Repeated rows get equal results; extra columns are ignored."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, subword, words
 
 LOG2 = 15
 ORDERS = (2, 3, 4)
+#: Rows of each language that are learned from, and the part of rightly predicted calibration rows that the rejection threshold may lose.
+PER_LABEL = 1000
+LOST = 0.001
 
 
 def remainder(id_col: Column, mod: int) -> Column:
@@ -30,44 +31,42 @@ def remainder(id_col: Column, mod: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % mod
 
 
-def sample(rows: DataFrame, label: str, per_label: int, most: int = 20_000) -> DataFrame:
-    """About per_label rows of each value of ``label`` (of the 1,000 most frequent) and ``most`` in all: those of small hashes of
-    doc_id, or all if there are few."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), label).limit(1000)
-    per = min(per_label, most // max(1, counts.count()))
-    share = F.least(F.lit(1.0), F.lit(float(per)) / F.col("_c"))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # the limit only acts where one id has very many rows
-    return rows.join(F.broadcast(counts), label).where(h < share).drop("_c").limit(2 * most)
+def sample(rows: DataFrame, per_label: int, most: int = 20_000) -> DataFrame:
+    """rows: doc_id, label.  Distinct rows, at most per_label of each label and about ``most`` in all: those of the least hash of doc_id.  Every label has one."""
+    counts = rows.groupBy("label").agg(F.count("*").alias("_c"))
+    per = max(1, min(per_label, most // max(1, counts.count())))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # about twice as many are ordered as are taken; with repeated ids fewer may be left
+    near = rows.join(counts, "label").where(h / F.lit(float(1 << 30)) < F.lit(2.0 * per + 50) / F.col("_c")).select("doc_id", "label").distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy(h, "doc_id"))
+    return near.withColumn("_k", place).where(F.col("_k") <= per).drop("_k")
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, label, text of the chosen rows (few: broadcast); of several texts of one the one of the least hash."""
+    got = docs.where("text is not null and text <> ''").join(F.broadcast(chosen), list(keys))
+    return got.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def _features(data, off):
     return subword.char_ngrams(data, off, subword.FOLD, ORDERS, LOG2)
 
 
-def learn(docs: DataFrame, per_label: int = 1500, max_chars: int = 20_000, lost: float = 0.001, mod: int = 5, out: int = 0) -> dict | None:
+_features.reach = 1
+
+
+def learn(docs: DataFrame, per_label: int = PER_LABEL, lost: float = LOST, mod: int = 5, out: int = 0) -> dict | None:
     """docs: doc_id, text, lang.  The model: labels, table, bias, temperature, threshold."""
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), mod) != out) & (F.length("text") <= max_chars) & (F.length("text") > 0))
-    got = sample(rows.select("doc_id", "text", "lang"), "lang", per_label).collect()  # bounded by per_label
-    if not got:
-        return None
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    labels = sorted({r["lang"] for r in got})
-    y = np.array([labels.index(r["lang"]) for r in got])
-    held = np.array([zlib.crc32(b"cal%d" % r["doc_id"]) % 5 == 0 for r in got])
-    feats = []
-    for r in got:
-        data = np.frombuffer(r["text"].encode(), np.uint8)
-        feats.append(subword.shares(_features(data, np.array([0, len(data)]))[0]))
-    use = np.flatnonzero(~held) if (~held).any() else np.arange(len(got))
-    table, bias = subword.train([feats[i] for i in use], y[use], len(labels), 1 << LOG2)
-    cal = np.flatnonzero(held)
-    z = np.array([(table[f[0]] * f[1][:, None]).sum(0) + bias for f in (feats[i] for i in cal)]).reshape(len(cal), len(labels))
-    t = subword.temperature(z, y[cal])
-    p = subword.softmax(z * t) if len(cal) else np.zeros((0, len(labels)))
-    right = p.max(1)[p.argmax(1) == y[cal]] if len(cal) else np.zeros(0)
-    threshold = min(0.5, float(np.quantile(right, lost))) if len(right) else 0.0
-    return {"labels": labels, "table": table, "bias": bias, "t": t, "threshold": threshold}
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), mod) != out)).withColumnRenamed("lang", "label")
+    chosen = texts_of(rows, sample(rows.select("doc_id", "label"), per_label), "doc_id", "label")
+
+    def finish(labels, table, bias, z, y):
+        t = subword.temperature(z, y)
+        p = subword.softmax(z * t)
+        right = p.max(1)[p.argmax(1) == y] if len(y) else np.zeros(0)
+        return {"labels": labels, "table": table, "bias": bias, "t": t, "threshold": max(0.0, float(np.quantile(right, lost)) - 1e-3) if len(right) else 0.0}
+
+    return subword.fit(subword.sampled(chosen, _features, 1 << LOG2), 1 << LOG2, finish)
 
 
 def _verdicts(m: dict | None, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -1,9 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed words, word pairs, word repetitions and character n-grams (case
+A document is the mean of learned vectors of its hashed words, word pairs, word n-grams without the words (which of them are equal) and character n-grams (case
 and punctuation kept); a softmax over two classes gives the score.  Trained in numpy by stochastic gradient descent on a bounded
-sample: at most ``per_label`` labelled rows of each class, those of the least hash of their id, with texts of at most
-``max_chars`` characters.  A fifth of it calibrates the score (temperature).
+sample: at most ``per_label`` labelled rows of each class, those of the least hash of their id, whatever their length (a text counts by its distinct
+features: 2^16 at most).  Features are taken where the texts are, training runs in one task.  A fifth of the sample calibrates the score (temperature).
 
 Labels with null id or null quality are left out; of several labels of one id the largest counts.  Every whole text is
 scored: null or empty ones get the share of class 1 that the model's bias holds.  If there are no labels, every
@@ -11,45 +11,42 @@ score is 0.5.  Rows without id are scored, and count as not held out.  Extra col
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, subword, words
-from .langid import remainder, sample
+from .langid import remainder, sample, texts_of
 
 LOG2 = 16
 ORDERS = (1, 2, 3)
+PER_LABEL = 2500
 
 
 def _features(data, off):
     a, x = subword.char_ngrams(data, off, subword.PLAIN, ORDERS, LOG2)
     b, y = subword.word_ngrams(data, off, LOG2)
-    return np.concatenate([a, b]), np.concatenate([x, y])
+    c, z = subword.pattern_ngrams(data, off, LOG2)
+    return np.concatenate([a, b, c]), np.concatenate([x, y, z])
+
+
+_features.reach = 3
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2500, max_chars: int = 20_000, mod: int = 3, out: int = 1) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, mod: int = 3, out: int = 1) -> dict | None:
     """docs: doc_id, text; labels: doc_id, label."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("doc_id"), mod) != out)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    ids = sample(rows, "label", per_label)  # bounded: two classes, per_label rows of each
-    got = docs.where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").limit(8 * per_label).collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    y = np.array([int(r["label"]) for r in got])
-    held = np.array([zlib.crc32(b"cal%d" % r["doc_id"]) % 5 == 0 for r in got])
-    feats = []
-    for r in got:
-        data = np.frombuffer(r["text"].encode(), np.uint8)
-        feats.append(subword.shares(_features(data, np.array([0, len(data)]))[0]))
-    use = np.flatnonzero(~held) if (~held).any() else np.arange(len(got))
-    table, bias = subword.train([feats[i] for i in use], y[use], 2, 1 << LOG2)
-    cal = np.flatnonzero(held)
-    z = np.array([(table[f[0]] * f[1][:, None]).sum(0) + bias for f in (feats[i] for i in cal)]).reshape(len(cal), 2)
-    return {"table": table, "bias": bias, "t": subword.temperature(z, y[cal])}
+    # labels may have ids that no document has
+    chosen = texts_of(docs, sample(rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), per_label), "doc_id")
+
+    def finish(labels, table, bias, z, y):
+        t = subword.temperature(z, y)
+        if len(labels) < 2:  # one class only: it is all that is known
+            return {"table": np.zeros((len(table), 2), np.float32), "bias": np.array([0.0, 1.0] if labels == ["1"] else [1.0, 0.0]), "t": 1.0}
+        return {"table": table, "bias": bias, "t": t}
+
+    return subword.fit(subword.sampled(chosen, _features, 1 << LOG2), 1 << LOG2, finish)
 
 
 def predict(docs: DataFrame, model: dict | None, mod: int = 3, out: int = 1) -> DataFrame:

@@ -5,7 +5,12 @@ vectors and output weights fold into one table (bucket x class), and a text's sc
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from . import words
 
@@ -52,22 +57,41 @@ def char_ngrams(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, orders
     return np.concatenate(ids), np.concatenate(who)
 
 
-def word_ngrams(data: np.ndarray, offsets: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, text numbers) of words and word pairs, and of how often a word returns within three places."""
+def word_ngrams(data: np.ndarray, offsets: np.ndarray, log2: int, orders=(1, 2)) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, text numbers) of word n-grams, ASCII letters lower-cased."""
     w, wo = words.word_hashes(data, offsets)
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(wo))
-    small = (w >> np.uint64(32)).astype(np.uint32)
-    ids, who = [_bucket(small, log2)], [owner]
-    if len(w) > 1:
-        same = owner[1:] == owner[:-1]
-        ids.append(_bucket(small[1:] * _C[4] + small[:-1], log2)[same])
-        who.append(owner[1:][same])
-    for j in (1, 2, 3):
-        if len(w) > j:
-            again = (w[j:] == w[:-j]) & (owner[j:] == owner[:-j])
-            for copy in range(4):  # several buckets: a strong vote that hashing can't blur
-                ids.append(_bucket(np.full(int(again.sum()), 977 * j + copy, np.uint32), log2))
-                who.append(owner[j:][again])
+    ids, who = [], []
+    for k in orders:
+        if len(w) >= k:
+            g = words.ngram_hashes(w, k)
+            same = owner[k - 1 :] == owner[: len(g)]
+            ids.append(_bucket((g >> np.uint64(32)).astype(np.uint32), log2)[same])
+            who.append(owner[: len(g)][same])
+    if not ids:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return np.concatenate(ids), np.concatenate(who)
+
+
+def pattern_ngrams(data: np.ndarray, offsets: np.ndarray, log2: int, orders=(2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, text numbers) of word n-grams without the words: which of the n are equal ("x x", "x y x", ..)."""
+    w, wo = words.word_hashes(data, offsets)
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(wo))
+    ids, who = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for k in orders:
+        if len(w) < k:
+            continue
+        m = len(w) - k + 1
+        code = np.full(m, k, np.uint32)
+        for j in range(1, k):
+            # the first place that holds the same word as place j
+            same = np.full(m, j, np.uint32)
+            for i in range(j - 1, -1, -1):
+                same = np.where(w[j : j + m] == w[i : i + m], np.uint32(i), same)
+            code = code * np.uint32(k) + same
+        inside = owner[k - 1 :] == owner[:m]
+        ids.append(_bucket(code * _C[5], log2)[inside])
+        who.append(owner[:m][inside])
     return np.concatenate(ids), np.concatenate(who)
 
 
@@ -80,19 +104,61 @@ def scores(table: np.ndarray, ids: np.ndarray, who: np.ndarray, n: int) -> np.nd
     return out / np.maximum(count, 1)[:, None]
 
 
+def sums(table: np.ndarray, ids: np.ndarray, who: np.ndarray, n: int) -> np.ndarray:
+    """The sum of table rows for each of n texts, and their number in the last column."""
+    out = np.empty((n, table.shape[1] + 1))
+    for c in range(table.shape[1]):
+        out[:, c] = np.bincount(who, weights=table[:, c][ids], minlength=n)
+    out[:, -1] = np.bincount(who, minlength=n)
+    return out
+
+
+#: White space that ends a word.
+_SPACES = (9, 10, 11, 12, 13, 32)
+
+
+def _pieces(data: np.ndarray, lo: int, hi: int, block: int, reach: int):
+    """Cuts of data[lo:hi] at white space, of about ``block`` bytes (a longer word is one piece): (start with the ``reach`` words before, start, end).
+
+    Each piece begins with a white space; so n-grams of bytes within one word lie in one piece, and n-grams of words are those of the piece with the
+    words before it (and the byte before these), less those of these words alone."""
+    at = lo
+    starts: list[int] = []  # where the last words before ``at`` begin
+    while at < hi:
+        end = min(at + block, hi)
+        while end < hi:
+            space = np.flatnonzero(np.isin(data[end : min(end + block, hi)], _SPACES))
+            if len(space):
+                end += int(space[0])
+                break
+            end = min(end + block, hi)
+        yield max(lo, (starts[-reach] if len(starts) >= reach else starts[0] if starts else at + 1) - 1), at, end
+        inside = ~np.isin(data[max(lo, at) : end], _SPACES)
+        begin = np.flatnonzero(inside & ~np.append(False, inside[:-1]))[-reach:] + at
+        starts = (starts + begin.tolist())[-reach:]
+        at = end
+
+
 def text_scores(table: np.ndarray, features, data: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """scores() of whole texts.  A text longer than two blocks is summed block by block, so that memory is bounded; its
-    words are cut at block ends, the same way each time."""
+    """scores() of whole texts.  A text longer than two blocks is summed piece by piece, so that memory is bounded, to the same sums: pieces are cut
+    at white space and words before a cut are carried over (``features.reach`` words)."""
     n = len(offsets) - 1
     if len(data) <= 2 * block:
         return scores(table, *features(data, offsets), n)
-    total, count = np.zeros((n, table.shape[1])), np.zeros(n)
-    for lo in range(0, len(data), block):
-        ids, who = features(data[lo : lo + block], np.clip(offsets, lo, lo + block).clip(max=len(data)) - lo)
-        c = np.bincount(who, minlength=n)
-        total += scores(table, ids, who, n) * c[:, None]
-        count += c
-    return total / np.maximum(count, 1)[:, None]
+    out = np.empty((n, table.shape[1]))
+    small = np.flatnonzero(np.diff(offsets) <= block)
+    for k in small:
+        part = data[offsets[k] : offsets[k + 1]]
+        out[k] = scores(table, *features(part, np.array([0, len(part)])), 1)[0]
+    for k in np.flatnonzero(np.diff(offsets) > block):
+        total = np.zeros(table.shape[1] + 1)
+        for before, lo, hi in _pieces(data, offsets[k], offsets[k + 1], block, features.reach):
+            part = data[before:hi]
+            total += sums(table, *features(part, np.array([0, len(part)])), 1)[0]
+            if before < lo:
+                total -= sums(table, *features(data[before:lo], np.array([0, lo - before])), 1)[0]
+        out[k] = total[:-1] / max(1, total[-1])
+    return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -120,7 +186,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
         for k in range(0, n, batch):
             take = order[k : k + batch]
             ids = np.concatenate([rows[i][0] for i in take])
-            val = np.concatenate([rows[i][1] for i in take])
+            val = np.concatenate([rows[i][1] for i in take]).astype(float)
             who = np.repeat(np.arange(len(take)), [len(rows[i][0]) for i in take])
             e = emb[ids]
             h = np.zeros((len(take), dim))
@@ -147,8 +213,64 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
 
 
 def shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct buckets, their shares of the text), in 6 bytes each."""
     u, c = np.unique(ids, return_counts=True)
-    return u, c / max(1, c.sum())
+    return u.astype(np.uint16), (c / max(1, c.sum())).astype(np.float32)
+
+
+def text_shares(features, text: bytes, buckets: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """shares() of a whole text, however long."""
+    data = np.frombuffer(text, np.uint8)
+    if len(data) <= 2 * block:
+        return shares(features(data, np.array([0, len(data)]))[0])
+    count = np.zeros(buckets)
+    for before, lo, hi in _pieces(data, 0, len(data), block, features.reach):
+        count += np.bincount(features(data[before:hi], np.array([0, hi - before]))[0], minlength=buckets)
+        if before < lo:
+            count -= np.bincount(features(data[before:lo], np.array([0, lo - before]))[0], minlength=buckets)
+    u = np.flatnonzero(count)
+    return u.astype(np.uint16), (count[u] / max(1, count.sum())).astype(np.float32)
+
+
+def sampled(docs, features, buckets: int):
+    """docs: doc_id, label, text.  (doc_id, label, held, ids, shares): features of each row, so that no text leaves its executor."""
+
+    def run(batches):
+        for b in words.chunks(batches, 1 << 20):
+            ids, part = [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                u, c = text_shares(features, t, buckets)
+                ids.append(u.tobytes()), part.append(c.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(ids, pa.binary()), pa.array(part, pa.binary())], names=["doc_id", "label", "ids", "shares"])
+
+    return docs.select("doc_id", F.col("label").cast("string").alias("label"), "text").mapInArrow(run, "doc_id long, label string, ids binary, shares binary")
+
+
+def fit(samples, buckets: int, finish) -> dict | None:
+    """Trains in one task of an executor on the rows of sampled() (their number is bounded by the caller) and gives what finish(labels, table, bias, scores and
+    places of the calibration rows) makes of it; None without rows.  A fifth of the rows, by a hash of their id, calibrates."""
+
+    def run(batches):
+        got = []
+        for b in batches:
+            got += zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+        if not got:
+            return
+        got.sort()
+        labels = sorted({x[1] for x in got})
+        y = np.array([labels.index(x[1]) for x in got])
+        held = np.array([zlib.crc32(b"cal%d" % x[0]) % 5 == 0 for x in got])
+        rows = [(np.frombuffer(x[2], np.uint16), np.frombuffer(x[3], np.float32)) for x in got]
+        use = np.flatnonzero(~held) if (~held).any() else np.arange(len(got))
+        table, bias = train([rows[i] for i in use], y[use], len(labels), buckets)
+        cal = np.flatnonzero(held)
+        z = np.array([(table[rows[i][0]] * rows[i][1][:, None]).sum(0) + bias for i in cal]).reshape(len(cal), len(labels))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(finish(labels, table, bias, z, y[cal]))], pa.binary())})
+        del got, rows
+        words.release()
+
+    row = samples.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(row[0]["model"]) if row else None
 
 
 def temperature(z: np.ndarray, y: np.ndarray) -> float:

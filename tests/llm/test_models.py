@@ -94,11 +94,45 @@ def test_quality_odd_rows(spark, docs_of):
     assert quality.classify(docs_of([]), labels).count() == 0
 
 
-def test_text_scores_in_blocks():
+@pytest.mark.parametrize("op", [langid, quality])
+def test_long_texts_score_as_if_whole(op):
     rng = np.random.default_rng(0)
-    table = rng.normal(size=(1 << langid.LOG2, 3)).astype(np.float32)
-    data = np.frombuffer((prose(1, 4000) + " ").encode(), np.uint8)
-    off = np.array([0, 100, len(data)])
-    whole = subword.scores(table, *langid._features(data, off), 2)
-    parts = subword.text_scores(table, langid._features, data, off, block=5000)
-    assert np.allclose(whole, parts, atol=0.05)
+    buckets = 1 << op.LOG2
+    table = rng.normal(size=(buckets, 3)).astype(np.float32)
+    texts = [prose(1, 4000) + " ", "x y x y " * 900, "é" * 9000 + " a b", " " * 7000 + "end", "short one", "", "  \n\t ".join(prose(2, 3000).split())]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0] + [len(t.encode()) for t in texts])
+    whole = subword.scores(table, *op._features(data, off), len(texts))
+    for block in (700, 5000):
+        parts = subword.text_scores(table, op._features, data, off, block=block)
+        assert np.allclose(whole, parts, atol=1e-9)
+        for k, t in enumerate(texts):
+            u, c = subword.text_shares(op._features, t.encode(), buckets, block)
+            x, y = subword.shares(op._features(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))[0])
+            assert (u == x).all() and np.allclose(c, y, atol=1e-7)
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark, docs_of):
+    rng = np.random.default_rng(5)
+    vocabulary = {x: ["".join(rng.choice(list(letters), 5)) for _ in range(60)] for x, letters in (("aa", "abcdefgh"), ("bb", "ijklmnop"), ("cc", "qrstuvwxyz"))}
+    text = lambda x: " ".join(rng.choice(vocabulary[x], 30))
+    rows = [(k, text(("aa", "bb")[k % 2]), ("aa", "bb")[k % 2]) for k in range(400)] + [(1000 + k, text("cc"), None) for k in range(50)]
+    got = langid.identify(docs_of(rows)).collect()
+    assert np.mean([r.rejected for r in got if r.doc_id >= 1000]) > 0.9
+    assert np.mean([r.rejected for r in got if r.doc_id < 1000]) < 0.02
+    assert all(r.lang_pred == ("aa", "bb")[r.doc_id % 2] for r in got if r.doc_id < 1000)
+
+
+def test_samples_are_bounded_and_the_same_each_time(spark):
+    rows = spark.range(20_000).selectExpr("id % 5000 as doc_id", "concat('l', id % 5000 % 3 % 2) as label")
+    a, b = [sorted(map(tuple, langid.sample(rows.repartition(k), 300).collect())) for k in (2, 7)]
+    assert a == b and len(a) == len(set(a)) <= 600 and {x[1] for x in a} == {"l0", "l1"}
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('l', id) as label")
+    assert langid.sample(many, 300, most=1000).count() == 3000  # every language has a row
+    docs = spark.createDataFrame([(1, "b", "x"), (1, "a", "x"), (1, None, "x"), (2, "", "x")], "doc_id long, text string, label string")
+    assert [r.text for r in langid.texts_of(docs, docs.select("doc_id", "label").distinct(), "doc_id", "label").collect()][0] in ("a", "b")
+
+
+def test_quality_of_one_class(spark, docs_of):
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
+    assert {r.predicted for r in quality.classify(docs_of([(k, prose(k, 20)) for k in range(30)]), labels).collect()} == {1}
