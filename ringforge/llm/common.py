@@ -12,18 +12,28 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+def spread(col: str) -> Column:
+    """A key for joins on a long or string column that no partitioning already has: both sides are dealt anew, so that adaptive execution can split
+    a hot one (it leaves a side alone that comes straight out of an aggregate)."""
+    return F.concat(F.col(col).cast("string"), F.lit(" "))
+
+
 #: White space as the operators define it: space and \t \n \v \f \r.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share, as the session names it; a temporary one only in local mode, where there is one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ringforge-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not hasattr(spark, "_ringforge_dir"):
+        spark._ringforge_dir = "file://" + tempfile.mkdtemp(prefix="ringforge-")
+    return spark._ringforge_dir
 
 
 #: Rows of a small table's file.
@@ -38,6 +48,8 @@ class Workspace:
         bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/ringforge-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.kept: list[DataFrame] = []
+        self.shared: list = []
 
     def table(self, df: DataFrame, rows: int | None = None, files: int | None = None) -> DataFrame:
         """``rows``: about how many there are, if that is known; ``files``: at most so many, so that a small table is few files."""
@@ -50,8 +62,22 @@ class Workspace:
         return out
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Kept by the executors, on disk where memory ends; what a lost executor had is computed again from its input."""
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        """Kept by the executors until release(), on disk where memory ends; what a lost executor had is computed again from its input."""
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def share(self, value):
+        """A broadcast that ends with release()."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def release(self) -> None:
+        """Frees what executors and the driver keep; only written tables may be read after it."""
+        for df in self.kept:
+            df.unpersist()
+        for b in self.shared:
+            b.destroy()
+        self.kept, self.shared = [], []
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later read needs."""
@@ -75,17 +101,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-# --- a fixed-size Bloom filter: what it lets through wrongly, the join after it drops ---
+# --- a Bloom filter of bounded size: what it lets through wrongly, the join after it drops ---
 
-BLOOM_BITS = 1 << 23
+#: 1 MB to 64 MB: 16 bits for each id, as far as that goes.
+BLOOM_LOG2 = (23, 29)
 
 
-def _bloom_slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bloom_slots(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     x = ids.astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    m = np.uint64(BLOOM_BITS - 1)
+    m = np.uint64(bits - 1)
     return (x & m).astype(np.int64), ((x >> np.uint64(32)) & m).astype(np.int64)
 
 
@@ -155,24 +182,24 @@ def sum_vectors(rows: DataFrame, width: int, dtype: str = "int64", finish=None,
     return _merged(rows, width, dtype, lambda a, b: a + b, finish, out_dtype)
 
 
-def bloom(spark: SparkSession, ids: DataFrame):
-    """A broadcast bit map (1 MB for any input) of a one-column DataFrame of longs."""
+def bloom(ws: Workspace, ids: DataFrame, about: int):
+    """A broadcast bit map of a one-column DataFrame of ``about`` longs: 16 bits for each, 64 MB at most."""
+    bits = 1 << min(BLOOM_LOG2[1], max(BLOOM_LOG2[0], (16 * about).bit_length()))
 
     def fill(batches):
-        bits = np.zeros(BLOOM_BITS, np.uint8)
+        got = np.zeros(bits, bool)
         for b in batches:
-            for s in _bloom_slots(b.column(0).to_numpy(zero_copy_only=False)):
-                bits[s] = 1
-        yield vector_batch(np.packbits(bits))
+            for s in _bloom_slots(b.column(0).to_numpy(zero_copy_only=False), bits):
+                got[s] = True
+        yield vector_batch(np.packbits(got))
 
-    bits = _merged(ids.mapInArrow(fill, "part int, vec binary"), BLOOM_BITS // 8, "uint8", np.bitwise_or, None, "uint8")
-    return spark.sparkContext.broadcast(bits.tobytes())
+    return ws.share(_merged(ids.mapInArrow(fill, "part int, vec binary"), bits // 8, "uint8", np.bitwise_or, None, "uint8").tobytes())
 
 
 def bloom_has(filter_bytes: bytes, ids: np.ndarray) -> np.ndarray:
     bits = np.frombuffer(filter_bytes, np.uint8)
     ok = np.ones(len(ids), bool)
-    for s in _bloom_slots(ids):
+    for s in _bloom_slots(ids, 8 * len(bits)):
         ok &= (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
     return ok
 
@@ -188,31 +215,79 @@ def in_bloom(filter_b, col: Column) -> Column:
 # --- connected components over an edge list (large-star / small-star) ---
 
 
+#: Edges that one step of contract() takes at a time.
+CONTRACTED = 1_000_000
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of these edges, and the least node that they connect it with."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, least)
+            np.minimum.at(new, label[side], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """Edges (u > v) with the same components, by what each partition can tell by itself: paths become stars before anything is dealt."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            x, y = _stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            keep = x != y
+            return pa.RecordBatch.from_pydict({"u": pa.array(x[keep]), "v": pa.array(y[keep])})
+
+        for b in batches:
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            n += b.num_rows
+            if n >= CONTRACTED:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node reachable.  ``edges``: columns a, b (long).
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014); each is an aggregate with
-    map-side combine and one equi-join, so a node with very many neighbours is no single task's group.
-    Every round is written to the shared folder.  Nodes without edges aren't in the result."""
-    e = ws.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state, rows = None, e.count()
+    Partitions contract their edges by themselves; then the large-star and small-star steps of Kiveris et al. (2014) follow, each an
+    aggregate with map-side combine and one equi-join.  Both sides of a join are dealt anew, by a key of its own, so that adaptive execution
+    can split a node with very many neighbours.  Every round is written to the shared folder; the last is the one that leaves only stars.  Nodes without
+    edges aren't in the result.  A graph that is not settled after ``max_rounds`` rounds (their number grows with the logarithm) is an error."""
+    few = 1 + partitions(ws.spark) // 8
+    e = contract(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     for _ in range(max_rounds):
+        e = ws.table(e.distinct(), files=few)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, F.bitwise_not("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # each node's smaller neighbours now include the least of its neighbourhood
-        step = large.where("u <> v").distinct()
+        step = ws.table(large.where("u <> v").distinct(), files=few)
         low2 = step.groupBy("u").agg(F.min("v").alias("m"))
-        joined = step.join(low2, "u")
+        joined = step.join(low2.select(F.bitwise_not("u").alias("k"), "m"), F.bitwise_not("u") == F.col("k"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        new = ws.table(small.distinct(), rows)
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        ws.drop(e)
+        new = ws.table(contract(small), files=few)
+        ws.drop(e, step)
         e = new
-        if now == state:
+        # stars: no node is both a member and a centre (a member of two stars shows as a centre after the next step, or has two rows)
+        centres = e.select(F.col("v").alias("u")).distinct()
+        twice = e.distinct().groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u")
+        if not e.select("u").join(centres, "u", "left_semi").union(twice).limit(1).count():
             break
-        state, rows = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return labels.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return labels.union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

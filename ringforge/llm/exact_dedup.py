@@ -26,6 +26,10 @@ BASES = (1_000_003_571, 798_342_119)
 CHUNK = 1024
 #: Bytes that the comparison holds at a time of one document.
 COMPARE = 1 << 16
+#: Copies that are compared with one copy of their leader's pieces: larger groups are split and get the leader several times.
+SALT = 500
+#: Repeated rows that one step puts out.
+REPEATED = 4096
 _tables: dict = {}
 
 
@@ -86,13 +90,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _differing(docs: DataFrame, pairs: DataFrame, wanted_b) -> DataFrame:
-    """Those units of pairs (unit, leader) whose texts are not the same, by an equi-join of their chunks."""
+    """Those units of pairs (unit, leader, c: units of the group) whose texts are not the same, by an equi-join of their chunks.  Each SALT followers
+    have their own copy of the leader's chunks, so that no key is hot."""
     cut = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("bin") - 1) / COMPARE)).cast("int")))
     bins = docs.where(common.in_bloom(wanted_b, F.xxhash64("unit"))).select("unit", F.encode("text", "UTF-8").alias("bin"))
-    chunk = F.substring("bin", F.col("c") * COMPARE + 1, F.lit(COMPARE))
-    followers = bins.join(pairs, "unit").select("unit", "leader", "bin", cut.alias("c")).select("unit", "leader", "c", chunk.alias("piece"))
-    leaders = bins.join(pairs.select(F.col("leader").alias("unit")).distinct(), "unit").select(F.col("unit").alias("leader"), "bin", cut.alias("c")).select("leader", "c", chunk.alias("lead")).distinct()
-    return followers.join(leaders, ["leader", "c"], "left").where("lead is null or piece <> lead").select("unit").distinct()
+    chunk = F.substring("bin", F.col("n") * COMPARE + 1, F.lit(COMPARE))
+    salts = F.ceil(F.col("c") / F.lit(SALT)).cast("int")
+    followers = bins.join(pairs.withColumn("salt", F.pmod(F.xxhash64("unit"), salts)), "unit").select("unit", "leader", "salt", "bin", cut.alias("n")).select("unit", "leader", "salt", "n", chunk.alias("piece"))
+    # a leader's repeated rows are one
+    one = pairs.select(F.col("leader").alias("unit"), salts.alias("salts")).distinct()
+    leaders = bins.join(one, "unit").select(F.col("unit").alias("leader"), "salts", "bin", cut.alias("n")).select("leader", "salts", "n", chunk.alias("lead")).distinct()
+    leaders = leaders.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), "n", "lead")
+    return followers.join(leaders, ["leader", "salt", "n"], "left").where("lead is null or piece <> lead").select("unit").distinct()
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,8 +116,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left, done = units, []
     for _ in range(64):
         groups = left.groupBy(*key).agg(F.count("*").alias("c"), F.max_by("unit", F.struct(F.col("doc_id").isNotNull(), "doc_id", "unit")).alias("leader")).where("c > 1")
-        pairs = ws.table(left.join(groups.select(*key, "leader"), key).select("unit", "leader").where("unit <> leader"))
-        wanted = common.bloom(spark, pairs.select(F.xxhash64("unit")).union(pairs.select("leader").distinct().select(F.xxhash64("leader"))))
+        groups = groups.select(F.concat_ws(" ", *key).alias("key"), "leader", "c")
+        pairs = ws.table(left.join(groups, F.concat_ws(" ", *key) == F.col("key")).select("unit", "leader", "c").where("unit <> leader"))
+        wanted = common.bloom(ws, pairs.select(F.xxhash64("unit")).union(pairs.select("leader").distinct().select(F.xxhash64("leader"))), 2 * pairs.count())
         odd = ws.table(_differing(docs, pairs, wanted))
         done.append(pairs.join(odd, "unit", "left_anti"))
         if not odd.limit(1).count():
@@ -116,13 +126,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         left = ws.table(units.join(odd, "unit", "left_semi"))
     else:
         raise RuntimeError("more than 64 different texts share one fingerprint")
+    ws.release()
     copies = done[0]
     for x in done[1:]:
         copies = copies.union(x)
-    members = units.join(copies, "unit", "left").withColumn("leader", F.coalesce("leader", "unit"))
-    groups = members.groupBy("leader").agg(F.sum("rows").alias("group_size")).join(units.select(F.col("unit").alias("leader"), F.col("doc_id").alias("keep_id")), "leader")
-    return (
-        members.join(groups, "leader")
-        .select("doc_id", "keep_id", "group_size", "sha", "unit", "leader", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
-        .select("doc_id", "keep_id", "group_size", ((F.col("unit") == F.col("leader")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
-    )
+    members = units.join(copies.select("unit", F.col("leader").alias("of")), "unit", "left").withColumn("leader", F.coalesce("of", "unit"))
+    groups = members.groupBy("leader").agg(F.sum("rows").alias("group_size"), F.max(F.when(F.col("unit") == F.col("leader"), F.col("doc_id"))).alias("keep_id"))
+    groups = groups.select(common.spread("leader").alias("key"), "group_size", "keep_id")
+    # repeated rows come out in two steps, so that no array is as long as they are many
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(REPEATED).cast("long"))).alias("start")
+    rows = members.join(groups, common.spread("leader") == F.col("key")).select("doc_id", "keep_id", "group_size", "sha", "unit", "leader", "rows", step)
+    rows = rows.select("*", F.explode(F.sequence(F.col("start"), F.least(F.col("rows"), F.col("start") + REPEATED) - 1)).alias("copy"))
+    return rows.select("doc_id", "keep_id", "group_size", ((F.col("unit") == F.col("leader")) & (F.col("copy") == 0)).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -292,7 +292,7 @@ def _rows(settled: DataFrame, parts: int) -> DataFrame:
     return settled.repartition(parts, "chunk").mapInArrow(run, "doc_id long, x double, n long")
 
 
-def _short(docs: DataFrame, order: int) -> DataFrame:
+def _short(docs: DataFrame, order: int, about: int) -> DataFrame:
     """(doc_id, x, n): log counts of whole texts that have fewer than order - 1 words, counted over all documents."""
 
     def texts(batches):
@@ -303,7 +303,7 @@ def _short(docs: DataFrame, order: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array(x.sizes[some]), pa.array(np.array(h, U).view(np.int64))], names=["doc_id", "k", "h"])
 
     short = docs.mapInArrow(texts, "doc_id long, k long, h long")
-    wanted_b = common.bloom(docs.sparkSession, short.select("h"))
+    wanted_b = common.bloom(common.Workspace(docs.sparkSession, "lm-score"), short.select("h"), about)
 
     def count(batches):
         for b in words.chunks(batches):
@@ -342,7 +342,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         tables += [np.array([g[0] for g in got], U), np.array([g[1] for g in got], np.int64)]
     heavy_b = spark.sparkContext.broadcast((*tables, max(1, total)))
     found = _rows(_settled(_postings(docs, heavy_b, parts * BUCKETS, order), heavy_b, parts), parts)
-    return _scores(found.union(_short(docs, order)) if short else found)
+    return _scores(found.union(_short(docs, order, short)) if short else found)
 
 
 def _scores(parts: DataFrame) -> DataFrame:

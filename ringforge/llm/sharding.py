@@ -12,7 +12,7 @@ sizes by an aggregate with map-side combine, and row numbers within shards from
 numbers within each bucket.
 
 Null text counts as empty: size 1, in the group of empty texts.  An empty table gives an empty result.  Rows
-without id or with repeated ids are rows like others.  Reruns agree up to the order of rows with equal id and text."""
+without id or with repeated ids are rows like others.  Reruns agree up to the order of rows without id and of rows with equal id and text."""
 
 from __future__ import annotations
 
@@ -106,7 +106,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     ws = common.Workspace(spark, "sharding")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"kept_{c}") for c in keep], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("text_key"))
-    rows = ws.table(rows)
+    # rows without id and with one text can't be told apart: as they are written, they are numbered, so that numbering them later is no single task's work
+    rows = ws.table(rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).otherwise(0)))
     groups = ws.table(rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.min("text_crc32").alias("crc")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     deal = F.pmod(F.xxhash64("text_key"), F.lit(items)).cast("int")
@@ -118,7 +119,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     big = plan.where("bundle < 0").select(F.col("key").alias("text_key"), F.col("shard").alias("own"))
     small = plan.where("bundle >= 0").select("bundle", "shard")
     placed = rows.join(F.broadcast(big), "text_key", "left").withColumn("bundle", deal).join(F.broadcast(small), "bundle", "left").withColumn("shard", F.coalesce("own", "shard"))
-    bucket = F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(16 * common.partitions(spark))).cast("int")
+    bucket = F.pmod(F.xxhash64("text_key", "doc_id", "salt"), F.lit(16 * common.partitions(spark))).cast("int")
     placed = placed.withColumn("bucket", bucket)
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))

@@ -137,3 +137,60 @@ def test_against_sql(spark, sf, name):
     a, b = QUERIES[name](spark, sf).toPandas(), con.execute(SQL[name]).df()
     key = lambda d: sorted(map(repr, d[sorted(d.columns)].round(6).itertuples(index=False, name=None)))
     assert key(a) == key(b)
+
+
+def test_hot_shingles_in_blocks(spark, docs_of, monkeypatch):
+    """Shingles count as hot from three sets on: their lists are dealt in blocks, and no link is lost."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(40)] = f"x{rng.randrange(300)}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(base[:20]) + f" tail{k} " + " ".join(f"y{k}z{j}" for j in range(30))) for k in range(40)] + [(2000 + k, rows[k][1]) for k in range(20)]
+    want = near_duplicates(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs_of(rows)).collect()}
+    assert got == want
+
+
+def test_components_of_odd_graphs(spark):
+    from ringforge.llm import common
+
+    ws = common.Workspace(spark, "test")
+    edges = [(k, k + 1) for k in range(3000)] + [(10_000, 10_001 + k) for k in range(3000)] + [(-5, -9), (-9, 20_000), (7, 7), (30_001, 30_000), (30_000, 30_001)]
+    got = {r.node: r.component for r in common.components(ws, spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    want = {k: 0 for k in range(3001)} | {k: 10_000 for k in range(10_000, 13_001)} | {-5: -9, -9: -9, 20_000: -9, 30_000: 30_000, 30_001: 30_000}
+    assert got == want
+
+
+def test_one_of_each_odd_rows(spark):
+    rows = [(1, "a b c d e f", "x", "p"), (1, "other words than those before", "x", "p"), (1, "a b c d e f", "y", "p"), (2, "a b c d e f", "z", "p"), (None, "a b c d e f", "n", "p"), (None, None, "n", "p"), (5, None, None, "p"), (6, "", "s", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, text_hash string")
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = sorted(map(tuple, got.collect()), key=str)
+    assert [(r[0], r[1]) for r in kept] == sorted([(1, "a b c d e f"), (1, "other words than those before"), (None, "a b c d e f"), (None, None), (5, None), (6, "")], key=str)
+    again = sorted(map(tuple, ngram_join.one_of_each(docs.repartition(5)).collect()), key=str)
+    assert again == kept
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_large_groups_of_copies_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SALT", 3)
+    monkeypatch.setattr(exact_dedup, "REPEATED", 4)
+    rows = [(k, "same") for k in range(40)] + [(None, "")] * 23 + [(None, None)] * 5 + [(7, "same")] * 9 + [(100, "other"), (101, "x" * 200_000), (102, "x" * 200_000), (103, "x" * 199_999 + "y")]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.text_sha256, []).append(r)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for text, keep, size in (("same", 39, 49), ("", None, 28), ("other", 100, 1), ("x" * 200_000, 102, 2), ("x" * 199_999 + "y", 103, 1)):
+        g = by[sha(text)]
+        assert len(g) == size and {(r.keep_id, r.group_size) for r in g} == {(keep, size)}
+        assert [r.doc_id for r in g if r.kept] == [keep]
