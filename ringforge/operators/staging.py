@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder that the session names (a temporary one only where it names none)."""
+    """The same rows, written to the checkpoint folder that the session names (a temporary one only in local mode, where there is one machine)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ringforge-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="ringforge-"))
     return df.checkpoint()
