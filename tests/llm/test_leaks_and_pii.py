@@ -130,3 +130,61 @@ def test_reliabilities_find_the_good_labeler():
         n["name:" + v] = n.get("name:" + v, 0) + 1
     post = pii.reliabilities(sorted(n.items()))
     assert post["name:111----"] > 0.95 and post["name:000----"] < 0.05 and post["name:110----"] > post["name:001----"]
+
+
+def test_reliabilities_and_prior_are_of_each_kind():
+    """Two kinds with the same labelers: what is reliable for one is noise for the other, and one is rare."""
+    rng = random.Random(3)
+    n = {}
+    for kind, prior, right in (("iban", 0.9, (0.95, 0.55, 0.9)), ("secret", 0.15, (0.55, 0.95, 0.9))):
+        for _ in range(6000):
+            y = rng.random() < prior
+            v = "".join("-" if rng.random() < 0.2 else ("1" if (y if rng.random() < a else not y) else "0") for a in right)
+            n[f"{kind}:{v}"] = n.get(f"{kind}:{v}", 0) + 1
+    post = pii.reliabilities(sorted(n.items()))
+    assert post["iban:101"] > 0.9 > post["iban:010"] + 0.4 and post["secret:011"] > 0.8 > post["secret:100"] + 0.6
+    assert post["iban:---"] > 0.5 > post["secret:---"]
+    assert pii.reliabilities([]) == {}
+
+
+def slow_added(text):
+    """Candidates by trying each pattern in turn and comparing with every span before it."""
+    base = base_spans(text)
+    out = []
+    for kind, pattern in pii._CANDIDATES:
+        for m in pattern.finditer(text):
+            first = m[0].split(" ")[0].rstrip(".").lower()
+            if kind == "secret" and not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])) or kind == "name" and first not in pii._TITLES | set(pii.GAZETTEERS["given"].split()):
+                continue
+            if all(m.end() <= s or e <= m.start() for s, _, e in base) and all(m.end() <= s or e <= m.start() for s, _, e in out):
+                out.append((m.start(), pii.MORE.index(kind), m.end()))
+    return sorted(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["(555) 123-4567", "555-123-4567", "a.b@c.de", "jo [at] x [dot] org", "123-45-6789", "DE44 5001 0517 5407 3249 31", "Dr. Anna Berg", "Anna Berg", "token = deadbeef0123456789abcdef", "1.2.3.4", "of", ", "]), max_size=14))
+def test_candidates_equal_a_slow_search(parts):
+    text = " ".join(parts)
+    assert [x[:3] for x in pii.candidates(text, pii.base_spans(text))] == slow_added(text)
+
+
+def test_pii_time_is_in_proportion():
+    import time
+
+    text = "call (555) 123-4567 or 123-45-6789, " * 20_000
+    t = time.perf_counter()
+    assert len(pii.candidates(text, pii.base_spans(text))) == 40_000
+    assert time.perf_counter() - t < 30
+
+
+def test_pii_kinds(spark, docs_of):
+    rng = random.Random(7)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    iban = lambda: next(x for x in (f"DE{k:02d}{bban}" for bban in [digits(18)] for k in range(2, 99)) if pii._iban_ok(x))
+    make = [lambda: f"transfer to account IBAN {iban()} today", lambda: f"my social security number {rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} is private", lambda: "yesterday Dr. Maria Weber said so",
+            lambda: f'token = "{rng.getrandbits(160):040x}" thh', lambda: f"commit {rng.getrandbits(160):040x} checksum sha", lambda: "He went. The House was open and Green Trees stood"]
+    rows = [(100 * j + k, prose(k, 20) + " " + f() + " " + prose(k + 1, 20)) for j, f in enumerate(make) for k in range(60)]
+    got = {r.doc_id: r for r in pii.find(docs_of(rows)).collect()}
+    for j, kind in enumerate(("iban", "national_id", "name", "secret")):
+        assert np.mean([kind in got[100 * j + k].spans for k in range(60)]) > 0.9, kind
+    assert sum(got[400 + k].n_spans for k in range(60)) <= 6 and sum(got[500 + k].n_spans for k in range(60)) <= 6
