@@ -169,7 +169,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 
 def _seeds(items: list[tuple[int, str]], least: int):
-    """(item ids, their tokens, {seed length: (distinct seeds, where each one's items begin, the items)}).  Items shorter than ``least`` are one seed as a whole."""
+    """(item ids, their tokens, {seed length: (distinct seeds, where each one's items begin, the items, seeds by place)}).  Items shorter than ``least`` are one seed as a whole."""
     toks = [tokens(t) for _, t in items]
     by: dict[int, tuple[list, list]] = {}
     for k, t in enumerate(toks):
@@ -183,7 +183,9 @@ def _seeds(items: list[tuple[int, str]], least: int):
         seed, owner = np.concatenate(seed), np.concatenate(owner)
         order = np.argsort(seed, kind="stable")
         distinct, first = np.unique(seed[order], return_index=True)
-        out[n] = (distinct, np.append(first, len(seed)), owner[order])
+        # of each item, which seed stands at each place
+        places = {int(k): np.searchsorted(distinct, words.ngram_hashes(toks[k], n)) for k in np.unique(owner)}
+        out[n] = (distinct, np.append(first, len(seed)), owner[order], places)
     return [i for i, _ in items], toks, out
 
 
@@ -193,7 +195,7 @@ def _found(shared, text: pa.Array, least: int, threshold: float):
     data, off = words.text_buffers(text)
     w, wo = words.word_hashes(data, off, words.PUNCTUATION)
     got = []
-    for n, (seed, starts, owner) in sorted(by_length.items()):
+    for n, (seed, starts, owner, places) in sorted(by_length.items()):
         # a first look at 16 bits of the hash spares most searches
         may = np.zeros(1 << 16, bool)
         may[(seed >> U(48)).astype(np.int64)] = True
@@ -213,13 +215,20 @@ def _found(shared, text: pa.Array, least: int, threshold: float):
         both, shares = np.unique(np.repeat(d, count) * len(toks) + owner[place], return_counts=True)
         size = np.array([len(t) for t in toks])
         both = both[shares * n >= threshold * size[both % len(toks)]] if len(both) else both
+        now, there = -1, np.zeros(len(seed), bool)
         for x in both.tolist():
             d, j = divmod(x, len(toks))
-            lo, hi = np.searchsorted(doc, [d, d + 1])
-            own = np.isin(seed[at[lo:hi]], words.ngram_hashes(toks[j], n))
-            near = _near(w[wo[d] : wo[d + 1]], hit[lo:hi][own] - wo[d], n)
-            if np.isin(toks[j], near).sum() < threshold * len(toks[j]):
+            if d != now:
+                lo, hi = np.searchsorted(doc, [d, d + 1])
+                there[:] = False
+                there[at[lo:hi]] = True
+                now = d
+            # tiles only cover what shared seeds cover
+            some = np.concatenate([[0], np.cumsum(np.append(there[places[j]], np.zeros(n - 1, bool)))])
+            if (some[1:] > some[np.maximum(0, np.arange(1, len(some)) - n)]).sum() < threshold * len(toks[j]):
                 continue
+            own = np.isin(at[lo:hi], places[j])
+            near = _near(w[wo[d] : wo[d + 1]], hit[lo:hi][own] - wo[d], n)
             found = tiles(toks[j], near, n)
             covered = sum(x[2] for x in found)
             if covered >= threshold * len(toks[j]):

@@ -34,7 +34,9 @@ def remainder(id_col: Column, mod: int) -> Column:
 def sample(rows: DataFrame, per_label: int, most: int = 20_000) -> DataFrame:
     """rows: doc_id, label.  Distinct rows, at most per_label of each label and about ``most`` in all: those of the least hash of doc_id.  Every label has one."""
     counts = rows.groupBy("label").agg(F.count("*").alias("_c"))
-    per = max(1, min(per_label, most // max(1, counts.count())))
+    values = max(1, counts.count())
+    per = max(1, min(per_label, most // values))
+    counts = F.broadcast(counts) if values <= most else counts  # else all rows would be dealt by label
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # about twice as many are ordered as are taken; with repeated ids fewer may be left
     near = rows.join(counts, "label").where(h / F.lit(float(1 << 30)) < F.lit(2.0 * per + 50) / F.col("_c")).select("doc_id", "label").distinct()

@@ -73,7 +73,7 @@ def test_seeds_that_very_many_items_share(spark, docs_of):
 
     items = [(k, f"which of the following words is right {prose(k, 14)}") for k in range(3000)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = [(k, "which of the following words is right " * 200 + prose(10_000 + k, 100)) for k in range(30)] + [(100, prose(5, 30) + " " + items[7][1])]
+    rows = [(k, "which of the following words is right " * 200 + prose(10_000 + k, 100)) for k in range(30)] + [(100, prose(99_999, 30) + " " + items[7][1])]
     t = time.perf_counter()
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(rows), bench).collect()}
     assert (100, 7) in got and time.perf_counter() - t < 60
