@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,28 +26,31 @@ def test_collapse_follows_the_boundary():
         sequential.collapse([[], [(1, 0.0, 0.0)]], np.zeros((2, 2)), 8)
 
 
-def slow_walk(lines, steps=70):
-    """The search written out station by station, with copied lists."""
-    at = [k / steps for k in range(steps + 1)]
-    p = lambda l, t: (l[0] + (l[2] - l[0]) * t, l[1] + (l[3] - l[1]) * t)
-    ref = [(p(lines[0], t), [t], 0.0) for t in at]
-    for l in lines[1:]:
-        new = []
-        for s, t in enumerate(at):
-            here = p(l, t)
-            cost = lambda j: np.hypot(here[0] - ref[j][0][0], here[1] - ref[j][0][1]) + ref[j][2]  # noqa: B023, E731
-            j = s
-            for f in range(s + 1, steps):
-                if cost(f) >= cost(j):
-                    break
-                j = f
-            for b in range(j - 1, -1, -1):
-                if cost(b) >= cost(j):
-                    break
-                j = b
-            new.append((here, ref[j][1] + [t], cost(j)))
-        ref = new
-    return min(ref, key=lambda r: r[2])[1]
+def valley(costs, start):
+    """The local minimum that a descent from start ends in: onward (not to the last place), then back."""
+    last = len(costs) - 1
+    top = next(f for f in range(start, last + 1) if f + 1 >= last or costs[f + 1] >= costs[f])
+    return next(b for b in range(top, -1, -1) if b == 0 or costs[b - 1] >= costs[b])
+
+
+def recurrence(lines, steps):
+    """T(0, s) = 0 and T(i, s) = |P(i, s) - P(i - 1, c)| + T(i - 1, c), c being the valley of that sum from s: places of the least T of the last line."""
+    point = lambda i, s: lines[i, :2] + (lines[i, 2:] - lines[i, :2]) * s / steps
+
+    @functools.cache
+    def least(i, s):
+        if i == 0:
+            return 0.0, None
+        sums = [np.linalg.norm(point(i, s) - point(i - 1, c)) + least(i - 1, c)[0] for c in range(steps + 1)]
+        c = valley(sums, s)
+        return sums[c], c
+
+    s = min(range(steps + 1), key=lambda s: least(len(lines) - 1, s)[0])
+    places = []
+    for i in reversed(range(len(lines))):
+        places.append(s / steps)
+        s = least(i, s)[1]
+    return places[::-1]
 
 
 def ring(n=24, seed=4):
@@ -55,9 +60,10 @@ def ring(n=24, seed=4):
     return np.stack([(r - w) * np.cos(th), (r - w) * np.sin(th), (r + w) * np.cos(th), (r + w) * np.sin(th)], 1)
 
 
-def test_walk_equals_slow_walk():
-    lines = ring()
-    assert np.allclose(sequential.walk_path(lines, 20), slow_walk(lines.tolist(), 20))
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_walk_follows_the_recurrence(seed):
+    lines = ring(seed=seed)
+    assert np.allclose(sequential.walk_path(lines, 20), recurrence(lines, 20))
 
 
 def test_shortest_is_shorter_than_the_middle():
