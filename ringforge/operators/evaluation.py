@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from . import features as ft
 from . import rings
+from .joins import grid_intersections
 from .rings import IDX, TRACK
 
 STATS = ("max", "mean", "mean_absolute", "rmse", "ci95", "percentage_mean", "percentage_max", "percentage_ci95", "apex_mean", "apex_mean_absolute", "apex_max")
@@ -68,11 +69,9 @@ def unsmoothed_errors(truth: DataFrame, predicted: DataFrame, width: float = 10.
     line = ft.optimal_positions(truth).select(TRACK, IDX, "x", "y", g.length(g.ln()).alias("len"))
     across = rings.normals(line.select(TRACK, IDX, "x", "y"), width).join(line, [TRACK, IDX])
     spline = rings.points_to_lines(rings.catmull_rom(ft.optimal_positions(predicted).select(TRACK, IDX, "x", "y"), samples, True))
-    other = spline.select(F.col(TRACK).alias("_t"), *[F.col(c).alias(f"{c}_b") for c in ("x1", "y1", "x2", "y2")])
-    hit, p = g.crossing(g.ln(), g.ln("_b"))
-    met = across.join(other, (F.col(TRACK) == F.col("_t")) & hit, "left")
-    d = F.when(F.col("_t").isNotNull(), F.hypot(p.x - F.col("x"), p.y - F.col("y")))
-    return met.groupBy(TRACK, IDX).agg(F.min(d).alias("delta"), F.first("len").alias("len")).select(TRACK, IDX, "delta", F.try_divide(F.col("delta"), F.col("len")).alias("ratio"))
+    hits = grid_intersections(across, spline, keep=("x", "y"))
+    delta = hits.groupBy(TRACK, IDX).agg(F.min(F.hypot(F.col("hx") - F.col("x"), F.col("hy") - F.col("y"))).alias("delta"))
+    return across.select(TRACK, IDX, "len").join(delta, [TRACK, IDX], "left").select(TRACK, IDX, "delta", F.try_divide(F.col("delta"), F.col("len")).alias("ratio"))
 
 
 def evaluate_unsmoothed(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -106,6 +105,24 @@ def with_apex_only(evaluations: DataFrame) -> DataFrame:
     return evaluations.where("position_apex_mean is not null")
 
 
+#: The columns of the published tables, and the figures that they show.
+TABLE = {
+    "LapTime Error": "laptime_abs_error", "LapTime Percentage": "laptime_percentage", "LapTime Error Per Minute": "laptime_error_per_minute", "Position Error": "position_mean_absolute", "Position ci95": "position_ci95",
+    "Velocity Error": "velocity_mean_absolute", "Velocity ci95": "velocity_ci95",
+}
+
+
+def results(truth: DataFrame, predicted: DataFrame, names: DataFrame, swapped: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every track evaluated, and combined by vehicle and by track, as tables with a column Type; tracks without an apex are left out.
+
+    names: track_id, name ("vehicle - track").  swapped: the prediction takes the place of the truth, as in the published tables (signs turn round, and
+    percentages are of the predicted lap time)."""
+    each = evaluate(predicted, truth) if swapped else evaluate(truth, predicted)
+    each = with_apex_only(split_name(each.join(names, TRACK)))
+    table = [F.col(v).alias(k) for k, v in TABLE.items()]
+    return tuple(combine(each, k).select(F.col(k).alias("Type"), *table) for k in ("vehicle", "track"))
+
+
 def training_history(losses: DataFrame) -> DataFrame:
     """losses: epoch, label, loss.  Means per epoch and label; best marks a new least total."""
     means = losses.groupBy("epoch").pivot("label", ["train", "val"]).agg(F.avg("loss"))

@@ -4,7 +4,7 @@ All are equi-joins on the track (and on grid cells where a track is long) with t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -13,37 +13,51 @@ from .rings import IDX, TRACK, neighbour
 BOX = ("x1", "y1", "x2", "y2")
 
 
-def _other(segments: DataFrame) -> DataFrame:
-    return segments.select(F.col(TRACK).alias("_t"), F.col(IDX).alias("seg_idx"), *[F.col(c).alias(f"{c}_b") for c in BOX])
+def _other(segments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return segments.select(F.col(TRACK).alias("_t"), F.col(IDX).alias("seg_idx"), *[F.col(c).alias(f"{c}_b") for c in BOX], *keep)
 
 
 def intersections(lines: DataFrame, segments: DataFrame, keep: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
-    """All crossings: (track_id, idx, seg_idx, hx, hy)."""
+    """All crossings: (track_id, idx, seg_idx, hx, hy).  Every pair of a track is tried: for short tracks; see grid_intersections()."""
     hit, p = g.crossing(g.ln(), g.ln("_b"))
     met = lines.join(_other(segments), (F.col(TRACK) == F.col("_t")) & hit, how)
     on = F.col("_t").isNotNull()
     return met.select(TRACK, IDX, *keep, "seg_idx", F.when(on, p.x).alias("hx"), F.when(on, p.y).alias("hy"))
 
 
-def grid_intersections(lines: DataFrame, segments: DataFrame, cell: float | str, keep: tuple[str, ...] = ()) -> DataFrame:
+def cell_sizes(*lines: DataFrame) -> DataFrame:
+    """(_t, _size): a grid cell for each track, as long as its longest line, so that a line covers four cells at most."""
+    each = [x.select(F.col(TRACK).alias("_t"), g.length(g.ln()).alias("_size")) for x in lines]
+    out = each[0]
+    for x in each[1:]:
+        out = out.union(x)
+    return out.groupBy("_t").agg(F.greatest(F.max("_size"), F.lit(1e-6)).alias("_size"))
+
+
+def grid_intersections(lines: DataFrame, segments: DataFrame, cell: float | str | None = None, keep: tuple[str, ...] = (), keep_b: tuple[str, ...] = ()) -> DataFrame:
     """The same through a grid: both sides are dealt to every cell their box covers, so nothing is missed, and work
-    grows with what is near rather than with the product.  A crossing found in several cells counts once.  cell: a size, or
-    the column of lines that has it for each track."""
+    grows with what is near rather than with the product.  The cell that holds a crossing owns it, so that it counts once.  cell: a size, or
+    the column of lines that has it for each track; without it, a track's cells are as long as its longest line.  keep, keep_b: further columns of lines and of
+    segments."""
 
     def cells(c1: str, c2: str, size: str = "_size"):
         lo, hi = F.floor((F.least(c1, c2) - g.EPS) / F.col(size)), F.floor((F.greatest(c1, c2) + g.EPS) / F.col(size))
         return F.sequence(lo, hi)
 
-    if isinstance(cell, str):
+    if cell is None:
+        sizes = cell_sizes(lines, segments)
+        a, b = lines.join(sizes, F.col(TRACK) == F.col("_t")).drop("_t"), _other(segments, keep_b).join(sizes, "_t")
+    elif isinstance(cell, str):
         a = lines.withColumn("_size", F.col(cell))
-        b = _other(segments).join(lines.groupBy(F.col(TRACK).alias("_t")).agg(F.first(cell).alias("_size")), "_t")
+        b = _other(segments, keep_b).join(lines.groupBy(F.col(TRACK).alias("_t")).agg(F.first(cell).alias("_size")), "_t")
     else:
-        a, b = lines.withColumn("_size", F.lit(float(cell))), _other(segments).withColumn("_size", F.lit(float(cell)))
-    a = a.withColumn("_cx", F.explode(cells("x1", "x2"))).withColumn("_cy", F.explode(cells("y1", "y2"))).drop("_size")
-    b = b.withColumn("_bx", F.explode(cells("x1_b", "x2_b"))).withColumn("_by", F.explode(cells("y1_b", "y2_b")))
+        a, b = lines.withColumn("_size", F.lit(float(cell))), _other(segments, keep_b).withColumn("_size", F.lit(float(cell)))
+    a = a.withColumn("_cx", F.explode(cells("x1", "x2"))).withColumn("_cy", F.explode(cells("y1", "y2")))
+    b = b.withColumn("_bx", F.explode(cells("x1_b", "x2_b"))).withColumn("_by", F.explode(cells("y1_b", "y2_b"))).drop("_size")
     hit, p = g.crossing(g.ln(), g.ln("_b"))
     met = a.join(b, (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")) & hit)
-    return met.select(TRACK, IDX, *keep, "seg_idx", p.x.alias("hx"), p.y.alias("hy")).dropDuplicates([TRACK, IDX, *keep, "seg_idx"])
+    met = met.withColumns({"hx": p.x, "hy": p.y}).where((F.floor(F.col("hx") / F.col("_size")) == F.col("_cx")) & (F.floor(F.col("hy") / F.col("_size")) == F.col("_cy")))
+    return met.select(TRACK, IDX, *keep, "seg_idx", "hx", "hy", *keep_b)
 
 
 def extend_until_hit(halves: DataFrame, boundary: DataFrame, most: int = 5, cell: float | None = None) -> DataFrame:
@@ -66,12 +80,30 @@ def missed(halves: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def nearest(origins: DataFrame, points: DataFrame) -> DataFrame:
-    """The nearest point of the same track (the first if equal); null where the track has none."""
+    """The nearest point of the same track (the first if equal); null where the track has none.
+
+    Points are first looked for in the nine grid cells around an origin; what is found within a cell's length is the nearest.  The other origins, far from all
+    points, are compared with every point of their track."""
     p = points.select(F.col(TRACK).alias("_t"), F.col(IDX).alias("near_idx"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    around = (F.max("nx") - F.min("nx") + F.max("ny") - F.min("ny")) * 2
+    sizes = p.groupBy("_t").agg(F.greatest(F.try_divide(around * 2, F.count("*")), F.lit(1e-6)).alias("_size"))
     d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-    met = origins.join(p, F.col(TRACK) == F.col("_t"), "left")
-    best = met.groupBy(TRACK, IDX).agg(F.min(F.when(F.col("_t").isNotNull(), F.struct(d.alias("distance"), "near_idx", "nx", "ny"))).alias("m"))
-    return best.select(TRACK, IDX, "m.near_idx", "m.nx", "m.ny", "m.distance")
+    best = F.min(F.struct(d.alias("distance"), "near_idx", "nx", "ny")).alias("m")
+
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / F.col("_size"))
+
+    p = p.join(sizes, "_t")
+    o = origins.select(TRACK, IDX, "x", "y").join(sizes, F.col(TRACK) == F.col("_t")).drop("_t")
+    for c in "xy":
+        o = o.withColumn(f"_c{c}", F.explode(F.sequence(cell(c) - 1, cell(c) + 1)))
+    q = p.select("_t", "near_idx", "nx", "ny", cell("nx").alias("_bx"), cell("ny").alias("_by"))
+    near = o.join(q, (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")))
+    near = near.groupBy(TRACK, IDX).agg(best, F.first("_size").alias("_size")).where("m.distance <= _size").select(TRACK, IDX, "m")
+    far = origins.select(TRACK, IDX, "x", "y").join(near.select(TRACK, IDX), [TRACK, IDX], "left_anti")
+    rest = far.join(p, F.col(TRACK) == F.col("_t")).groupBy(TRACK, IDX).agg(best)
+    out = origins.select(TRACK, IDX).join(near.union(rest), [TRACK, IDX], "left")
+    return out.select(TRACK, IDX, "m.near_idx", "m.nx", "m.ny", "m.distance")
 
 
 def trim_to_boundary(lines: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -81,7 +113,7 @@ def trim_to_boundary(lines: DataFrame, left: DataFrame, right: DataFrame) -> Dat
 
     def cut(a: str, boundary: DataFrame) -> DataFrame:
         half = base.select(TRACK, IDX, F.col(f"x{a}").alias("x1"), F.col(f"y{a}").alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
-        hits = intersections(half, boundary, ("x2", "y2"))
+        hits = grid_intersections(half, boundary, keep=("x2", "y2"))
         d = F.hypot(F.col("hx") - F.col("x2"), F.col("hy") - F.col("y2"))
         return hits.groupBy(TRACK, IDX).agg(F.min(F.struct(d.alias("d"), "seg_idx", "hx", "hy")).alias(f"h{a}"))
 

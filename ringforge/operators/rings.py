@@ -147,16 +147,46 @@ def b_spline(points: DataFrame, samples: int = 10) -> DataFrame:
     return df.select(TRACK, (F.col("_at") * samples + F.col("s")).cast("long").alias(IDX), x.alias("x"), y.alias("y"))
 
 
+def b_spline_loop(points: DataFrame, interpolations: int = 5000) -> DataFrame:
+    """Closed uniform cubic B-spline with the points as coefficients, sampled as published: 2 * ``interpolations`` equal steps over two rounds, from a quarter of them
+    to the sample of the last two quarters that comes nearest to the first (less two), and begun anew at the sample nearest to the ring's first point."""
+    df = _four(points)
+    most, half = 2 * interpolations - 1, interpolations // 2
+    step = F.lit(float(most)) / (2 * F.col("_n") - 1)  # samples to one span
+    df = df.withColumn("_r", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_base", F.col("_at") + F.col("_r") * F.col("_n"))
+    lo, hi = F.ceil(F.col("_base") * step).cast("long"), (F.ceil((F.col("_base") + 1) * step) - 1).cast("long")
+    df = df.withColumns({"_lo": F.greatest(lo, F.lit(half).cast("long")), "_hi": F.least(hi, F.lit(most).cast("long"))}).where("_lo <= _hi")
+    df = df.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("t", F.col("_k") / step - F.col("_base"))
+    t = F.col("t")
+    w = ((1 - t) * (1 - t) * (1 - t) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6)
+    x, y = [sum((w[i] * F.col(f"p{i}.{c}") for i in range(1, 4)), w[0] * F.col(f"p0.{c}")) for c in "xy"]
+    df = df.select(TRACK, "_k", x.alias("x"), y.alias("y"))
+    track = Window.partitionBy(TRACK)
+    begin = F.min(F.when(F.col("_k") == half, F.struct("x", "y"))).over(track)
+    df = df.withColumn("_d", F.hypot(F.col("x") - begin["x"], F.col("y") - begin["y"]))
+    end = F.min(F.when(F.col("_k") >= interpolations, F.struct("_d", "_k"))).over(track)["_k"]
+    df = df.withColumn("_end", end).where("_k < _end - 1").drop("_d", "_end")
+    first = points.where(F.col(IDX) == 0).select(F.col(TRACK).alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    df = df.join(first, F.col(TRACK) == F.col("_t")).withColumn("_d", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")))
+    start = F.min(F.struct("_d", "_k")).over(track)["_k"]
+    return df.select(TRACK, F.pmod(F.col("_k") - start, F.count(F.lit(1)).over(track)).cast("long").alias(IDX), "x", "y")
+
+
 def path_length(points: DataFrame) -> DataFrame:
     return points_to_lines(points).groupBy(TRACK).agg(F.sum(g.length(g.ln())).alias("length"))
 
 
 def sum_points(*lists: DataFrame) -> DataFrame:
-    """Element-wise sum of point lists of equal length."""
-    out = lists[0].select(TRACK, IDX, "x", "y")
-    for df in lists[1:]:
-        out = out.unionByName(df.select(TRACK, IDX, "x", "y"))
-    return out.groupBy(TRACK, IDX).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    """Element-wise sum of point lists of equal length; a place that one of them lacks, or has twice, is an error."""
+    if not lists:
+        raise ValueError("no lists to add")
+    out = None
+    for k, df in enumerate(lists):
+        df = df.select(TRACK, IDX, "x", "y", F.lit(k).alias("_k"))
+        out = df if out is None else out.unionByName(df)
+    sums = out.groupBy(TRACK, IDX).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("_c"), F.countDistinct("_k").alias("_d"))
+    ok = (F.col("_c") == len(lists)) & (F.col("_d") == len(lists))
+    return sums.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("point lists differ in length")).cast("boolean"))).select(TRACK, IDX, "x", "y")
 
 
 def at_indexes(df: DataFrame, wanted: DataFrame, key: str = "at") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .joins import grid_intersections
 from .rings import IDX, TRACK, lines_to_points, neighbour
 
 #: Metres by which lines are extended, one after another, until the path crosses them once or twice.
@@ -25,16 +26,15 @@ def splice(tracks: DataFrame, path: DataFrame | None = None, precision: int | No
     here = F.struct("x", "y", "vel", "acc")
     prev = neighbour(here, -1)
     legs = path_data(tracks, path).select(
-        F.col(TRACK).alias("_t"), F.col(IDX).alias("seg"), prev["x"].alias("x1_b"), prev["y"].alias("y1_b"), F.col("x").alias("x2_b"), F.col("y").alias("y2_b"),
-        prev["vel"].alias("vel0"), prev["acc"].alias("acc0"), F.col("vel").alias("vel1"), F.col("acc").alias("acc1"),
+        TRACK, IDX, prev["x"].alias("x1"), prev["y"].alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"),
+        F.struct(prev["x"].alias("x1_b"), prev["y"].alias("y1_b"), F.col("x").alias("x2_b"), F.col("y").alias("y2_b"), prev["vel"].alias("vel0"), prev["acc"].alias("acc0"), F.col("vel").alias("vel1"), F.col("acc").alias("acc1")).alias("leg"),
     )
     grown = lines.withColumn("ext", F.explode(F.array(*[F.lit(e) for e in EXTENSIONS])))
     longer = g.extend(g.ln(), F.col("ext"))
     # without extension the line is taken as it is, also if it has no length
     probe = g.Ln(*[F.when(F.col("ext") == 0, F.col(n)).otherwise(c) for n, c in zip(("x1", "y1", "x2", "y2"), longer, strict=True)])
-    grown = grown.select(TRACK, IDX, "ext", *[c.alias(f"{n}_e") for n, c in zip(("x1", "y1", "x2", "y2"), probe, strict=True)])
-    hit, p = g.crossing(g.ln("_e"), g.ln("_b"))
-    hits = grown.join(legs, (F.col(TRACK) == F.col("_t")) & hit).select(TRACK, IDX, "ext", F.struct("seg", p.x.alias("hx"), p.y.alias("hy"), *[c for c in legs.columns if c not in ("_t", "seg")]).alias("h"))
+    grown = grown.select(TRACK, IDX, "ext", *[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), probe, strict=True)])
+    hits = grid_intersections(grown, legs, keep=("ext",), keep_b=("leg",)).select(TRACK, IDX, "ext", F.struct(F.col("seg_idx").alias("seg"), "hx", "hy", "leg.*").alias("h"))
     by = hits.groupBy(TRACK, IDX, "ext").agg(F.array_sort(F.collect_list("h")).alias("hs")).where(F.size("hs").isin(1, 2))
     best = by.groupBy(TRACK, IDX).agg(F.min_by("hs", "ext").alias("hs"))
     a, b = F.get("hs", F.lit(0)), F.get("hs", F.lit(1))

@@ -30,3 +30,8 @@ def parse_name(df: DataFrame, col: str = "path") -> DataFrame:
 def grid(spark, start: float, end: float, steps: int) -> DataFrame:
     """steps values from start to end, both included."""
     return spark.range(steps).select(F.col("id").alias("step"), (F.lit(float(start)) + F.col("id") * F.lit((end - start) / max(1, steps - 1))).alias("value"))
+
+
+def files_for(df: DataFrame, vehicle: str, track: str, col: str = "path") -> DataFrame:
+    """The files whose name has "track - vehicle" in it."""
+    return df.where(F.col(col).contains(f"{track} - {vehicle}"))

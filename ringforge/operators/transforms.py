@@ -68,6 +68,13 @@ def targets(a: str, idx: Column, n: Column, t: Transform) -> Column:
     return _gather(F.col(a), idx + 1 - p - s * p - t.lag, p * (2 * s + 1), n)
 
 
+def rolled_copies(encoded: DataFrame, channels: Sequence[str], sampling: int) -> DataFrame:
+    """x: the channels of the rows ``sampling`` before to ``sampling`` after each row, side by side."""
+    df = _rows(per_track(encoded, channels))
+    parts = [F.get(F.col(c), F.pmod(F.col(IDX) + k, F.col("n")).cast("int")).cast("double") for k in range(-sampling, sampling + 1) for c in channels]
+    return df.select(TRACK, IDX, F.array(*parts).alias("x"))
+
+
 def padded(a: str, f: int) -> Column:
     """The ring with its last f values before and its first f after: windows are slices of it."""
     n = F.col("n")

@@ -258,6 +258,24 @@ def _extend_sql() -> str:
       select track_id, idx, ext, seg_idx, {cols(3, hx='hx', hy='hy')} from c where ext = lo"""
 
 
+def _projected_sql() -> str:
+    """Snyder's ellipsoidal form, step by step; the way back gives what went in."""
+    a, f = "cast(6378137.0 as double)", "(1 / cast(298.257223563 as double))"
+    e2 = f"({f} * (2 - {f}))"
+    return BASE + f""", p as (select cast(track_id as varchar) "name", idx, x / 5000 lon, 50 + y / 5000 lat from path), o as (select "name", avg(lon) lon0, avg(lat) lat0 from p group by 1),
+      j as (select p.*, radians(lat) b, radians(lat0) a, radians(lon - lon0) d from p join o using ("name")),
+      k as (select *, {a} / sqrt(1 - {e2} * sin(a) * sin(a)) n1, {a} / sqrt(1 - {e2} * sin(b) * sin(b)) n2 from j),
+      l as (select *, atan((1 - {e2}) * tan(b) + {e2} * n1 * sin(a) / (n2 * cos(b))) psi from k),
+      m as (select *, sin(d) * cos(psi) ea, cos(a) * sin(psi) - sin(a) * cos(psi) * cos(d) we, sin(a) * sin(psi) + cos(a) * cos(psi) * cos(d) co from l),
+      q as (select *, atan2(ea, we) az, atan2(sqrt(ea * ea + we * we), co) s, sqrt({e2} / (1 - {e2})) * sin(a) gg from m),
+      r as (select *, sqrt({e2} / (1 - {e2})) * cos(a) * cos(az) h from q),
+      c as (select *, n1 * s * (1 - pow(s, 2) * pow(h, 2) * (1 - pow(h, 2)) / 6 + pow(s, 3) / 8 * gg * h * (1 - 2 * pow(h, 2)) + pow(s, 4) / 120 * (pow(h, 2) * (4 - 7 * pow(h, 2)) - 3 * pow(gg, 2) * (1 - 7 * pow(h, 2))) - pow(s, 5) / 48 * gg * h) c from r)
+      select "name", idx, {cols(2, x='c * sin(az)', y='c * cos(az)')}, {cols(5, lon='lon', lat='lat')} from c"""
+
+
+PROJECTED = _projected_sql()
+
+
 _T = BASE + " select track_id, idx, "
 _len = "sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))"
 SQL: dict[str, str] = {
@@ -347,12 +365,7 @@ SQL: dict[str, str] = {
     "sweep_grid": f"select k step, {r('cast(0.5 as double) + k * cast(0.05 as double)', 'value')} from generate_series(0, 40) g(k)",
     "partition_tracks": BASE + ", c as (select 2 * count(distinct track_id) total from tracks), s as (select total, (total + 6) // 7 size from c) select cast(k as integer) partition_id, least(size, total - k * size) n_tracks from s, generate_series(0, 6) g(k) where k * size < total",
     "swap_left_right": BASE + " select track_id, idx, " + cols(left="y", right="x") + " from path",
-    "projected": BASE
-    + """, p as (select cast(track_id as varchar) "name", idx, x / 5000 lon, 50 + y / 5000 lat from path), o as (select "name", avg(lon) lon0, avg(lat) lat0 from p group by 1),
-      j as (select p.*, radians(lat) b, radians(lat0) a, radians(lon - lon0) d from p join o using ("name")), k as (select *, acos(greatest(-1, least(1, sin(a) * sin(b) + cos(a) * cos(b) * cos(d)))) c from j),
-      m as (select *, 6371008.8 * case when abs(sin(c)) < 1e-12 then 1 else c / sin(c) end k from k) select "name", idx, """
-    + cols(2, x="k * cos(b) * sin(d)", y="k * (cos(a) * sin(b) - sin(a) * cos(b) * cos(d))") + ", " + cols(5, lon="lon", lat="lat")
-    + " from m",
+    "projected": PROJECTED,
     "count_helpers": BASE + ", n as (select track_id, count(*) n from tracks group by 1) select count(*) tracks, cast(sum(n) as bigint) lines, max(n) longest from n",
     "track_pairs": BASE + " select t.track_id, t.idx, " + cols(pos_delta="t.pos - p.pos", vel_gap="t.vel - max(p.vel) over (partition by t.track_id)") + " from tracks t join predicted p on p.track_id = t.track_id and p.idx = t.idx",
 }

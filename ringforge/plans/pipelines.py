@@ -15,9 +15,11 @@ from ..sources import readers
 def splice_folders(spark: SparkSession, src: str, spacing: float = 10.0, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(spliced rows by name, (name, error) of folders that failed).  Folders in ``done`` are left out."""
     ref, paths = readers.read_tracks(spark, src), readers.read_paths(spark, src)
-    names = ref.select("name").distinct()
+    every = readers.folder_names(spark, src)
     if done is not None:
-        names = readers.not_done(names, done)
+        every = readers.not_done(every, done)
+    names = ref.select("name").distinct().join(every, "name", "left_semi")
+    no_track = every.join(names, "name", "left_anti").select("name", F.lit("no track.csv").alias("error"))
     # a stable number for each name: operators work on numbered tracks
     ids = names.withColumn("track_id", F.xxhash64("name"))
     ref = ref.join(ids, "name").select("track_id", "idx", "x", "y", "r", "l")
@@ -28,7 +30,7 @@ def splice_folders(spark: SparkSession, src: str, spacing: float = 10.0, done: D
     whole, failed = sp.whole_tracks(spliced)
     lacking = ids.join(with_path.select("track_id").distinct(), "track_id", "left_anti").select("track_id", F.lit("no optimal_path.csv").alias("error"))
     bad = sequential.errors(smooth).union(failed).union(lacking)
-    return whole.join(ids, "track_id"), bad.join(ids, "track_id").select("name", "error")
+    return whole.join(ids, "track_id"), bad.join(ids, "track_id").select("name", "error").union(no_track)
 
 
 def enumerate_tracks(names: DataFrame, flip: bool = False) -> DataFrame:
@@ -91,8 +93,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--flip", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName(f"ringforge-{a.function}").getOrCreate()
+    for kind, folder in (("Source", a.src), ("Destination", a.dest)):
+        if not readers.exists(spark, folder):
+            raise FileNotFoundError(f"{kind} directory {folder} does not exist")
     if a.function == "splice":
-        good, bad = splice_folders(spark, a.src, a.spacing)
+        # tracks that have a result already are not taken again: a run that was broken off goes on
+        good, bad = splice_folders(spark, a.src, a.spacing, readers.done_names(spark, f"{a.dest}/spliced"))
         readers.write_spliced(good, readers.read_vehicles(spark, a.src), f"{a.dest}/spliced")
         bad.write.mode("overwrite").json(f"{a.dest}/errors")
         return

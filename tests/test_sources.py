@@ -41,7 +41,7 @@ def test_splice_folders_and_round_trip(spark, folders, tmp_path):
     good, bad = pipelines.splice_folders(spark, folders, spacing=20.0)
     good = good.persist()
     assert [r.name for r in good.select("name").distinct().collect()] == ["alpha"]
-    assert [(r.name, r.error) for r in bad.collect()] == [("beta", "no optimal_path.csv")]
+    assert sorted((r.name, r.error) for r in bad.collect()) == [("beta", "no optimal_path.csv"), ("empty", "no track.csv")]
     readers.write_spliced(good, readers.read_vehicles(spark, folders), f"{tmp_path}/spliced")
     back = readers.read_spliced(spark, f"{tmp_path}/spliced")
     assert back.count() == good.count() and back.first().vehicle["mass"] == 700
@@ -70,7 +70,10 @@ def test_bounds_round_trip(spark, tmp_path):
     b = spark.createDataFrame([(4.0, 1.0, 2.0, 3.0, None, None)], "max_width double, min_width double, max_angle double, max_offset double, max_velocity double, min_velocity double")
     readers.save_bounds(b, {"method": "window", "foresight": 120}, f"{tmp_path}/b")
     r = readers.load_bounds(spark, f"{tmp_path}/b").first()
-    assert r.max_width == 4 and r.max_velocity is None and r.max_vehicle is None
+    assert r.max_width == 4 and r.max_velocity == -math.inf and r.min_velocity == math.inf and r.max_vehicle is None
+    readers.save_bounds(spark.createDataFrame([(1.5,)], "max_angle double"), {"method": "lag"}, f"{tmp_path}/c")
+    r = readers.load_bounds(spark, f"{tmp_path}/c").first()
+    assert (r.max_angle, r.max_offset, r.max_width, r.min_width) == (1.5, 0.0, -math.inf, math.inf)
 
 
 def test_kml_and_projection(spark, tmp_path):
@@ -84,7 +87,73 @@ def test_kml_and_projection(spark, tmp_path):
     zero = xy.where("layer = 'Reference' and idx = 0").first()
     assert abs(zero.x) < 1e-6 and abs(zero.y) < 1e-6
     back = readers.unproject(xy.withColumnsRenamed({"lon": "a", "lat": "b"}), F.lit(5.97), F.lit(50.43))
-    assert all(r.lon == pytest.approx(r.a) and r.lat == pytest.approx(r.b) for r in back.collect())
+    assert all(r.lon == pytest.approx(r.a, abs=1e-11) and r.lat == pytest.approx(r.b, abs=1e-11) for r in back.collect())
+
+
+def test_projection_is_ellipsoidal(spark):
+    """Along the meridian distances are those of the meridian arc, and along the equator those of the circle; there and back agree to a millimetre."""
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    steps = 20_000
+    arc = sum(a * (1 - e2) / (1 - e2 * math.sin(p) ** 2) ** 1.5 for p in (math.radians(50 + 0.5 * (k + 0.5) / steps) for k in range(steps))) * math.radians(0.5) / steps
+    df = spark.createDataFrame([(7.0, 50.5, 50.0), (7.4, 0.0, 0.0), (7.3, 50.2, 50.0), (6.5, 49.7, 50.0), (7.0, 50.0, 50.0), (7.2, 0.1, 0.0)], "lon double, lat double, lat0 double")
+    xy = readers.project(df, F.lit(7.0), F.col("lat0"))
+    got = xy.collect()
+    assert got[0].y == pytest.approx(arc, abs=1e-3) and abs(got[0].x) < 1e-6
+    assert got[1].x == pytest.approx(a * math.radians(0.4), abs=1e-3) and abs(got[1].y) < 1e-6
+    for r in readers.unproject(xy.withColumnsRenamed({"lon": "a", "lat": "b"}), F.lit(7.0), F.col("lat0")).collect():
+        assert r.lon == pytest.approx(r.a, abs=1e-8) and r.lat == pytest.approx(r.b, abs=1e-8)
+
+
+def test_kml_folders_and_sides_in_two_parts(spark, tmp_path):
+    place = lambda n, c: f"<Placemark><name>{n}</name><LineString><coordinates>\n {c}\n</coordinates></LineString></Placemark>"
+    body = "<Folder><name>GB One</name>" + place("Left 2", "3,3,0\n4,4,0") + place("Left", "1,1,0\n2,2,0") + place("Right", "9,9,0") + "</Folder><Folder><name>GB Two</name>" + place("Reference", "5,5,0") + "</Folder>"
+    (tmp_path / "all.kml").write_text(f"<?xml version='1.0'?><kml><Document>{body}</Document></kml>")
+    k = readers.joined_sides(readers.read_kml(spark, f"{tmp_path}/all.kml"))
+    assert sorted((r.name, r.layer, r.idx, r.lon) for r in k.collect()) == [("GB One", "Left", i, i + 1.0) for i in range(4)] + [("GB One", "Right", 0, 9.0), ("GB Two", "Reference", 0, 5.0)]
+
+
+@pytest.mark.parametrize("name, layer, fault", [("DE Nurburgring", "GP Circuit", ""), ("GB Here", "GP Circuit", "GP Circuit"), ("GB Here", "Été", "Invalid track name"), ("GB Here", "Short-1_a'+b", ""), ("GB Here", "(old)", "Invalid track name")])
+def test_names_of_layers(spark, name, layer, fault):
+    df = spark.createDataFrame([(name, layer), ("X", "Karting é"), ("Y", "Ok")], "name string, layer string")
+    if fault:
+        with pytest.raises(Exception, match=fault):
+            readers.valid_layers(df).collect()
+    else:
+        assert [tuple(r) for r in readers.valid_layers(df).collect()] == [(name, layer), ("Y", "Ok")]
+
+
+def test_a_run_is_taken_up_again(spark, folders, tmp_path):
+    src = tmp_path / "src"
+    import shutil
+
+    shutil.copytree(folders, src)
+    dest = tmp_path / "dest"
+    with pytest.raises(FileNotFoundError):
+        pipelines.main(["splice", "--src", str(src), "--dest", str(dest), "--spacing", "20"])
+    dest.mkdir()
+    go = lambda: pipelines.main(["splice", "--src", str(src), "--dest", str(dest), "--spacing", "20"])
+    counts = lambda: {r.name: r["count"] for r in readers.read_spliced(spark, f"{dest}/spliced").groupBy("name").count().collect()}
+    go()
+    first = counts()
+    assert set(first) == {"alpha"} and {r.name for r in spark.read.json(f"{dest}/errors").collect()} == {"beta", "empty"}
+    shutil.copy(src / "alpha" / "optimal_path.csv", src / "beta" / "optimal_path.csv")
+    go()
+    assert counts() == first | {"beta": counts()["beta"]} and counts()["beta"] > 0
+    # written twice, tracks don't double
+    rows = readers.read_spliced(spark, f"{dest}/spliced").where("name = 'alpha'").persist()
+    rows.count()
+    readers.write_spliced(rows, None, f"{dest}/spliced")
+    assert counts()["alpha"] == first["alpha"] and "beta" in counts()
+    with pytest.raises(FileNotFoundError):
+        pipelines.main(["encode", "--src", f"{tmp_path}/nowhere", "--dest", str(dest)])
+
+
+def test_partitions_one_after_another(spark):
+    row = lambda t, i: (0, t, {"mass": 1.0}, i, 1.0 * t)
+    a, b = [spark.createDataFrame([row(t, i) for t in range(n) for i in range(2)], "partition_id int, track_no int, vehicle map<string,double>, idx long, width double") for n in (2, 3)]
+    got = readers.combine_partitions(a, b).collect()
+    assert sorted((r.track_no, r.idx, r.width) for r in got) == [(t, i, 1.0 * (t if t < 2 else t - 2)) for t in range(5) for i in range(2)]
 
 
 def test_training_examples(spark, folders):
@@ -106,8 +175,10 @@ def test_project_round_trip(spark, tmp_path):
 
 
 def test_command_line(spark, folders, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "enc").mkdir()
     pipelines.main(["splice", "--src", folders, "--dest", f"{tmp_path}/out", "--spacing", "20"])
-    assert [r.name for r in spark.read.json(f"{tmp_path}/out/errors").collect()] == ["beta"]
+    assert {r.name for r in spark.read.json(f"{tmp_path}/out/errors").collect()} == {"beta", "empty"}
     pipelines.main(["encode", "--src", f"{tmp_path}/out/spliced", "--dest", f"{tmp_path}/enc", "--partitions", "2", "--flip"])
     e = spark.read.parquet(f"{tmp_path}/enc")
     assert {r.name: r["count"] for r in e.groupBy("name").count().collect()}.keys() == {"alpha", "alpha.flipped"}
@@ -125,5 +196,7 @@ def test_recipes(spark):
     assert len(x) > 100 and all(5 < r.l + r.r < 9 for r in x)
     s = rings.sum_points(circle(1.0, 4), circle(2.0, 4)).where("idx = 0").first()
     assert s.x == pytest.approx(3)
+    with pytest.raises(Exception, match="differ in length"):
+        rings.sum_points(circle(1.0, 4), circle(2.0, 5)).collect()
     picked = rings.at_indexes(circle(1.0, 4), spark.createDataFrame([(1, 0, 2), (1, 1, 0)], "track_id long, idx long, at long"))
     assert {r.idx: round(r.x) for r in picked.collect()} == {0: -1, 1: 1}
