@@ -273,6 +273,71 @@ def _projected_sql() -> str:
       select "name", idx, {cols(2, x='c * sin(az)', y='c * cos(az)')}, {cols(5, lon='lon', lat='lat')} from c"""
 
 
+def fixed_weights(widths: tuple[int, ...], heads: int) -> dict:
+    """Weights of a small network, by a rule: hidden layers of these widths and two heads."""
+    import numpy as np
+
+    def layer(a: int, b: int, k: int):
+        i, j = np.meshgrid(np.arange(a), np.arange(b), indexing="ij")
+        return np.sin(0.7 * i + 1.3 * j + k) * 0.4, np.cos(0.5 * np.arange(b) + k) * 0.1
+
+    pairs = list(zip(widths[:-1], widths[1:], strict=True))
+    return {"hidden": [layer(a, b, k) for k, (a, b) in enumerate(pairs)], "heads": [layer(widths[-1], heads, 10 + k) for k in range(2)]}
+
+
+def _model_sql() -> str:
+    """Layer by layer with lists of weights; the mean of the three outputs that each line gets."""
+    w = fixed_weights((17, 8, 5), 3)
+    num = lambda x: "[" + ", ".join(f"cast({v!r} as double)" for v in x.tolist()) + "]"
+
+    def dense(x: str, layer, act: str) -> str:
+        m, b = layer
+        return "[" + ", ".join(act.format(f"(list_dot_product({x}, {num(m[:, j])}) + cast({b.tolist()[j]!r} as double))") for j in range(m.shape[1])) + "]"
+
+    sigmoid, hard = "(1 / (1 + exp(-({0}))))", "greatest(0.0::double, least(1.0::double, ({0} + 2.5::double) / 5))"
+    sc = f"sc as (select e.track_id, e.idx, e.n, {scaled('width', 'max_width', 'min_width')} width, angle / max_angle angle, off / max_offset off, b.max_velocity hi, b.min_velocity lo from e, b)"
+    ch = lambda c: ", ".join(f"cast(cast(max(case when g.k = {k} then s.{c} end) as float) as double)" for k in range(5))
+    return ENC + f""", b as ({BOUNDS}), {sc},
+      x as (select a.track_id, a.idx, a.n, a.hi, a.lo, [0.5::double, 0.25::double, {ch('width')}, {ch('angle')}, {ch('off')}] x
+        from sc a, generate_series(0, 4) g(k) join sc s on s.track_id = a.track_id and s.idx = (a.idx + g.k - 2 + a.n) % a.n group by 1, 2, 3, 4, 5),
+      h1 as (select track_id, idx, n, hi, lo, {dense('x', w['hidden'][0], sigmoid)} h from x),
+      h2 as (select track_id, idx, n, hi, lo, {dense('h', w['hidden'][1], sigmoid)} h from h1),
+      y as (select track_id, idx, n, hi, lo, {dense('h', w['heads'][0], hard)} p, {dense('h', w['heads'][1], hard)} v from h2),
+      z as (select track_id, (idx + g.k - 1 + n) % n idx, hi, lo, p[g.k + 1] p, v[g.k + 1] v from y, generate_series(0, 2) g(k))
+      select track_id, idx, {r('avg(v) * (max(hi) - max(lo)) + max(lo)', 'velocity')}, {r('avg(p)', 'position')} from z group by 1, 2"""
+
+
+def _path_normals_sql() -> str:
+    pt = resampled(True, 97.0)
+    pt = pt[: pt.rindex("select track_id, idx,")]
+    return pt + ", pn as (select track_id, idx, x, y, count(*) over (partition by track_id) n from pt), " + normals_of("pn", "nn", 20.0) + f" select track_id, idx, {BOX3} from nn where n >= 3"
+
+
+def _loop_sql(i: int) -> str:
+    """The spline by t = k (2n - 1) / (2i - 1), each sample from the four points around floor(t)."""
+    b = {c: f"((1 - u) * (1 - u) * (1 - u) * p.{c} + (3 * u * u * u - 6 * u * u + 4) * a.{c} + (-3 * u * u * u + 3 * u * u + 3 * u + 1) * q.{c} + u * u * u * w.{c}) / 6" for c in "xy"}
+    return BASE + f""", mp as (select track_id, idx, n, (x1 + x2) / 2 x, (y1 + y2) / 2 y from tracks),
+      tk as (select track_id, n, g.k, g.k / (cast({2 * i - 1} as double) / (2 * n - 1)) t from mp, generate_series({i // 2}, {2 * i - 1}) g(k) where idx = 0),
+      tu as (select *, cast(floor(t) as bigint) f, t - floor(t) u from tk),
+      sp as (select tu.track_id, tu.k, {b['x']} x, {b['y']} y from tu join mp a on a.track_id = tu.track_id and a.idx = tu.f % tu.n join mp p on p.track_id = tu.track_id and p.idx = (tu.f - 1 + tu.n) % tu.n
+        join mp q on q.track_id = tu.track_id and q.idx = (tu.f + 1) % tu.n join mp w on w.track_id = tu.track_id and w.idx = (tu.f + 2) % tu.n),
+      dd as (select sp.*, sqrt((sp.x - s.x) * (sp.x - s.x) + (sp.y - s.y) * (sp.y - s.y)) d from sp join sp s on s.track_id = sp.track_id and s.k = {i // 2}),
+      en as (select track_id, arg_min(k, (d, k)) e from dd where k >= {i} group by 1),
+      kept as (select sp.track_id, sp.k, sp.x, sp.y, sqrt((sp.x - m.x) * (sp.x - m.x) + (sp.y - m.y) * (sp.y - m.y)) d from sp join en on en.track_id = sp.track_id and sp.k < en.e - 1 join mp m on m.track_id = sp.track_id and m.idx = 0),
+      st as (select track_id, arg_min(k, (d, k)) k0, min(k) lo, max(k) hi, count(*) c from kept group by 1),
+      seg as (select a.track_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) len from kept a join st on st.track_id = a.track_id join kept b on b.track_id = a.track_id and b.k = case when a.k = st.hi then st.lo else a.k + 1 end)
+      select st.track_id, st.c samples, {r('max(l.len)', 'length', 3)}, {r('max(f.x)', 'x', 3)}, {r('max(f.y)', 'y', 3)} from st join (select track_id, sum(len) len from seg group by 1) l on l.track_id = st.track_id join kept f on f.track_id = st.track_id and f.k = st.k0 group by 1, 2"""
+
+
+def _rounded_splice() -> str:
+    return BASE + " select track_id, idx, " + cols(**{c: f"round_even({c}, 1)" for c in ("x1", "y1", "x2", "y2")}) + " from tracks"
+
+
+def _results(key: str) -> str:
+    figures = ("laptime_abs_error", "laptime_percentage", "laptime_error_per_minute", "position_mean_absolute", "position_ci95", "velocity_mean_absolute", "velocity_ci95")
+    return NAMED + f" select {key} kind, " + cols(6, **{c: f"(avg({c}) + cast(1e-9 as double))" for c in figures}) + " from nm where position_apex_mean is not null group by 1"
+
+
 PROJECTED = _projected_sql()
 
 
@@ -366,6 +431,31 @@ SQL: dict[str, str] = {
     "partition_tracks": BASE + ", c as (select 2 * count(distinct track_id) total from tracks), s as (select total, (total + 6) // 7 size from c) select cast(k as integer) partition_id, least(size, total - k * size) n_tracks from s, generate_series(0, 6) g(k) where k * size < total",
     "swap_left_right": BASE + " select track_id, idx, " + cols(left="y", right="x") + " from path",
     "projected": PROJECTED,
+    "model_inference": _model_sql(),
+    "results_by_vehicle": _results("vehicle"),
+    "results_by_track": _results("track"),
+    "sweep_files": "select * from (select 't' || cast(s_suppkey % 5 as varchar) || ' - car' || cast(s_suppkey % 3 as varchar) || ' - mass - ' || cast(s_suppkey as varchar) path from supplier) where path like '%t2 - car1%'",
+    "at_indexes": BASE + " select w.track_id, w.idx, " + cols(vel="t.vel") + " from tracks w join tracks t on t.track_id = w.track_id and t.idx = w.n - 1 - w.idx * 3 where w.idx * 3 < w.n",
+    "sum_points": BASE + " select track_id, idx, " + cols(x="(x1 + x2) * cast(1.5 as double)", y="(y1 + y2) * cast(1.5 as double)") + " from tracks",
+    "splice_rounded": _rounded_splice(),
+    "splice_errors": "with s as (" + _splice_sql() + ") select distinct track_id from s where failed",
+    "normals_on_path": _path_normals_sql(),
+    "b_spline_loop": _loop_sql(400),
+    "rolled_copies": ENC + f", w as (select e.track_id, e.idx, e.n, g.k from e, generate_series(0, 9) g(k)) select w.track_id, w.idx, w.k, {r('case when w.k % 2 = 0 then s.width else s.velocity end', 'v', 3)} from w join e s on s.track_id = w.track_id and s.idx = (w.idx + w.k // 2 - 2 + w.n) % w.n",
+    "vehicle_join": f"{ENC}, {VEHICLES} select e.track_id, e.idx, {cols(mass='v.a', front='v.b')} from e join v on v.track_id = e.track_id % 10 + 1",
+    "normalise_and_transform": ENC + f", {VEHICLES}, b as ({BOUNDS}), sc as (select e.track_id, e.idx, e.n, {scaled('width', 'max_width', 'min_width')} width, off / max_offset off, velocity from e, b), "
+    "used as (select distinct track_id, track_id % 10 + 1 k from e), vb as (select max(v.a) hi, min(v.a) lo from used join v on v.track_id = used.k) "
+    f"select a.track_id, a.idx, {r(F32.format('p.width'), 'first', 3)}, {r(F32.format('q.off'), 'last', 3)}, {r('case when hi = lo then v.a - lo else (v.a - lo) / (hi - lo) end', 'mass', 3)}, {r('a.velocity', 'velocity')} "
+    f"from sc a {near('sc', -1, 'p')} {near('sc', 1, 'q')} join v on v.track_id = a.track_id % 10 + 1, vb",
+    "xyrl_text": BASE + " select track_id, idx, " + cols(3, x="x", y="y", r="cast(idx % 5 + 2 as double)", l="cast(idx % 3 + 1 as double)") + " from path",
+    "xyrl_files": BASE + " select 't' || cast(track_id as varchar) \"name\", idx, " + cols(3, x="x", y="y") + ", " + cols(r="cast(idx % 5 + 2 as double)", l="cast(idx % 3 + 1 as double)") + " from path",
+    "spliced_files": BASE + " select 't ' || cast(track_id as varchar) \"name\", idx, " + cols(x1="x1", y1="y1", x2="x2", y2="y2", pos="pos", vel="vel", acc="cast(0.5 as double)", mass="cast(track_id as double)") + " from tracks",
+    "tracks_not_done": BASE + " select distinct 't' || cast(track_id as varchar) \"name\" from tracks where length('t' || cast(track_id as varchar)) <> 2",
+    "partition_files": ENC + ", o as (select track_id, cast(row_number() over (order by track_id % 2, track_id) - 1 as integer) track_no from (select distinct track_id from e)) select e.track_id, o.track_no, e.idx, " + cols(width="width", position="position", velocity="velocity") + " from e join o using (track_id)",
+    "bounds_files": ENC + f", b as ({BOUNDS}) select " + cols(**{c: c for c in ("max_width", "min_width", "max_angle", "max_offset")}) + ", true no_max, true no_min from b",
+    "project_files": BASE + """, p as (select 'GB ' || cast(track_id as varchar) "name", idx, idx % 4 m, x / 5000 lon, 50 + y / 5000 lat from path where track_id % 4 <> 0),
+      q as (select "name", case m when 0 then 'Left' when 1 then 'Left' when 2 then 'Right' else 'Reference' end layer, case when m = 0 then 1 else 0 end part, idx, lon, lat from p)
+      select "name", layer, row_number() over (partition by "name", layer order by part, idx) - 1 idx, """ + cols(6, lon="lon", lat="lat") + " from q",
     "count_helpers": BASE + ", n as (select track_id, count(*) n from tracks group by 1) select count(*) tracks, cast(sum(n) as bigint) lines, max(n) longest from n",
     "track_pairs": BASE + " select t.track_id, t.idx, " + cols(pos_delta="t.pos - p.pos", vel_gap="t.vel - max(p.vel) over (partition by t.track_id)") + " from tracks t join predicted p on p.track_id = t.track_id and p.idx = t.idx",
 }

@@ -4,6 +4,7 @@ Arrays are compared in long form (track_id, idx, k, value); floating results are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import bounds, evaluation, features, joins, rings, sequential, splice, sweep, transforms
 from ..operators.model import predict
+from ..sources import readers
 from . import pipelines
-from .oracles import SQL
+from .oracles import SQL, fixed_weights
 from .synth import path, predicted, tracks
 
 KEY = ("track_id", "idx")
@@ -339,11 +341,7 @@ def detransform_bidirectional(spark, sf_dir):
 @query
 def model_inference(spark, sf_dir):
     """A fixed small network over flat windows, back to one value for each line."""
-    import numpy as np
-
-    rng = np.random.Generator(np.random.PCG64(3))
-    w = lambda a, b: (rng.normal(0, 0.4, (a, b)), rng.normal(0, 0.1, b))
-    weights = {"hidden": [w(17, 8)], "heads": [w(8, 3), w(8, 3)]}
+    weights = fixed_weights((17, 8, 5), 3)
     t = transforms.Transform("flat-window", foresight=2, sampling=1)
     e = _encoded(spark, sf_dir)
     b = bounds.bounds(e)
@@ -493,6 +491,179 @@ def to_xyrl(spark, sf_dir):
     return sequential.to_xyrl(tracks(spark, sf_dir), 40.0).select(*KEY, *[rnd(c) for c in ("x", "y", "r", "l")])
 
 
+# --- the rest: results, sources there and back, further geometry ---
+
+
+@query
+def results_by_vehicle(spark, sf_dir):
+    """Evaluations with an apex, combined as the published tables are."""
+    names = tracks(spark, sf_dir).select("track_id").distinct().select("track_id", F.concat(F.lit("v"), (F.col("track_id") % 3).cast("string"), F.lit(" - t"), (F.col("track_id") % 7).cast("string")).alias("name"))
+    return _table(evaluation.results(tracks(spark, sf_dir), predicted(spark, sf_dir), names)[0])
+
+
+@query
+def results_by_track(spark, sf_dir):
+    names = tracks(spark, sf_dir).select("track_id").distinct().select("track_id", F.concat(F.lit("v"), (F.col("track_id") % 3).cast("string"), F.lit(" - t"), (F.col("track_id") % 7).cast("string")).alias("name"))
+    return _table(evaluation.results(tracks(spark, sf_dir), predicted(spark, sf_dir), names)[1])
+
+
+def _table(df):
+    return df.select(F.col("Type").alias("kind"), *[rnd(F.col(c) + 1e-9, evaluation.TABLE[c], 6) for c in evaluation.TABLE])
+
+
+@query
+def sweep_files(spark, sf_dir):
+    """Files of one vehicle and track."""
+    k = F.col("s_suppkey")
+    names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("t"), k % 5, F.lit(" - car"), k % 3, F.lit(" - mass - "), k).alias("path"))
+    return sweep.files_for(names, "car1", "t2")
+
+
+@query
+def at_indexes(spark, sf_dir):
+    """Every third line, from the end."""
+    t = tracks(spark, sf_dir)
+    n = F.count("*").over(Window.partitionBy("track_id"))
+    wanted = t.withColumn("_n", n).where("idx * 3 < _n").select("track_id", "idx", (F.col("_n") - 1 - F.col("idx") * 3).alias("at"))
+    return rings.at_indexes(t.select(*KEY, "vel"), wanted).select(*KEY, rnd("vel"))
+
+
+@query
+def sum_points(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    return rings.sum_points(*[rings.lines_to_points(t, s) for s in ("left", "mid", "right")]).select(*KEY, rnd("x"), rnd("y"))
+
+
+@query
+def splice_rounded(spark, sf_dir):
+    """Spliced lines rounded half to even."""
+    s = splice.splice(tracks(spark, sf_dir), path(spark, sf_dir), precision=1)
+    return s.select(*KEY, *[rnd(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def splice_errors(spark, sf_dir):
+    """Tracks that can't be spliced whole."""
+    return splice.whole_tracks(splice.splice(tracks(spark, sf_dir), path(spark, sf_dir)))[1].select("track_id")
+
+
+@query
+def normals_on_path(spark, sf_dir):
+    """Lines across the path at equal distances."""
+    n = rings.normals_on_path(rings.lines_to_points(tracks(spark, sf_dir), "mid"), 20.0, 97.0)
+    return n.select(*KEY, *[rnd(c, places=3) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def b_spline_loop(spark, sf_dir):
+    """The published closed spline: its samples' number, its length, and its first point."""
+    s = rings.b_spline_loop(rings.lines_to_points(tracks(spark, sf_dir), "mid"), 400)
+    first = s.where("idx = 0").select("track_id", rnd("x", places=3), rnd("y", places=3))
+    return s.groupBy("track_id").agg(F.count("*").alias("samples")).join(rings.path_length(s).select("track_id", rnd("length", places=3)), "track_id").join(first, "track_id")
+
+
+@query
+def rolled_copies(spark, sf_dir):
+    return _long(transforms.rolled_copies(_encoded(spark, sf_dir), ("width", "velocity"), 2), places=3)
+
+
+@query
+def vehicle_join(spark, sf_dir):
+    """Each example with its track's vehicle."""
+    x = transforms.with_vehicles(_encoded(spark, sf_dir).withColumnRenamed("track_id", "_t").withColumn("track_id", F.col("_t") % 10 + 1), bounds.vehicle_vector(_vehicles(spark, sf_dir), VEHICLE))
+    return x.select(F.col("_t").alias("track_id"), "idx", rnd(F.get("vehicle", F.lit(0)), "mass"), rnd(F.get("vehicle", F.lit(1)), "front"))
+
+
+@query
+def normalise_and_transform(spark, sf_dir):
+    """Encoded rows scaled by their bounds and made into windows, with vehicles; outputs scaled back."""
+    e = _encoded(spark, sf_dir)
+    v = _vehicles(spark, sf_dir).where("track_id <= 10").select((F.col("track_id") - 1).alias("_v"), "vehicle")
+    v = e.select("track_id").distinct().withColumn("_v", F.col("track_id") % 10).join(v, "_v").select("track_id", "vehicle")
+    x, b = pipelines.training_examples(e, v, transforms.Transform("flat-window", foresight=1, sampling=1, vehicle_encoding=VEHICLE))
+    back = transforms.Transform("flat-window", foresight=1, sampling=1).detransform(x, "y_velocity").crossJoin(F.broadcast(b))
+    back = back.select(*KEY, rnd(bounds.range_unscale(F.col("y_velocity"), F.col("max_velocity"), F.col("min_velocity")), "velocity"))
+    x = x.select(*KEY, rnd(F.get("x", F.lit(0)).cast("double"), "first", 3), rnd(F.get("x", F.lit(8)).cast("double"), "last", 3), rnd(F.get("vehicle", F.lit(0)), "mass", 3))
+    return x.join(back, list(KEY))
+
+
+def _there_and_back(spark, name: str) -> str:
+    from ..operators.staging import shared_folder
+
+    return f"{shared_folder(spark)}/ringforge-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def xyrl_text(spark, sf_dir):
+    """The text format of reference lines, written and parsed."""
+    p = path(spark, sf_dir).select("track_id", "idx", F.concat_ws(",", F.round("x", 3), F.round("y", 3), F.col("idx") % 5 + 2, F.col("idx") % 3 + 1).alias("line"))
+    raw = p.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("r"))
+    raw = raw.select("track_id", F.concat(F.lit("x_m,y_m,w_tr_right_m,w_tr_left_m\n"), F.array_join("r.line", "\n"), F.lit("\n\n")).alias("raw"))
+    return readers.parse_xyrl(raw).select(*KEY, *[rnd(c, places=3) for c in "xyrl"])
+
+
+@query
+def xyrl_files(spark, sf_dir):
+    """One file of points for each track, written and read."""
+    p = path(spark, sf_dir).select(F.concat(F.lit("t"), F.col("track_id")).alias("name"), "idx", "x", "y", (F.col("idx") % 5 + 2).cast("double").alias("r"), (F.col("idx") % 3 + 1).cast("double").alias("l"))
+    dest = _there_and_back(spark, "xyrl")
+    readers.write_xyrl(p, dest)
+    back = readers._line_number(spark.read.schema(f"{readers.TRACK_SCHEMA}, name string").option("header", True).csv(dest), "name")
+    return back.select("name", "idx", rnd("x_m", "x", 3), rnd("y_m", "y", 3), rnd("w_tr_right_m", "r"), rnd("w_tr_left_m", "l"))
+
+
+@query
+def spliced_files(spark, sf_dir):
+    """Spliced documents with their vehicles, written twice, and read."""
+    t = tracks(spark, sf_dir).withColumn("name", F.concat(F.lit("t "), F.col("track_id"))).withColumn("acc", F.lit(0.5))
+    v = t.select("name", "track_id").distinct().select("name", F.create_map(F.lit("mass"), F.col("track_id").cast("double")).alias("vehicle"))
+    dest = _there_and_back(spark, "spliced")
+    for _ in range(2):
+        readers.write_spliced(t, v, dest)
+    return readers.read_spliced(spark, dest).select("name", "idx", *[rnd(c) for c in ("x1", "y1", "x2", "y2", "pos", "vel", "acc")], rnd(F.col("vehicle")["mass"], "mass"))
+
+
+@query
+def tracks_not_done(spark, sf_dir):
+    """What a second run still has to do."""
+    names = tracks(spark, sf_dir).select(F.concat(F.lit("t"), F.col("track_id")).alias("name")).distinct()
+    return readers.not_done(names, names.where("length(name) = 2"))
+
+
+@query
+def partition_files(spark, sf_dir):
+    """Encoded partitions as documents of lists, written and read, one after another."""
+    e = _encoded(spark, sf_dir).withColumn("partition_id", (F.col("track_id") % 2).cast("int"))
+    v = e.select("track_id").distinct().withColumn("vehicle", F.create_map(F.lit("mass"), F.col("track_id").cast("double")))
+    dest = _there_and_back(spark, "partitions")
+    readers.save_partition(e, v, dest)
+    back = readers.load_partition(spark, dest)
+    both = readers.combine_partitions(*[back.where(F.col("partition_id") == k) for k in (0, 1)])
+    return both.select(F.col("vehicle")["mass"].cast("long").alias("track_id"), "track_no", "idx", rnd("width"), rnd("position"), rnd("velocity"))
+
+
+@query
+def bounds_files(spark, sf_dir):
+    """Bounds written without those of velocities, read with their defaults."""
+    dest = _there_and_back(spark, "bounds")
+    readers.save_bounds(bounds.bounds(_encoded(spark, sf_dir)).drop("max_velocity", "min_velocity"), {"method": "window", "foresight": 120}, dest)
+    b = readers.load_bounds(spark, dest)
+    return b.select(*[rnd(c) for c in ("max_width", "min_width", "max_angle", "max_offset")], (F.col("max_velocity") < 0).alias("no_max"), (F.col("min_velocity") > 0).alias("no_min"))
+
+
+def _layers(spark, sf_dir):
+    layer = F.when(F.col("track_id") % 4 == 0, "Karting").when(F.col("idx") % 4 == 0, "Left 2").when(F.col("idx") % 4 == 1, "Left").when(F.col("idx") % 4 == 2, "Right").otherwise("Reference")
+    return path(spark, sf_dir).select(F.concat(F.lit("GB "), F.col("track_id")).alias("name"), layer.alias("layer"), "idx", (F.col("x") / 5000.0).alias("lon"), (50 + F.col("y") / 5000.0).alias("lat"))
+
+
+@query
+def project_files(spark, sf_dir):
+    """Curves of a survey: kart tracks left out, sides in two parts joined, written as offsets and read."""
+    dest = _there_and_back(spark, "project")
+    readers.write_project(readers.curve_offsets(readers.joined_sides(readers.valid_layers(_layers(spark, sf_dir)))), dest)
+    return readers.read_project(spark, dest).select("name", "layer", F.col("idx").cast("long").alias("idx"), rnd("lon", places=6), rnd("lat", places=6))
+
+
 # --- sweeps, partitions, layouts ---
 
 
