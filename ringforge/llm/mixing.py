@@ -12,6 +12,9 @@ histogram.  At the last level, the documents of the one hash at the boundary are
 the target than leaving them.
 
 Hashes are of the id (of the text where it is null), so that reruns agree; rows of equal id share their fate.
+Windows over all sources (one row each, numbered in code point order and by limit) are one task's sort, which spills; histograms have 4,096 rows a source at most and
+level; the rule of each source is joined by key, and broadcast only where Spark's own size check allows it.
+
 Sources go by code point and null is the last.  Null or empty texts have size 0 and take 0 words.  A source of
 no words has target 0.  An empty table gives an empty result.  Extra columns are ignored."""
 

@@ -3,7 +3,7 @@
 A group is all rows of one text.  Groups in order of falling size enter the shard of the tightest remaining capacity
 that still holds them, found in a balanced tree of remaining capacities.  The capacity is the smallest, found by
 bisection, for which the wanted number of shards is enough; a group above its fair part has a shard of its own and the
-others share what is left.  So the sizes of shards are near equal as far as groups allow.
+others share what is left.  So the sizes of shards are near equal as far as groups allow.  Or a capacity is given, and shards are as few as best fit finds.
 
 The packing itself sees a bounded number of items for any input: every group above total / ``items`` is an item
 (there are fewer than ``items`` of those), and the smaller ones are first dealt by the hash of their text into
@@ -100,8 +100,21 @@ def pack(sizes: list[int], shards: int) -> list[int]:
     return out + [first + b for b in best]
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, items: int = 1 << 14, keep: list[str] = ()) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the columns in ``keep`` as kept_<name>."""
+def fill(sizes: list[int], capacity: int) -> list[int]:
+    """The shard of each item (sizes in falling order) where a shard's capacity is given and as few shards are wanted as best fit finds; an item above
+    it has a shard of its own."""
+    over = next((k for k, s in enumerate(sizes) if s <= capacity), len(sizes))
+    return list(range(over)) + [over + b for b in best_fit_decreasing(sizes[over:], capacity)]
+
+
+#: The most items that a given capacity may ask for.
+MOST_ITEMS = 1 << 20
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, items: int = 1 << 14, keep: list[str] = (), capacity: int | None = None) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the columns in ``keep`` as kept_<name>.
+
+    capacity: bytes that a shard holds; then their number is what the packing needs, and ``shards`` isn't looked at."""
     spark = docs.sparkSession
     ws = common.Workspace(spark, "sharding")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -110,11 +123,16 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     rows = ws.table(rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).otherwise(0)))
     groups = ws.table(rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.min("text_crc32").alias("crc")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
+    if capacity is not None:
+        items = max(items, 16 * -(-total // capacity))  # bundles of a sixteenth of a shard at most, on average
+        if items > MOST_ITEMS:
+            raise ValueError(f"{total} bytes in shards of {capacity}: more than {MOST_ITEMS // 16} shards")
     deal = F.pmod(F.xxhash64("text_key"), F.lit(items)).cast("int")
     item = F.when(F.col("bytes") * items > total, F.struct(F.lit(-1).alias("bundle"), F.col("text_key").alias("key"))).otherwise(F.struct(deal.alias("bundle"), F.lit("").alias("key")))
     # under 2 * items rows come to the driver
     packed = sorted(((r["bytes"], r["item"]["bundle"], r["item"]["key"]) for r in groups.groupBy(item.alias("item")).agg(F.sum("bytes").alias("bytes")).collect()), key=lambda x: (-x[0], x[1], x[2]))
-    where = pack([x[0] for x in packed], shards)
+    sizes = [x[0] for x in packed]
+    where = pack(sizes, shards) if capacity is None else fill(sizes, capacity)
     plan = spark.createDataFrame([(b, k, s) for (_, b, k), s in zip(packed, where, strict=True)], "bundle int, key string, shard int")
     big = plan.where("bundle < 0").select(F.col("key").alias("text_key"), F.col("shard").alias("own"))
     small = plan.where("bundle >= 0").select("bundle", "shard")
