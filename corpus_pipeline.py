@@ -12,30 +12,33 @@ from ringforge.llm import common, decontaminate, langid, mixing, ngram_join, sha
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model is sure enough of; null texts and texts without letters go."""
+    """Documents whose language the model is sure enough of; null texts and texts without letters go, and all if no row names a language.  Repeated rows and rows
+    without id are judged by their text like others."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     return langid.accepted(docs, langid.learn(named))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates.  Texts without words and rows without id stay; rows of one id are one document, and of those with equal
+    text one stays.  Extra columns pass on; an empty table gives an empty one (so in every stage)."""
     return ngram_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item.  Null and empty texts stay; repeated rows and rows without id are judged by their text like others."""
     return decontaminate.clean(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it (twice at most).  Null is a source like others; rows without id go by their text, rows of one id share their
+    fate; documents without words are taken as often as their source's share says, for nothing."""
     mixed = mixing.mix(docs, keep=docs.columns)
-    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
-    return mixed.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns], times).drop("_copy")
+    times = mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return times.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and place in it."""
+    """Each row's shard and place in it; null texts count as empty, equal texts stay together, and rows without id or with a repeated one are rows like others."""
     return sharding.shard(docs)
 
 
