@@ -9,7 +9,7 @@ from __future__ import annotations
 from math import pi
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAU = 2 * pi
@@ -145,18 +145,37 @@ def flip(line: Ln) -> Ln:
     return Ln(line.x2, -line.y2, line.x1, -line.y1)
 
 
-def crossing(a: Ln, b: Ln) -> tuple[Column, Pt]:
-    """(do the segments cross, the crossing point of their lines).  Parallel ones never do."""
+def meeting(a: Ln, b: Ln) -> Pt:
+    """Where the lines through two segments cross; null where they are parallel."""
     adx, ady = a.x1 - a.x2, a.y1 - a.y2
     bdx, bdy = b.x1 - b.x2, b.y1 - b.y2
     delta = adx * bdy - ady * bdx
     da, db = a.x1 * a.y2 - a.y1 * a.x2, b.x1 * b.y2 - b.y1 * b.x2
-    x = F.try_divide(da * bdx - adx * db, delta)
-    y = F.try_divide(da * bdy - ady * db, delta)
+    return Pt(F.try_divide(da * bdx - adx * db, delta), F.try_divide(da * bdy - ady * db, delta))
+
+
+def lies_on(p: Pt, *segments: Ln) -> Column:
+    """Is a point of the segments' lines within all of them?  False where it is null."""
     ok = F.lit(True)
-    for s in (a, b):
-        ok = ok & (x >= F.least(s.x1, s.x2) - EPS) & (x <= F.greatest(s.x1, s.x2) + EPS) & (y >= F.least(s.y1, s.y2) - EPS) & (y <= F.greatest(s.y1, s.y2) + EPS)
-    return F.coalesce(ok & (delta != 0), F.lit(False)), Pt(x, y)
+    for s in segments:
+        ok = ok & p.x.between(F.least(s.x1, s.x2) - EPS, F.greatest(s.x1, s.x2) + EPS) & p.y.between(F.least(s.y1, s.y2) - EPS, F.greatest(s.y1, s.y2) + EPS)
+    return F.coalesce(ok, F.lit(False))
+
+
+def with_meeting(df: DataFrame, a: Ln, b: Ln) -> DataFrame:
+    """Adds hx, hy, and leaves rows whose segments cross there.
+
+    The point passes through an explode of one, so that it is made once: put into each of the eight comparisons instead, the generated method grows too large
+    for the JVM to compile."""
+    p = meeting(a, b)
+    df = df.withColumn("_h", F.explode(F.array(F.struct(p.x.alias("x"), p.y.alias("y")))))
+    return df.where(lies_on(Pt(F.col("_h.x"), F.col("_h.y")), a, b)).withColumns({"hx": F.col("_h.x"), "hy": F.col("_h.y")}).drop("_h")
+
+
+def crossing(a: Ln, b: Ln) -> tuple[Column, Pt]:
+    """(do the segments cross, the crossing point of their lines).  Parallel ones never do."""
+    p = meeting(a, b)
+    return lies_on(p, a, b), p
 
 
 def round_half_even(c: Column, places: int) -> Column:

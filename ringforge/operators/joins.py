@@ -54,9 +54,8 @@ def grid_intersections(lines: DataFrame, segments: DataFrame, cell: float | str
         a, b = lines.withColumn("_size", F.lit(float(cell))), _other(segments, keep_b).withColumn("_size", F.lit(float(cell)))
     a = a.withColumn("_cx", F.explode(cells("x1", "x2"))).withColumn("_cy", F.explode(cells("y1", "y2")))
     b = b.withColumn("_bx", F.explode(cells("x1_b", "x2_b"))).withColumn("_by", F.explode(cells("y1_b", "y2_b"))).drop("_size")
-    hit, p = g.crossing(g.ln(), g.ln("_b"))
-    met = a.join(b, (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")) & hit)
-    met = met.withColumns({"hx": p.x, "hy": p.y}).where((F.floor(F.col("hx") / F.col("_size")) == F.col("_cx")) & (F.floor(F.col("hy") / F.col("_size")) == F.col("_cy")))
+    met = g.with_meeting(a.join(b, (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by"))), g.ln(), g.ln("_b"))
+    met = met.where((F.floor(F.col("hx") / F.col("_size")) == F.col("_cx")) & (F.floor(F.col("hy") / F.col("_size")) == F.col("_cy")))
     return met.select(TRACK, IDX, *keep, "seg_idx", "hx", "hy", *keep_b)
 
 

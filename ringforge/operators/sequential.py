@@ -47,15 +47,20 @@ def errors(df: DataFrame) -> DataFrame:
 # --- smoothing ---
 
 
-def smooth_lines(lines: np.ndarray, sweeps: int, width: float) -> np.ndarray:
+def smooth_lines(lines: np.ndarray, sweeps: int, width: float | np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
     """Directions become means of their neighbours' sweep by sweep, unless that would turn them more than 60 degrees from the
-    original line; centres stay, and all lines get the same width."""
+    original line; centres stay, and all lines get the same width.  starts: where each of several rings begins (width: of each line then)."""
+    n = len(lines)
+    before, after = np.arange(n) - 1, np.arange(n) + 1
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    ends = np.append(starts[1:], n) - 1
+    before[starts], after[ends] = ends, starts
     centre = (lines[:, :2] + lines[:, 2:]) / 2
     v = lines[:, :2] - centre
     first = lines[:, 2:] - lines[:, :2]
     norm = np.hypot(first[:, 0], first[:, 1])
     for _ in range(sweeps):
-        new = np.roll(v, 1, axis=0) + v + np.roll(v, -1, axis=0)
+        new = v[before] + v + v[after]
         # the turn of new (which points to end 1) against the line, as if it pointed to end 2
         size = np.hypot(new[:, 0], new[:, 1]) * norm
         cos = np.divide(-(new * first).sum(1), size, out=np.ones(len(v)), where=size > 0)
@@ -63,19 +68,40 @@ def smooth_lines(lines: np.ndarray, sweeps: int, width: float) -> np.ndarray:
         new = np.where((turn > np.pi / 3)[:, None], v, new)
         d = np.hypot(new[:, 0], new[:, 1])[:, None]
         v = np.divide(new, d, out=np.zeros_like(new), where=d > 0)
-    v = v * (width / 2)
+    v = v * (np.asarray(width, float).reshape(-1, 1) / 2)
     return np.hstack([centre + v, centre - v])
 
 
-def smooth_normals(normals: DataFrame, sweeps: int = 400, width: float | None = None) -> DataFrame:
-    """normals: track_id, idx, x1..y2, and width if it differs by track."""
+#: Lines of whole tracks that one step of smoothing takes together.
+SMOOTHED = 50_000
 
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        w = float(p["width"].iloc[0]) if width is None else width
-        out = pd.DataFrame(smooth_lines(p[BOX].to_numpy(float), sweeps, w), columns=BOX)
-        return out.assign(**{IDX: p[IDX]})
 
-    return _each_track(normals, fn, LINES)
+def smooth_normals(normals: DataFrame, sweeps: int = 400, width: float | None = None) -> DataFrame:
+    """normals: track_id, idx, x1..y2, and width if it differs by track.  Tracks are dealt and sorted by Spark and smoothed many at a time."""
+    cols = [TRACK, IDX, *BOX] + (["width"] if width is None else [])
+
+    def smoothed(p: pd.DataFrame) -> pd.DataFrame:
+        track = p[TRACK].to_numpy()
+        starts = np.flatnonzero(np.append(True, track[1:] != track[:-1]))
+        w = np.repeat(p["width"].to_numpy(float)[starts], np.diff(np.append(starts, len(p)))) if width is None else np.full(len(p), float(width))
+        out = pd.DataFrame(smooth_lines(p[BOX].to_numpy(float), sweeps, w, starts), columns=BOX)
+        return out.assign(**{TRACK: track, IDX: p[IDX].to_numpy(), "error": None})[[TRACK, IDX, *BOX, "error"]]
+
+    def run(parts):
+        held, n = [], 0
+        for p in parts:
+            held.append(p)
+            n += len(p)
+            if n >= SMOOTHED:
+                whole = pd.concat(held)
+                last = whole[TRACK].to_numpy() == whole[TRACK].iloc[-1]  # its rows may go on in the next batch
+                if not last.all():
+                    yield smoothed(whole[~last])
+                held, n = [whole[last]], int(last.sum())
+        if n:
+            yield smoothed(pd.concat(held))
+
+    return normals.select(*cols).repartition(TRACK).sortWithinPartitions(TRACK, IDX).mapInPandas(run, LINES)
 
 
 # --- one crossing for each half line ---

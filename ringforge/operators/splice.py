@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -11,6 +11,7 @@ from .rings import IDX, TRACK, lines_to_points, neighbour
 
 #: Metres by which lines are extended, one after another, until the path crosses them once or twice.
 EXTENSIONS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+LEG = ("x1_b", "y1_b", "x2_b", "y2_b", "vel0", "acc0", "vel1", "acc1")
 
 
 def path_data(tracks: DataFrame, path: DataFrame | None) -> DataFrame:
@@ -29,12 +30,22 @@ def splice(tracks: DataFrame, path: DataFrame | None = None, precision: int | No
         TRACK, IDX, prev["x"].alias("x1"), prev["y"].alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"),
         F.struct(prev["x"].alias("x1_b"), prev["y"].alias("y1_b"), F.col("x").alias("x2_b"), F.col("y").alias("y2_b"), prev["vel"].alias("vel0"), prev["acc"].alias("acc0"), F.col("vel").alias("vel1"), F.col("acc").alias("acc1")).alias("leg"),
     )
-    grown = lines.withColumn("ext", F.explode(F.array(*[F.lit(e) for e in EXTENSIONS])))
-    longer = g.extend(g.ln(), F.col("ext"))
-    # without extension the line is taken as it is, also if it has no length
-    probe = g.Ln(*[F.when(F.col("ext") == 0, F.col(n)).otherwise(c) for n, c in zip(("x1", "y1", "x2", "y2"), longer, strict=True)])
-    grown = grown.select(TRACK, IDX, "ext", *[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), probe, strict=True)])
-    hits = grid_intersections(grown, legs, keep=("ext",), keep_b=("leg",)).select(TRACK, IDX, "ext", F.struct(F.col("seg_idx").alias("seg"), "hx", "hy", "leg.*").alias("h"))
+    # a longer line crosses all that a shorter one does: one join for the longest, then each extension on what that has met
+    names = ("x1", "y1", "x2", "y2")
+    unit = g.direction(g.ln())
+    own = F.struct(*[F.col(n).alias(f"{n}_l") for n in names], unit.x.alias("ux"), unit.y.alias("uy"), (g.length(g.ln()) / 2).alias("half"))
+    longest = lines.select(TRACK, IDX, own.alias("line"), *[c.alias(n) for n, c in zip(names, g.extend(g.ln(), F.lit(max(EXTENSIONS))), strict=True)])
+    met = grid_intersections(longest, legs, keep=("line",), keep_b=("leg",)).select(TRACK, IDX, F.col("seg_idx").alias("seg"), "line.*", "leg.*")
+
+    def grown(e: float) -> Column:
+        # without extension the line is taken as it is, also if it has no length
+        by = F.least(F.lit(e), F.col("half")) if e else F.lit(0.0)
+        ends = [F.col(f"{n}_l") + (-1 if n[1] == "1" else 1) * F.col(f"u{n[0]}") * by if e else F.col(f"{n}_l") for n in names]
+        return F.struct(F.lit(e).alias("ext"), *[c.alias(n) for n, c in zip(names, ends, strict=True)])
+
+    # exploded lines are made once, before the test that needs their ends many times
+    tried = met.withColumn("e", F.explode(F.array(*[grown(e) for e in EXTENSIONS])))
+    hits = g.with_meeting(tried, g.Ln(*[F.col(f"e.{n}") for n in names]), g.ln("_b")).select(TRACK, IDX, F.col("e.ext").alias("ext"), F.struct("seg", "hx", "hy", *LEG).alias("h"))
     by = hits.groupBy(TRACK, IDX, "ext").agg(F.array_sort(F.collect_list("h")).alias("hs")).where(F.size("hs").isin(1, 2))
     best = by.groupBy(TRACK, IDX).agg(F.min_by("hs", "ext").alias("hs"))
     a, b = F.get("hs", F.lit(0)), F.get("hs", F.lit(1))
@@ -47,7 +58,10 @@ def splice(tracks: DataFrame, path: DataFrame | None = None, precision: int | No
         two = F.when(same("1", "1") | same("1", "2"), a[f"{c}1_b"]).when(same("2", "1") | same("2", "2"), a[f"{c}2_b"]).otherwise(a[f"{c}1_b"])
         return F.when(F.size("hs") == 1, a[f"h{c}"]).otherwise(two)
 
-    df = lines.join(best, [TRACK, IDX], "left").withColumns({"_x": shared("x"), "_y": shared("y")})
+    # below the join, so that each is made once
+    best = best.select(TRACK, IDX, a.alias("a"), shared("x").alias("_x"), shared("y").alias("_y"))
+    df = lines.join(best, [TRACK, IDX], "left")
+    a = F.col("a")
     at, line = g.pt("_x", "_y"), g.ln()
     d1, d2, size = g.distance(at, line.start), g.distance(at, line.end), g.length(line)
     pos = F.when(d1 > size, 1.0).when(d2 > size, 0.0).otherwise(F.try_divide(d1, size))
@@ -56,7 +70,7 @@ def splice(tracks: DataFrame, path: DataFrame | None = None, precision: int | No
     out = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")} | {"pos": pos, "vel": a["vel0"] * (1 - part) + a["vel1"] * part, "acc": a["acc0"] * (1 - part) + a["acc1"] * part}
     if precision is not None:
         out = {k: g.round_half_even(c, precision) for k, c in out.items()}
-    return df.select(TRACK, IDX, *[c.alias(k) for k, c in out.items()], F.when(F.col("hs").isNull(), F.lit("the path does not cross this line")).alias("error"))
+    return df.select(TRACK, IDX, *[c.alias(k) for k, c in out.items()], F.when(a.isNull(), F.lit("the path does not cross this line")).alias("error"))
 
 
 def whole_tracks(spliced: DataFrame) -> tuple[DataFrame, DataFrame]:

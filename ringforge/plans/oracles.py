@@ -338,6 +338,23 @@ def _results(key: str) -> str:
     return NAMED + f" select {key} kind, " + cols(6, **{c: f"(avg({c}) + cast(1e-9 as double))" for c in figures}) + " from nm where position_apex_mean is not null group by 1"
 
 
+def _smooth_sql(sweeps: int, width: float) -> str:
+    """Sweep by sweep over one list for each track."""
+    i = "lambda i:"
+    around = lambda c: f"list_transform(range(1, n + 1), {i} {c}[case when i = 1 then n else i - 1 end] + {c}[i] + {c}[case when i = n then 1 else i + 1 end])"
+    size = "(sqrt(nx[i] * nx[i] + ny[i] * ny[i]) * sqrt(fx[i] * fx[i] + fy[i] * fy[i]))"
+    cos = f"case when {size} > 0 then -(nx[i] * fx[i] + ny[i] * fy[i]) / {size} else 1 end"
+    turned = "list_transform(cos, lambda c: case when round(c, 8) = 1 then false else acos(greatest(-1, least(1, c))) > pi() / 3 end)"
+    pick = lambda v, w: f"list_transform(range(1, n + 1), {i} case when far[i] then {v}[i] else {w}[i] end)"
+    unit = lambda a: f"list_transform(range(1, n + 1), {i} case when mx[i] * mx[i] + my[i] * my[i] > 0 then {a}[i] / sqrt(mx[i] * mx[i] + my[i] * my[i]) else 0 end)"
+    return BASE.replace("with ev0", "with recursive ev0", 1) + f""", c as (select track_id, idx, n, (x1 + x2) / 2 cx, (y1 + y2) / 2 cy, x1 - (x1 + x2) / 2 vx, y1 - (y1 + y2) / 2 vy, x2 - x1 fx, y2 - y1 fy from tracks),
+      r as (select track_id, max(n) n, 0 k, list(vx order by idx) vx, list(vy order by idx) vy, list(fx order by idx) fx, list(fy order by idx) fy from c group by 1
+        union all select track_id, n, k + 1, {unit('mx')}, {unit('my')}, fx, fy from (select *, {pick('vx', 'nx')} mx, {pick('vy', 'ny')} my from (select *, {turned} far from (
+          select *, list_transform(range(1, n + 1), {i} {cos}) cos from (select *, {around('vx')} nx, {around('vy')} ny from r where k < {sweeps}))))),
+      v as (select track_id, unnest(range(0, n)) idx, unnest(vx) vx, unnest(vy) vy from r where k = {sweeps})
+      select c.track_id, c.idx, {cols(x1=f'cx + v.vx * {width / 2}', y1=f'cy + v.vy * {width / 2}', x2=f'cx - v.vx * {width / 2}', y2=f'cy - v.vy * {width / 2}')} from c join v on v.track_id = c.track_id and v.idx = c.idx"""
+
+
 PROJECTED = _projected_sql()
 
 
@@ -432,6 +449,7 @@ SQL: dict[str, str] = {
     "swap_left_right": BASE + " select track_id, idx, " + cols(left="y", right="x") + " from path",
     "projected": PROJECTED,
     "model_inference": _model_sql(),
+    "smooth_normals": _smooth_sql(400, 80.0),
     "results_by_vehicle": _results("vehicle"),
     "results_by_track": _results("track"),
     "sweep_files": "select * from (select 't' || cast(s_suppkey % 5 as varchar) || ' - car' || cast(s_suppkey % 3 as varchar) || ' - mass - ' || cast(s_suppkey as varchar) path from supplier) where path like '%t2 - car1%'",

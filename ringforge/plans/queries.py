@@ -466,7 +466,7 @@ def from_xyrl(spark, sf_dir):
 
 @query
 def smooth_normals(spark, sf_dir):
-    return sequential.smooth_normals(tracks(spark, sf_dir).select(*KEY, "x1", "y1", "x2", "y2"), 50, 80.0).select(*KEY, *[rnd(c) for c in ("x1", "y1", "x2", "y2")])
+    return sequential.smooth_normals(tracks(spark, sf_dir).select(*KEY, "x1", "y1", "x2", "y2"), width=80.0).select(*KEY, *[rnd(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query

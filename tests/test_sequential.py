@@ -96,6 +96,21 @@ def test_smoothing_keeps_centres_and_width():
     assert (((out[:, :2] - out[:, 2:]) * (lines[:, :2] - lines[:, 2:])).sum(1) > 0).all()  # left stays left
 
 
+def test_tracks_smoothed_together_are_as_alone(spark, monkeypatch):
+    import pandas as pd
+
+    sizes, parts = (5, 24, 60, 7, 40, 3), []
+    for t, n in enumerate(sizes):
+        x = ring(n, t)
+        parts.append(pd.DataFrame({"track_id": t, "idx": np.arange(n), "x1": x[:, 0], "y1": x[:, 1], "x2": x[:, 2], "y2": x[:, 3], "width": 10.0 + t}))
+    df = spark.createDataFrame(pd.concat(parts).sample(frac=1, random_state=1))
+    for most in (30, 50_000):
+        monkeypatch.setattr(sequential, "SMOOTHED", most)
+        got = sequential.smooth_normals(df.repartition(3), 20).toPandas().sort_values(["track_id", "idx"])
+        want = np.concatenate([sequential.smooth_lines(ring(n, t), 20, 10.0 + t) for t, n in enumerate(sizes)])
+        assert np.allclose(got[["x1", "y1", "x2", "y2"]].to_numpy(), want)
+
+
 def test_bad_tracks_give_errors(spark):
     t = synth.tracks(spark, SF).where("track_id in (1, 2)")
     broken = t.withColumn("x2", t.x1).withColumn("y2", t.y1).where("track_id = 1").unionByName(t.where("track_id = 2"))
