@@ -194,3 +194,11 @@ def test_large_groups_of_copies_and_repeated_rows(spark, monkeypatch):
         g = by[sha(text)]
         assert len(g) == size and {(r.keep_id, r.group_size) for r in g} == {(keep, size)}
         assert [r.doc_id for r in g if r.kept] == [keep]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+def test_suffix_filter_bounds_from_below(a, b, c):
+    x, y = (np.array(sorted(z), np.uint64) for z in (a | c, b | c))
+    assert ngram_join.apart(x, y) <= len((a | c) ^ (b | c))
+    assert ngram_join.apart(x, x) == 0
