@@ -48,6 +48,7 @@ class Workspace:
         bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/ringforge-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[DataFrame] = []
         self.kept: list[DataFrame] = []
         self.shared: list = []
 
@@ -59,6 +60,7 @@ class Workspace:
         (df if files is None else df.coalesce(files)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._ringforge_path = path
+        self.tables.append(out)
         return out
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -79,9 +81,14 @@ class Workspace:
             b.destroy()
         self.kept, self.shared = [], []
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete all tables but those that a result still reads."""
+        self.drop(*[t for t in self.tables if all(t is not x for x in tables)])
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later read needs."""
         jvm = self.spark._jvm
+        self.tables = [t for t in self.tables if all(t is not x for x in tables)]
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._ringforge_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

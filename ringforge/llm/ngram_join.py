@@ -432,6 +432,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = _joined(ws, labels, sets_of(ws, docs, rest, n), rest, percent)
     size = ws.table(size.select("doc_id", "n"), files=_few(ws))
     ws.release()
+    ws.drop_all_but(size, labels)
     return size.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
