@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringforge.operators import evaluation, model, sequential, splice, sweep
+from ringforge.operators import evaluation, joins, model, sequential, splice, sweep
 from ringforge.plans import pipelines, synth
 
 SF = "/root/testdata/sf0.001"
@@ -129,6 +129,63 @@ def test_cut_and_smooth(spark):
     assert x and all(r.l > 0 and r.r > 0 for r in x)
 
 
+LINE = "track_id long, idx long, x1 double, y1 double, x2 double, y2 double"
+POINT = "track_id long, idx long, x double, y double"
+
+
+def wavy(t, seed, n=30):
+    """Lines across a ring, and its boundaries: wavy, with stretches that lines cross several times, and beyond what some lines reach."""
+    rng = np.random.default_rng(seed)
+    lines = ring(n, seed)
+    th = np.arange(4 * n) / (4 * n) * 2 * np.pi + rng.normal(0, 0.08, 4 * n)  # back and forth
+    sides = [(100 + 8 * np.sin(3 * th) + w * (8 + 4 * np.sin(5 * th)) + rng.normal(0, 2, len(th)))[:, None] * np.stack([np.cos(th), np.sin(th)], 1) for w in (-1, 1)]
+    return [(t, i, *x) for i, x in enumerate(lines.tolist())], *[[(t, i, *x) for i, x in enumerate(s.tolist())] for s in sides]
+
+
+@pytest.mark.parametrize("pairs", [7, 1_000_000])
+@pytest.mark.parametrize("cell", [None, 0.01, 1000.0])
+def test_first_hits_are_those_of_the_join(spark, monkeypatch, pairs, cell):
+    monkeypatch.setattr(sequential, "PAIRS", pairs)
+    all_ = [wavy(t, t) for t in range(3)]
+    lines, left, _ = [spark.createDataFrame(sum((a[k] for a in all_), []), POINT if k else LINE) for k in range(3)]
+    half, seg = joins.split_halves(lines)[0], joins.boundary_segments(left)
+    want = sorted((r.track_id, r.idx, r.seg_idx, round(r.hx, 9), round(r.hy, 9)) for r in joins.extend_until_hit(half, seg).collect())
+    h, s = [x.toPandas().sort_values(["track_id", "idx"]).reset_index(drop=True) for x in (half, seg)]
+    box = ["x1", "y1", "x2", "y2"]
+    i, j, at = sequential.first_hits(h[box].to_numpy(), h.track_id.to_numpy(), s[box].to_numpy(), s.track_id.to_numpy(), np.full(3, cell or 12.0))
+    assert sorted((h.track_id[a], h.idx[a], s.idx[b], round(x, 9), round(y, 9)) for a, b, (x, y) in zip(i, j, at.tolist(), strict=True)) == want
+    assert len(want) > len({w[:2] for w in want})  # some meet it more than once
+
+
+@pytest.mark.parametrize("most", [30, 50_000])
+def test_cut_joins_nothing_and_loses_nothing(spark, monkeypatch, most):
+    """A plan with joins let the planner broadcast tables by the size of the files they come from."""
+    monkeypatch.setattr(sequential, "SMOOTHED", most)
+    all_ = [wavy(t, t) for t in range(5)]
+    lines, left, right = [sum((a[k] for a in all_), []) for k in range(3)]
+    lines[40] = (1, 10, 0.0, 0.0, 1e-3, 0.0)  # meets nothing
+    left = [p for p in left if p[0] != 2]  # no boundary
+    left[3] = (*left[3][:2], None, None)
+    frames = [spark.createDataFrame(x, s).repartition(3) for x, s in ((lines, LINE), (left, POINT), (right, POINT))]
+    cut = sequential.cut_to_boundaries(*frames)
+    assert "Join" not in cut._jdf.queryExecution().executedPlan().toString()
+    got = cut.collect()
+    assert [(r.track_id, r.idx, r.error) for r in got if r.error] == [(1, None, "ValueError: a line does not meet the boundary")]
+    ends = {(r.track_id, r.idx): ((r.x1, r.y1), (r.x2, r.y2)) for r in got if not r.error}
+    assert set(ends) == {x[:2] for x in lines if x[0] in (0, 3, 4)}
+    hits = {}
+    for k, (half, points) in enumerate(zip(joins.split_halves(frames[0]), frames[1:], strict=True)):
+        for r in joins.extend_until_hit(half, joins.boundary_segments(points)).collect():
+            hits.setdefault((r.track_id, r.idx, k), []).append((r.seg_idx, r.hx, r.hy))
+    for t in (0, 3, 4):
+        own = np.array([x[2:] for x in lines if x[0] == t])
+        for k, points in enumerate((left, right)):
+            mine = [sorted(hits[t, i, k]) for i in range(len(own))]
+            centre = (own[:, :2] + own[:, 2:]) / 2
+            want = sequential.collapse(mine, (centre + own[:, 2 * k : 2 * k + 2]) / 2, sum(p[0] == t for p in points))
+            assert np.allclose([ends[t, i][k] for i in range(len(own))], want)
+
+
 def test_splice(spark):
     t, p = synth.tracks(spark, SF), synth.path(spark, SF)
     whole, failed = splice.whole_tracks(splice.splice(t, p))
