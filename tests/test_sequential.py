@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringforge.operators import evaluation, joins, model, sequential, splice, sweep
+from ringforge.operators import evaluation, joins, model, rings, sequential, splice, sweep
 from ringforge.plans import pipelines, synth
 
 SF = "/root/testdata/sf0.001"
@@ -186,6 +186,36 @@ def test_cut_joins_nothing_and_loses_nothing(spark, monkeypatch, most):
             assert np.allclose([ends[t, i][k] for i in range(len(own))], want)
 
 
+@pytest.mark.parametrize("spacing", [None, 30.0])
+def test_smooth_track_deals_once(spark, monkeypatch, spacing):
+    """The same as by its parts, without writing smoothed lines down and without boundary curves that are dealt point by point."""
+    t = synth.tracks(spark, SF).where("track_id in (1, 3, 5)")
+    lines = t.select("track_id", "idx", "x1", "y1", "x2", "y2")
+    width = lines.groupBy("track_id").agg((F.max(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))) * 2).alias("width"))
+    if spacing:
+        mid = rings.lines_to_points(lines, "mid")
+        steps = rings.path_length(mid).withColumn("step", F.col("length") / F.floor(F.col("length") / spacing))
+        lines = rings.normals_on_path_by(rings.catmull_rom(mid, 5), 80.0, steps)
+    smooth = sequential.good(sequential.smooth_normals(lines.join(width, "track_id"), 20))
+    want = sequential.cut_to_boundaries(smooth, *[rings.catmull_rom(rings.lines_to_points(t, s), 5) for s in ("left", "right")]).toPandas()
+    monkeypatch.setattr(type(t), "checkpoint", lambda self, *a: pytest.fail("it writes rows between steps"))
+    out = sequential.smooth_track(t, spacing, 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Broadcast" not in plan
+    got, want = [x.sort_values(["track_id", "idx"]).drop(columns="error").to_numpy(float) for x in (out.toPandas(), want)]
+    assert len(got) and np.allclose(got, want, atol=1e-9)
+
+
+def test_curve_is_the_spline(spark):
+    rng = np.random.default_rng(2)
+    rows = [(t, i, *x) for t, n in enumerate((1, 2, 3, 9)) for i, x in enumerate(rng.random((n, 2)).tolist())]
+    rows[-3] = (*rows[-3][:2], *rows[-4][2:])  # a repeated point
+    want = rings.catmull_rom(spark.createDataFrame(rows, POINT), 5).toPandas().sort_values(["track_id", "idx"])
+    xy, of, idx = sequential.curve(np.array([r[2:] for r in rows]), np.array([r[0] for r in rows]), 5)
+    assert (of == want.track_id).all() and (idx == want.idx).all()
+    assert np.allclose(xy, want[["x", "y"]], equal_nan=True) and np.isnan(xy).any()
+
+
 def test_splice(spark):
     t, p = synth.tracks(spark, SF), synth.path(spark, SF)
     whole, failed = splice.whole_tracks(splice.splice(t, p))
