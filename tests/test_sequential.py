@@ -206,6 +206,12 @@ def test_smooth_track_deals_once(spark, monkeypatch, spacing):
     assert len(got) and np.allclose(got, want, atol=1e-9)
 
 
+def test_to_xyrl_broadcasts_no_lines(spark):
+    x = sequential.to_xyrl(synth.tracks(spark, SF).where("track_id = 3"), 60.0)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_curve_is_the_spline(spark):
     rng = np.random.default_rng(2)
     rows = [(t, i, *x) for t, n in enumerate((1, 2, 3, 9)) for i, x in enumerate(rng.random((n, 2)).tolist())]
