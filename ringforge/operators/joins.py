@@ -82,7 +82,9 @@ def nearest(origins: DataFrame, points: DataFrame) -> DataFrame:
     """The nearest point of the same track (the first if equal); null where the track has none.
 
     Points are first looked for in the nine grid cells around an origin; what is found within a cell's length is the nearest.  The other origins, far from all
-    points, are compared with every point of their track."""
+    points, are compared with every point of their track.
+
+    All joins are merge joins: the planner would take these tables for as small as the files they are derived from, and broadcast them."""
     p = points.select(F.col(TRACK).alias("_t"), F.col(IDX).alias("near_idx"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     around = (F.max("nx") - F.min("nx") + F.max("ny") - F.min("ny")) * 2
     sizes = p.groupBy("_t").agg(F.greatest(F.try_divide(around * 2, F.count("*")), F.lit(1e-6)).alias("_size"))
@@ -92,16 +94,17 @@ def nearest(origins: DataFrame, points: DataFrame) -> DataFrame:
     def cell(c: str) -> Column:
         return F.floor(F.col(c) / F.col("_size"))
 
+    sizes = sizes.hint("merge")
     p = p.join(sizes, "_t")
     o = origins.select(TRACK, IDX, "x", "y").join(sizes, F.col(TRACK) == F.col("_t")).drop("_t")
     for c in "xy":
         o = o.withColumn(f"_c{c}", F.explode(F.sequence(cell(c) - 1, cell(c) + 1)))
     q = p.select("_t", "near_idx", "nx", "ny", cell("nx").alias("_bx"), cell("ny").alias("_by"))
-    near = o.join(q, (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")))
+    near = o.join(q.hint("merge"), (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")))
     near = near.groupBy(TRACK, IDX).agg(best, F.first("_size").alias("_size")).where("m.distance <= _size").select(TRACK, IDX, "m")
-    far = origins.select(TRACK, IDX, "x", "y").join(near.select(TRACK, IDX), [TRACK, IDX], "left_anti")
-    rest = far.join(p, F.col(TRACK) == F.col("_t")).groupBy(TRACK, IDX).agg(best)
-    out = origins.select(TRACK, IDX).join(near.union(rest), [TRACK, IDX], "left")
+    far = origins.select(TRACK, IDX, "x", "y").join(near.select(TRACK, IDX).hint("merge"), [TRACK, IDX], "left_anti")
+    rest = far.join(p.hint("merge"), F.col(TRACK) == F.col("_t")).groupBy(TRACK, IDX).agg(best)
+    out = origins.select(TRACK, IDX).join(near.union(rest).hint("merge"), [TRACK, IDX], "left")
     return out.select(TRACK, IDX, "m.near_idx", "m.nx", "m.ny", "m.distance")
 
 

@@ -212,6 +212,13 @@ def test_to_xyrl_broadcasts_no_lines(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_nearest_broadcasts_no_points(spark):
+    t = synth.tracks(spark, SF)
+    n = joins.nearest(rings.lines_to_points(t, "mid"), synth.path(spark, SF))
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and n.count() == t.count()
+
+
 def test_curve_is_the_spline(spark):
     rng = np.random.default_rng(2)
     rows = [(t, i, *x) for t, n in enumerate((1, 2, 3, 9)) for i, x in enumerate(rng.random((n, 2)).tolist())]
