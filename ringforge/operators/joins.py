@@ -81,7 +81,7 @@ def missed(halves: DataFrame, hits: DataFrame) -> DataFrame:
 def nearest(origins: DataFrame, points: DataFrame) -> DataFrame:
     """The nearest point of the same track (the first if equal); null where the track has none.
 
-    Points are first looked for in the nine grid cells around an origin; what is found within a cell's length is the nearest.  The other origins, far from all
+    Points are first looked for in the four grid cells that reach half a cell's length around an origin; what is found within that is the nearest.  The other origins, far from all
     points, are compared with every point of their track.
 
     All joins are merge joins: the planner would take these tables for as small as the files they are derived from, and broadcast them."""
@@ -91,17 +91,17 @@ def nearest(origins: DataFrame, points: DataFrame) -> DataFrame:
     d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
     best = F.min(F.struct(d.alias("distance"), "near_idx", "nx", "ny")).alias("m")
 
-    def cell(c: str) -> Column:
-        return F.floor(F.col(c) / F.col("_size"))
+    def cell(c: Column | str) -> Column:
+        return F.floor((F.col(c) if isinstance(c, str) else c) / (F.col("_size") * 2))
 
     sizes = sizes.hint("merge")
     p = p.join(sizes, "_t")
     o = origins.select(TRACK, IDX, "x", "y").join(sizes, F.col(TRACK) == F.col("_t")).drop("_t")
     for c in "xy":
-        o = o.withColumn(f"_c{c}", F.explode(F.sequence(cell(c) - 1, cell(c) + 1)))
+        o = o.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(c) - F.col("_size")), cell(F.col(c) + F.col("_size")))))
     q = p.select("_t", "near_idx", "nx", "ny", cell("nx").alias("_bx"), cell("ny").alias("_by"))
     near = o.join(q.hint("merge"), (F.col(TRACK) == F.col("_t")) & (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by")))
-    near = near.groupBy(TRACK, IDX).agg(best, F.first("_size").alias("_size")).where("m.distance <= _size").select(TRACK, IDX, "m")
+    near = near.groupBy(TRACK, IDX).agg(best, F.first("_size").alias("_size")).where("m.distance <= 0.999 * _size").select(TRACK, IDX, "m")
     far = origins.select(TRACK, IDX, "x", "y").join(near.select(TRACK, IDX).hint("merge"), [TRACK, IDX], "left_anti")
     rest = far.join(p.hint("merge"), F.col(TRACK) == F.col("_t")).groupBy(TRACK, IDX).agg(best)
     out = origins.select(TRACK, IDX).join(near.union(rest).hint("merge"), [TRACK, IDX], "left")
